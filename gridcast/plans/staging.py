@@ -1,0 +1,25 @@
+"""Cutting lineage between the stages of a long job."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+def use_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> None:
+    """Leaves the cluster's setting alone; ``fallback`` counts only when there is none."""
+    if spark.conf.get(SETTING, None) is None and fallback is not None:
+        spark.sparkContext.setCheckpointDir(fallback)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The same rows, stored once in the shared checkpoint folder.
+
+    Later branches read the stored copy and survive the loss of executors.
+    Without a checkpoint folder the plan simply stays lazy.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(SETTING, None) is None and spark.sparkContext.getCheckpointDir() is None:
+        return df
+    return df.checkpoint()
