@@ -1,9 +1,9 @@
 """Gap filling on gridded tables.
 
 The nearest readings before and after a row are found inside its (station,
-block); what lies beyond the block comes from a summary of one row per block.
-No task ever holds more than one block of a station, and both directions are
-plain running frames.
+block); what lies beyond the block was put on the block row when the grid was
+made.  No task ever holds more than one block of a station, both directions are
+plain running frames, and nothing is shuffled again.
 """
 
 from __future__ import annotations
@@ -17,24 +17,17 @@ from pyspark.sql import functions as F
 def with_neighbours(
     grid: DataFrame, keys: Sequence[str] = ("station",), value: str = "target"
 ) -> DataFrame:
-    """Adds ``prev`` and ``next``: (t, y) of the closest readings at or around each row."""
+    """Adds ``prev`` and ``next``: (t, y) of the closest readings at or around each row.
+
+    The grid must have been made with ``carry=True``.
+    """
     reading = F.when(F.col(value).isNotNull(), F.struct(F.col("t").alias("t"), F.col(value).alias("y")))
-    per_block = grid.groupBy(*keys, "block").agg(F.min(reading).alias("_first"), F.max(reading).alias("_last"))
-    past = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    future = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select(
-        *keys,
-        "block",
-        F.last("_last", ignorenulls=True).over(past).alias("_before"),
-        F.last("_first", ignorenulls=True).over(future).alias("_after"),
-    )
     upto = Window.partitionBy(*keys, "block").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     onward = Window.partitionBy(*keys, "block").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        grid.join(carry, [*keys, "block"])
-        .withColumn("prev", F.coalesce(F.last(reading, ignorenulls=True).over(upto), F.col("_before")))
-        .withColumn("next", F.coalesce(F.last(reading, ignorenulls=True).over(onward), F.col("_after")))
-        .drop("_before", "_after")
+        grid.withColumn("prev", F.coalesce(F.last(reading, ignorenulls=True).over(upto), F.col("before")))
+        .withColumn("next", F.coalesce(F.last(reading, ignorenulls=True).over(onward), F.col("after")))
+        .drop("before", "after")
     )
 
 

@@ -9,13 +9,30 @@ as many tasks as it has blocks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.functions.times import epoch_seconds, from_epoch_seconds
+from gridcast.functions.times import NAIVE, epoch_seconds
 
 BLOCK_ROWS = 4096
+EPOCH = datetime(1970, 1, 1)
+
+
+@dataclass(frozen=True)
+class Extent:
+    """First and last datetime of a table: one row, whatever the table holds."""
+
+    first: datetime | None
+    last: datetime | None
+
+    def steps(self, step_seconds: int) -> int:
+        """Number of grid positions from the first to the last datetime."""
+        if self.first is None or self.last is None:
+            return 0
+        return (self.last - self.first) // timedelta(seconds=step_seconds) + 1
 
 
 def block_of(t: Column | str, block_rows: int = BLOCK_ROWS) -> Column:
@@ -33,14 +50,39 @@ def extent(readings: DataFrame) -> DataFrame:
     return readings.agg(F.min("datetime").alias("first_datetime"), F.max("datetime").alias("last_datetime"))
 
 
-def _skeleton(stations: DataFrame, keys: Sequence[str], last: Column, block_rows: int) -> DataFrame:
-    blocks = stations.withColumn("_last", last).select(
-        *keys, "_last", F.explode(F.sequence(F.lit(0).cast("long"), block_of("_last", block_rows))).alias("block")
+def extent_of(readings: DataFrame) -> Extent:
+    return Extent(*extent(readings).first())
+
+
+def axis_length(axis: DataFrame) -> int:
+    """Number of axis positions."""
+    return axis.count()
+
+
+def _blocks(stations: DataFrame, placed: DataFrame, keys: Sequence[str], n_steps: int, block_rows: int, value: str | None) -> DataFrame:
+    """One row per (station, block); with ``value`` also the closest readings outside the block."""
+    last_block = (n_steps - 1) // block_rows
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(last_block).cast("long")) if n_steps else F.array().cast("array<long>")
+    blocks = stations.select(*keys, F.explode(numbers).alias("block"))
+    if value is None:
+        return blocks.repartition(*keys, "block")
+    reading = F.when(F.col(value).isNotNull(), F.struct(F.col("t").alias("t"), F.col(value).alias("y")))
+    edges = placed.groupBy(*keys, "block").agg(F.min(reading).alias("_first"), F.max(reading).alias("_last"))
+    past = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocks.join(edges, [*keys, "block"], "left")
+        .withColumn("before", F.last("_last", ignorenulls=True).over(past))
+        .withColumn("after", F.last("_first", ignorenulls=True).over(future))
+        .select(*keys, "block", "before", "after")
+        .repartition(*keys, "block")
     )
+
+
+def _expand(blocks: DataFrame, placed: DataFrame, keys: Sequence[str], n_steps: int, block_rows: int) -> DataFrame:
     low = F.col("block") * block_rows
-    return blocks.repartition(*keys, "block").select(
-        *keys, "block", F.explode(F.sequence(low, F.least(low + (block_rows - 1), F.col("_last")))).alias("t")
-    )
+    steps = F.sequence(low, F.least(low + (block_rows - 1), F.lit(n_steps - 1).cast("long")))
+    return blocks.select("*", F.explode(steps).alias("t")).join(placed, [*keys, "block", "t"], "left")
 
 
 def regular_grid(
@@ -49,34 +91,36 @@ def regular_grid(
     keys: Sequence[str] = ("station",),
     value: str = "target",
     block_rows: int = BLOCK_ROWS,
-    limits: DataFrame | None = None,
+    limits: Extent | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """All steps between the first and last datetime, for every station.
 
     Duplicates are averaged; readings off the step are not on the grid.
-    ``limits`` is one row ``(first_datetime, last_datetime)``; by default that of
-    ``readings``.
+    ``carry`` adds ``before`` and ``after``, the closest readings outside each
+    row's block, which the fills need; they are worked out on block rows.
     """
-    limits = extent(readings) if limits is None else limits
-    low, high = epoch_seconds("first_datetime"), epoch_seconds("last_datetime")
-    lo = limits.select(low).scalar()
-    last = limits.select(F.floor((high - low) / step_seconds).cast("long")).scalar()
-    stations = readings.where(F.col("datetime").isNotNull()).select(*keys).distinct()
-    offset = readings.select(*keys, value, (epoch_seconds("datetime") - lo).alias("_off"))
+    limits = extent_of(readings) if limits is None else limits
+    n_steps = limits.steps(step_seconds)
+    start = limits.first or EPOCH
+    origin = (start - EPOCH) // timedelta(seconds=1)
+    offset = epoch_seconds("datetime") - F.lit(origin)
     placed = (
-        offset.where(F.pmod("_off", F.lit(step_seconds)) == 0)
+        readings.where(F.col("datetime").isNotNull())
+        .select(*keys, value, offset.alias("_off"))
+        .where(F.pmod("_off", F.lit(step_seconds)) == 0)
         .groupBy(*keys, F.floor(F.col("_off") / step_seconds).cast("long").alias("t"))
         .agg(F.avg(value).alias(value))
         .withColumn("block", block_of("t", block_rows))
         .repartition(*keys, "block")
     )
-    grid = _skeleton(stations, keys, last, block_rows).join(placed, [*keys, "block", "t"], "left")
-    return grid.withColumn("_lo", lo).select(
-        *keys,
-        "block",
-        "t",
-        from_epoch_seconds(F.col("_lo") + F.col("t") * step_seconds).alias("datetime"),
-        value,
+    stations = readings.where(F.col("datetime").isNotNull()).select(*keys).distinct()
+    blocks = _blocks(stations, placed, keys, n_steps, block_rows, value if carry else None)
+    seconds = (F.col("t") * step_seconds).cast("decimal(18,6)")
+    when = F.lit(start).cast(NAIVE) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    extra = ["before", "after"] if carry else []
+    return _expand(blocks, placed, keys, n_steps, block_rows).select(
+        *keys, "block", "t", when.alias("datetime"), value, *extra
     )
 
 
@@ -84,20 +128,24 @@ def axis_grid(
     readings: DataFrame,
     axis: DataFrame,
     keys: Sequence[str] = ("station",),
-    values: Sequence[str] = ("target",),
+    value: str = "target",
     block_rows: int = BLOCK_ROWS,
+    n_steps: int | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """Every station on every position of a given (possibly irregular) axis."""
-    last = axis.agg(F.max("t")).scalar()
+    n_steps = axis_length(axis) if n_steps is None else n_steps
     placed = (
         readings.groupBy(*keys, "datetime")
-        .agg(*[F.avg(v).alias(v) for v in values])
+        .agg(F.avg(value).alias(value))
         .join(axis, "datetime")
-        .select(*keys, block_of("t", block_rows).alias("block"), "t", *values)
+        .select(*keys, block_of("t", block_rows).alias("block"), "t", value)
         .repartition(*keys, "block")
     )
     stations = readings.select(*keys).distinct()
-    return _skeleton(stations, keys, last, block_rows).join(placed, [*keys, "block", "t"], "left")
+    blocks = _blocks(stations, placed, keys, n_steps, block_rows, value if carry else None)
+    extra = ["before", "after"] if carry else []
+    return _expand(blocks, placed, keys, n_steps, block_rows).select(*keys, "block", "t", value, *extra)
 
 
 def flag_missing(grid: DataFrame, value: str = "target") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridcast.functions.numbers import FULL_SERIES_EPS, SCALE_FLOOR, clamp_min, standardise, unstandardise
 
 
-def train_scale(df: DataFrame, train_end: Column, keys: Sequence[str] = ("station",), value: str = "target") -> DataFrame:
+def train_scale(df: DataFrame, train_end: int | Column, keys: Sequence[str] = ("station",), value: str = "target") -> DataFrame:
     """``mu`` and ``sd`` over the training positions; population deviation, floored."""
     train = df.where(F.col("t") < train_end)
     return train.groupBy(*keys).agg(
@@ -25,7 +25,7 @@ def full_scale(df: DataFrame, keys: Sequence[str] = ("station",), value: str = "
     )
 
 
-def channel_scale(df: DataFrame, train_end: Column, value: str = "value") -> DataFrame:
+def channel_scale(df: DataFrame, train_end: int | Column, value: str = "value") -> DataFrame:
     """Library-style scaler: a constant channel is divided by 1."""
     train = df.where(F.col("t") < train_end)
     sd = F.stddev_pop(value)

@@ -16,43 +16,62 @@ MONTH_HOURS = 30 * 24
 CALENDAR_MONTHS = (12, 4, 4)
 
 
+Position = int | Column
+
+
+def _column(value: Position) -> Column:
+    return value.cast("long") if isinstance(value, Column) else F.lit(value).cast("long")
+
+
+def _share(length: Position, ratio: float) -> Position:
+    """``int(length * ratio)``: truncated double product, so 720 * 0.7 gives 503."""
+    return whole_share(length, ratio) if isinstance(length, Column) else int(length * ratio)
+
+
+def _floor_zero(value: Position) -> Position:
+    return F.greatest(value, F.lit(0).cast("long")) if isinstance(value, Column) else max(value, 0)
+
+
 @dataclass(frozen=True)
 class Ranges:
-    """Start and end position of each split, as columns."""
+    """Start and end position of each split: numbers for one axis, columns per series."""
 
-    bounds: dict[str, tuple[Column, Column]]
+    bounds: dict[str, tuple[Position, Position]]
 
     def array(self) -> Column:
         return F.array(
             *[
-                F.struct(F.lit(name).alias("split"), lo.cast("long").alias("start"), hi.cast("long").alias("end"))
+                F.struct(F.lit(name).alias("split"), _column(lo).alias("start"), _column(hi).alias("end"))
                 for name, (lo, hi) in self.bounds.items()
             ]
         )
 
-    def end(self, split: str) -> Column:
+    def end(self, split: str) -> Position:
         return self.bounds[split][1]
 
+    def only(self, *splits: str) -> Ranges:
+        return Ranges({s: self.bounds[s] for s in splits})
+
 
-def ratio_ranges(length: Column, train: float = TRAIN_RATIO, val: float = VAL_RATIO) -> Ranges:
+def ratio_ranges(length: Position, train: float = TRAIN_RATIO, val: float = VAL_RATIO) -> Ranges:
     """Disjoint splits; windows must lie inside one split."""
-    n_train, n_val = whole_share(length, train), whole_share(length, val)
+    n_train, n_val = _share(length, train), _share(length, val)
     return Ranges(
-        {"train": (F.lit(0), n_train), "val": (n_train, n_train + n_val), "test": (n_train + n_val, length)}
+        {"train": (0, n_train), "val": (n_train, n_train + n_val), "test": (n_train + n_val, length)}
     )
 
 
-def lookback_ranges(length: Column, seq_len: int, val_is_rest: bool = True) -> Ranges:
+def lookback_ranges(length: Position, seq_len: int, val_is_rest: bool = True) -> Ranges:
     """Validation and test reach back by one lookback.
 
     ``val_is_rest`` gives validation whatever train and test leave over;
     otherwise it takes its own 10 % share.
     """
-    n_train, n_test = whole_share(length, TRAIN_RATIO), whole_share(length, TEST_RATIO)
-    n_val = length - n_train - n_test if val_is_rest else whole_share(length, VAL_RATIO)
+    n_train, n_test = _share(length, TRAIN_RATIO), _share(length, TEST_RATIO)
+    n_val = length - n_train - n_test if val_is_rest else _share(length, VAL_RATIO)
     return Ranges(
         {
-            "train": (F.lit(0), n_train),
+            "train": (0, n_train),
             "val": (n_train - seq_len, n_train + n_val),
             "test": (length - n_test - seq_len, length),
         }
@@ -63,22 +82,21 @@ def calendar_ranges(seq_len: int, unit: int = MONTH_HOURS, months: tuple[int, in
     a, b, c = (m * unit for m in months)
     return Ranges(
         {
-            "train": (F.lit(0), F.lit(a)),
-            "val": (F.lit(a - seq_len), F.lit(a + b)),
-            "test": (F.lit(a + b - seq_len), F.lit(a + b + c)),
+            "train": (0, a),
+            "val": (a - seq_len, a + b),
+            "test": (a + b - seq_len, a + b + c),
         }
     )
 
 
-def per_series_ranges(length: Column, seq_len: int, pred_len: int) -> Ranges:
+def per_series_ranges(length: Position, seq_len: int, pred_len: int) -> Ranges:
     """Each series keeps its last horizon for test and the one before for validation."""
     train_len = length - pred_len
-    zero = F.lit(0).cast("long")
     return Ranges(
         {
-            "train": (zero, train_len - pred_len),
-            "val": (F.greatest(train_len - seq_len - pred_len, zero), train_len),
-            "test": (F.greatest(train_len - seq_len, zero), length),
+            "train": (0, train_len - pred_len),
+            "val": (_floor_zero(train_len - seq_len - pred_len), train_len),
+            "test": (_floor_zero(train_len - seq_len), length),
         }
     )
 
@@ -87,7 +105,7 @@ def label_split(df: DataFrame, ranges: Ranges, t: str = "t") -> DataFrame:
     """``split`` name of each position, for disjoint ranges."""
     name = F.lit(None).cast("string")
     for split, (lo, hi) in ranges.bounds.items():
-        name = F.when((F.col(t) >= lo) & (F.col(t) < hi), F.lit(split)).otherwise(name)
+        name = F.when((F.col(t) >= _column(lo)) & (F.col(t) < _column(hi)), F.lit(split)).otherwise(name)
     return df.withColumn("split", name)
 
 

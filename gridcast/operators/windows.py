@@ -140,14 +140,14 @@ def precut_pairs(
     df: DataFrame,
     seq_len: int,
     pred_len: int,
-    length: Column,
+    length: int | Column,
     keys: Sequence[str] = ("station",),
     include_last: bool = True,
     value: str = "target",
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """``(keys, s_begin, x, y)`` with ``y`` the future only, over the whole series."""
-    whole = Ranges({"all": (F.lit(0), length)})
+    whole = Ranges({"all": (0, length)})
     return windows(
         df, seq_len, 0, pred_len, whole, keys, value=value, carry=carry, last_shift=0 if include_last else 1
     ).drop("split")

@@ -61,7 +61,7 @@ def build_clean(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     present = clean.drop_null_rows(readings, ["datetime", "station"])
     stations = axis.station_dimension(present)
     enough = clean.with_min_history(present, rules.min_history)
-    gridded = grid.regular_grid(enough, rules.step_seconds, limits=grid.extent(present))
+    gridded = grid.regular_grid(enough, rules.step_seconds, limits=grid.extent_of(present), carry=True)
     filled = fill.fill_clean(grid.flag_missing(gridded), rules.limit)
     dated = filled.withColumn("date", day_of("datetime"))
     some_value = (

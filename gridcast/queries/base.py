@@ -48,7 +48,7 @@ def render(df: DataFrame) -> DataFrame:
         elif isinstance(kind, (TimestampNTZType, TimestampType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(kind, (DoubleType, FloatType, DecimalType)):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double") * 1e6, 0) / 1e6
         elif isinstance(kind, (ByteType, ShortType)):
             c = c.cast("int")
         elif isinstance(kind, ArrayType):

@@ -19,7 +19,7 @@ LIM = f"lim AS (SELECT *, CASE WHEN t - pt <= {LIMIT} OR nt - t <= {LIMIT} THEN
 
 
 def user_grid(spark, d, step=HOUR):
-    return grid.regular_grid(E.user_readings(spark, d, step), step)
+    return grid.regular_grid(E.user_readings(spark, d, step), step, carry=True)
 
 
 def _rows(df):
@@ -28,7 +28,7 @@ def _rows(df):
 
 @query("j05_grid_completion", f"{USER_GRID} SELECT {ROW}, {r6('target')} AS target FROM grid")
 def _(spark, d):
-    return _rows(user_grid(spark, d))
+    return _rows(grid.regular_grid(E.user_readings(spark, d), HOUR))
 
 
 # Global axis: only datetimes with a value somewhere; every station on every one of them.
@@ -76,7 +76,7 @@ def _(spark, d):
 )
 def _(spark, d):
     r, ax = quarter_axis(spark, d)
-    return fills.fill_linear(grid.axis_grid(r, ax)).select("station", "t", "target")
+    return fills.fill_linear(grid.axis_grid(r, ax, carry=True)).select("station", "t", "target")
 
 
 @query("w05_limited_fill", f"{USER_GRID}, {near_sql('grid')}, {LIM} SELECT {ROW}, {r6('l')} AS target FROM lim")
@@ -103,7 +103,7 @@ def _(spark, d):
 def _(spark, d):
     value = F.when(F.col("value") > 250, F.col("value"))
     r = E.readings(E.table(spark, d, "events"), "ts", F.col("user_id"), value, HOUR)
-    return _rows(fills.fill_linear(grid.regular_grid(r, HOUR), default=-1.0))
+    return _rows(fills.fill_linear(grid.regular_grid(r, HOUR, carry=True), default=-1.0))
 
 
 BREAKS = (

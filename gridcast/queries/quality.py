@@ -71,7 +71,7 @@ def _(spark, d):
     f"orig_missing, {r6('orig_missing_rate')} AS orig_missing_rate FROM facts",
 )
 def _(spark, d):
-    flagged = grid.flag_missing(grid.regular_grid(E.user_readings(spark, d), HOUR))
+    flagged = grid.flag_missing(grid.regular_grid(E.user_readings(spark, d), HOUR, carry=True))
     return Q.station_date_facts(fills.fill_linear(flagged), flag="miss_target")
 
 
