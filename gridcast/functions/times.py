@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from gridcast.functions.columns import as_col
 
 NAIVE = "timestamp_ntz"
-DAY_SECONDS = 86_400
+# Fixed value: seconds from 0001-01-01 to 1970-01-01.
+YEAR_ONE_SECONDS = 62_135_596_800
 
 # Accepted date-time layouts, tried in this order.
 DATETIME_FORMATS = (
@@ -29,20 +30,27 @@ DATETIME_FORMATS = (
 STRICT_DATE_FORMAT = "ddMMMyyyy"
 
 
+def _naive(text: str) -> Column:
+    return F.lit(text).cast(NAIVE)
+
+
+def seconds_interval(seconds: Column | str) -> Column:
+    """Interval of a whole number of seconds."""
+    return F.expr("INTERVAL '1' SECOND") * as_col(seconds)
+
+
 def epoch_seconds(ts: Column | str) -> Column:
-    """Whole seconds since 1970-01-01 of a naive timestamp, with no zone conversion."""
-    ts = as_col(ts)
-    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * DAY_SECONDS + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    """Whole seconds since 1970-01-01 of a naive timestamp, with no zone conversion.
+
+    Counted from year 1 so that earlier times round down as well.
+    """
+    since = as_col(ts) - _naive("0001-01-01 00:00:00")
+    return since.cast("interval second").cast("bigint") - F.lit(YEAR_ONE_SECONDS)
 
 
 def from_epoch_seconds(seconds: Column | str) -> Column:
     """Inverse of :func:`epoch_seconds`."""
-    seconds = as_col(seconds)
-    days = F.floor(seconds / DAY_SECONDS)
-    rest = (seconds - days * DAY_SECONDS).cast("int")
-    origin = F.lit("1970-01-01 00:00:00").cast(NAIVE)
-    return origin + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), rest.cast("decimal(18,6)"))
+    return _naive("1970-01-01 00:00:00") + seconds_interval(seconds)
 
 
 def floor_time(ts: Column | str, step_seconds: int) -> Column:

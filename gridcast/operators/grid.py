@@ -15,7 +15,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.functions.times import NAIVE, epoch_seconds
+from gridcast.functions.times import NAIVE, epoch_seconds, seconds_interval
 
 BLOCK_ROWS = 4096
 EPOCH = datetime(1970, 1, 1)
@@ -116,8 +116,7 @@ def regular_grid(
     )
     stations = readings.where(F.col("datetime").isNotNull()).select(*keys).distinct()
     blocks = _blocks(stations, placed, keys, n_steps, block_rows, value if carry else None)
-    seconds = (F.col("t") * step_seconds).cast("decimal(18,6)")
-    when = F.lit(start).cast(NAIVE) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    when = F.lit(start).cast(NAIVE) + seconds_interval(F.col("t") * step_seconds)
     extra = ["before", "after"] if carry else []
     return _expand(blocks, placed, keys, n_steps, block_rows).select(
         *keys, "block", "t", when.alias("datetime"), value, *extra

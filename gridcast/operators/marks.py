@@ -139,7 +139,7 @@ def mark_stats(marked: DataFrame, column: str = "x_mark") -> DataFrame:
         )
     ) / F.size(F.get(column, F.lit(0)))
     step = marked.agg(F.avg(delta).alias("mean_step")).select("mean_step").scalar()
-    flat = marked.select(F.explode(F.flatten(column)).cast("double").alias("v"))
+    flat = marked.select(F.explode(F.flatten(F.col(column).cast("array<array<double>>"))).alias("v"))
     return flat.agg(
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high")
     ).withColumn("mean_step", step)

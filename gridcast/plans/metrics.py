@@ -76,9 +76,9 @@ def masked_mase() -> Column:
     return F.avg(F.abs(_err()) * divide_or_zero(F.col("mask"), F.col("scale")))
 
 
-def aggregate(rows: DataFrame, by: Sequence[str] = (), **metrics: Column) -> DataFrame:
+def aggregate(table: DataFrame, by: Sequence[str] = (), /, **metrics: Column) -> DataFrame:
     columns = [m.alias(name) for name, m in metrics.items()]
-    return rows.groupBy(*by).agg(*columns) if by else rows.agg(*columns)
+    return table.groupBy(*by).agg(*columns) if by else table.agg(*columns)
 
 
 def bundle(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -1 +1,449 @@
-"""pending"""
+"""Forecasters, rollouts, evaluation tasks, metrics, anomaly flags."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridcast.functions import vectors as V
+from gridcast.functions.numbers import divide_or_zero
+from gridcast.operators import anomaly, ragged, split, windows
+from gridcast.plans import forecasting as P
+from gridcast.plans import metrics as M
+from gridcast.queries.base import arr, query, r6
+from gridcast.queries.slicing import (
+    FILLED,
+    LABEL,
+    LAST,
+    PRED,
+    PROMPT,
+    PTS,
+    S_SEQ,
+    S_TOKEN,
+    SEQ,
+    TEST_WINDOWS,
+    TOKEN,
+    bounds_sql,
+    hour_windows,
+    order_points,
+    starts_sql,
+    test_windows,
+    windows_sql,
+)
+from gridcast.sources import events as E
+
+KEYS = ["station", "s_begin"]
+FREQ = 24
+ODD_PRED, ODD_TOKEN = 20, 12
+
+# ---- forecast rows -------------------------------------------------------------
+
+# Daily-season forecast of every test window beside the truth.
+ROWS = (
+    f"{TEST_WINDOWS}, steps AS (SELECT CAST(range AS INTEGER) AS step FROM range({PRED})), "
+    f"fr AS (SELECT w.station, w.s_begin, k.step, w.x[{SEQ - FREQ} + 1 + k.step % {FREQ}] AS pred, w.y[{LABEL} + 1 + k.step] AS truth FROM tw w CROSS JOIN steps k)"
+)
+
+
+def day_ahead(spark, d, token=PRED):
+    model = P.forecaster("seasonal", token, FREQ)
+    return P.rollout(test_windows(spark, d), model, PRED, token)
+
+
+def day_ahead_rows(spark, d):
+    return P.forecast_rows(day_ahead(spark, d), PRED, KEYS)
+
+
+def metric_sql(**parts: str) -> str:
+    return f"WITH {ROWS} SELECT " + ", ".join(f"{r6(e)} AS {n}" for n, e in parts.items()) + " FROM fr"
+
+
+@query(
+    "j10_forecast_alignment",
+    f"WITH {ROWS} SELECT station, s_begin, step, {r6('pred')} AS pred, {r6('truth')} AS \"true\" FROM fr",
+)
+def _(spark, d):
+    forecast = P.forecast_rows(day_ahead(spark, d), PRED, KEYS).drop("true")
+    truth = test_windows(spark, d).select(
+        *KEYS, F.posexplode(V.tail(F.col("y"), PRED)).alias("step", "true")
+    )
+    return P.align(forecast, truth, KEYS)
+
+
+@query("m01_mae", metric_sql(mae="avg(abs(pred - truth))"))
+def _(spark, d):
+    return M.aggregate(day_ahead_rows(spark, d), mae=M.mae())
+
+
+@query("m02_mse", metric_sql(mse="avg((pred - truth) * (pred - truth))"))
+def _(spark, d):
+    return M.aggregate(day_ahead_rows(spark, d), mse=M.mse())
+
+
+@query("m03_rmse", metric_sql(rmse="sqrt(avg((pred - truth) * (pred - truth)))"))
+def _(spark, d):
+    return M.aggregate(day_ahead_rows(spark, d), rmse=M.rmse())
+
+
+@query("m04_mape", metric_sql(mape="avg(abs((pred - truth) / nullif(truth, 0)))"))
+def _(spark, d):
+    return M.aggregate(day_ahead_rows(spark, d), mape=M.mape())
+
+
+@query("m05_mspe", metric_sql(mspe="avg(power((pred - truth) / nullif(truth, 0), 2))"))
+def _(spark, d):
+    return M.aggregate(day_ahead_rows(spark, d), mspe=M.mspe())
+
+
+@query("m06_rse", metric_sql(rse="sqrt(sum(power(truth - pred, 2))) / sqrt(sum(power(truth - (SELECT avg(truth) FROM fr), 2)))"))
+def _(spark, d):
+    return M.aggregate(day_ahead_rows(spark, d), rse=M.rse())
+
+
+@query(
+    "m07_step_correlation",
+    f"WITH {ROWS}, cm AS (SELECT *, truth - avg(truth) OVER (PARTITION BY step) AS a, pred - avg(pred) OVER (PARTITION BY step) AS b FROM fr), "
+    "c AS (SELECT step, sum(a * b) / sqrt(sum(a * a * b * b)) AS v FROM cm GROUP BY step) "
+    f"SELECT {r6('avg(v)')} AS corr FROM c",
+)
+def _(spark, d):
+    return M.step_correlation(day_ahead_rows(spark, d))
+
+
+BUNDLE = (
+    f"count(*) AS rows, count(*) FILTER (truth = 0) AS zero_truths, {r6('avg(abs(pred - truth))')} AS mae, "
+    f"{r6('avg((pred - truth) * (pred - truth))')} AS mse, {r6('sqrt(avg((pred - truth) * (pred - truth)))')} AS rmse, "
+    f"{r6('avg(abs((pred - truth) / nullif(truth, 0)))')} AS mape, {r6('avg(power((pred - truth) / nullif(truth, 0), 2))')} AS mspe"
+)
+
+
+@query("m08_metric_bundle", f"WITH {ROWS} SELECT {BUNDLE} FROM fr")
+def _(spark, d):
+    return M.bundle(day_ahead_rows(spark, d))
+
+
+@query("m09_smape", metric_sql(smape="avg(200 * abs(pred - truth) / (abs(pred) + abs(truth) + 1e-8))"))
+def _(spark, d):
+    return M.aggregate(day_ahead_rows(spark, d), smape=M.smape())
+
+
+@query("m10_mape_percent", metric_sql(mape="avg(abs(100 * (pred - truth) / (truth + 1e-8)))"))
+def _(spark, d):
+    return M.aggregate(day_ahead_rows(spark, d), mape=M.mape_percent())
+
+
+# ---- masked metrics on last windows --------------------------------------------
+
+# Last known value of a series against its newest token; padded cells are masked out.
+S_ROWS = (
+    f"{PTS}, lw AS (SELECT series, list(y ORDER BY t) AS w, max(n) AS n FROM sized WHERE t >= n - {S_SEQ + S_TOKEN} GROUP BY series), "
+    f"pad AS (SELECT series, n, list_concat(list_transform(range({S_SEQ + S_TOKEN} - len(w)), lambda i: 0.0), w) AS w, "
+    f"list_concat(list_transform(range({S_SEQ + S_TOKEN} - len(w)), lambda i: 0.0), list_transform(w, lambda i: 1.0)) AS m FROM lw), "
+    f"cellrows AS (SELECT series, n, w, m, unnest(range(1, {S_TOKEN} + 1)) AS i FROM pad), "
+    f"fr AS (SELECT series, CASE WHEN n < 6 THEN 'short' WHEN n < 9 THEN 'middle' ELSE 'long' END AS pattern, w[{S_SEQ}] AS pred, "
+    f"w[{S_SEQ} + i] AS truth, m[{S_SEQ} + i] AS mask, "
+    f"list_sum(list_transform(range(2, {S_SEQ} + 1), lambda j: abs(w[j] - w[j - 1]))) / {S_SEQ - 1} AS scale FROM cellrows)"
+)
+DIV_MT = "CASE WHEN truth = 0 THEN 0 ELSE mask / truth END"
+DIV_MS = "CASE WHEN scale = 0 THEN 0 ELSE mask / scale END"
+DIV_E = "CASE WHEN abs(pred) + abs(truth) = 0 THEN 0 ELSE abs(pred - truth) / (abs(pred) + abs(truth)) END"
+MASKED = {
+    "mape": f"avg(abs((pred - truth) * ({DIV_MT})))",
+    "smape": f"200 * avg(({DIV_E}) * mask)",
+    "mase": f"avg(abs(pred - truth) * ({DIV_MS}))",
+}
+
+
+def masked_rows(spark, d):
+    """``(series, pattern, pred, true, mask, scale)`` for the newest token of every series."""
+    points = order_points(spark, d)
+    whole = ragged.last_window(points, S_SEQ + S_TOKEN)
+    sized = whole.join(ragged.lengths(points), ragged.KEY)
+    pattern = F.when(F.col("n") < 6, "short").when(F.col("n") < 9, "middle").otherwise("long")
+    past = V.head(F.col("x"), S_SEQ)
+    model = P.forecaster("last_value", S_TOKEN)
+    cut = sized.select(
+        ragged.KEY,
+        pattern.alias("pattern"),
+        V.tail(F.col("x"), S_TOKEN).alias("truth"),
+        V.tail(F.col("mask"), S_TOKEN).alias("mask"),
+        past.alias("x"),
+    )
+    out = P.rollout(cut, model, S_TOKEN, S_TOKEN).withColumn("scale", M.seasonal_scale(F.col("x"), 1))
+    cells = F.arrays_zip(F.col("forecast").alias("p"), F.col("truth").alias("t"), F.col("mask").alias("m"))
+    return out.select(ragged.KEY, "pattern", "scale", F.explode(cells).alias("_c")).select(
+        ragged.KEY,
+        "pattern",
+        F.col("_c.p").alias("pred"),
+        F.col("_c.t").alias("true"),
+        F.col("_c.m").alias("mask"),
+        "scale",
+    )
+
+
+@query("m11_masked_mape", f"WITH {S_ROWS} SELECT {r6(MASKED['mape'])} AS mape FROM fr")
+def _(spark, d):
+    return M.aggregate(masked_rows(spark, d), mape=M.masked_mape())
+
+
+@query("m12_masked_smape", f"WITH {S_ROWS} SELECT {r6(MASKED['smape'])} AS smape FROM fr")
+def _(spark, d):
+    return M.aggregate(masked_rows(spark, d), smape=M.masked_smape())
+
+
+@query("m13_masked_mase", f"WITH {S_ROWS} SELECT {r6(MASKED['mase'])} AS mase FROM fr")
+def _(spark, d):
+    return M.aggregate(masked_rows(spark, d), mase=M.masked_mase())
+
+
+PER_PATTERN = (
+    f"pp AS (SELECT pattern, count(DISTINCT series) AS series_count, {MASKED['smape']} AS smape, 100 * {MASKED['mape']} AS mape, "
+    f"{MASKED['mase']} AS mase FROM fr GROUP BY pattern)"
+)
+
+
+@query(
+    "m15_pattern_summary",
+    f"WITH {S_ROWS}, {PER_PATTERN} SELECT pattern, series_count, {r6('smape')} AS smape, {r6('mape')} AS mape, {r6('mase')} AS mase FROM pp "
+    "UNION ALL SELECT 'Average', CAST(sum(series_count) AS BIGINT), "
+    + ", ".join(r6(f"sum({m} * series_count) / sum(series_count)") for m in ("smape", "mape", "mase"))
+    + " FROM pp",
+)
+def _(spark, d):
+    return M.pattern_summary(masked_rows(spark, d))
+
+
+@query(
+    "m14_accuracy",
+    f"SELECT {r6('avg(CAST(((value > 100) = (user_id < 50)) AS INTEGER))')} AS accuracy FROM events",
+)
+def _(spark, d):
+    labels = E.table(spark, d, "events").select(
+        (F.col("value") > 100).cast("int").alias("truth"), (F.col("user_id") < 50).cast("int").alias("found")
+    )
+    return anomaly.accuracy(labels, "truth", "found")
+
+
+@query(
+    "f07_divide_or_zero",
+    "SELECT event_id, round(CASE WHEN round(value) % 3 = 0 THEN 0 ELSE value / (round(value) % 3) END, 6) AS ratio FROM events",
+)
+def _(spark, d):
+    den = F.floor(F.col("value") + 0.5) % 3
+    return E.table(spark, d, "events").select(
+        "event_id", divide_or_zero(F.col("value"), den.cast("double")).alias("ratio")
+    )
+
+
+@query(
+    "a21_batch_weighted_loss",
+    f"WITH {ROWS}, b AS (SELECT s_begin // 32 AS batch, avg((pred - truth) * (pred - truth)) AS loss, count(*) AS n FROM fr GROUP BY 1) "
+    f"SELECT {r6('sum(loss * n) / sum(n)')} AS weighted_loss, {r6('avg(loss)')} AS unweighted_loss, count(*) AS batches FROM b",
+)
+def _(spark, d):
+    rows = day_ahead_rows(spark, d).withColumn("batch", F.floor(F.col("s_begin") / 32))
+    return M.batch_weighted(rows)
+
+
+# ---- forecasters and rollouts --------------------------------------------------
+
+
+def _roll_sql(expr: str) -> str:
+    return f"WITH {TEST_WINDOWS} SELECT station, s_begin, {arr(expr)} AS forecast FROM tw"
+
+
+@query("t08_last_value", _roll_sql(f"list_transform(range({PRED}), lambda i: x[{SEQ}])"))
+def _(spark, d):
+    model = P.forecaster("last_value", TOKEN)
+    return P.rollout(test_windows(spark, d), model, PRED, TOKEN).select(*KEYS, "forecast")
+
+
+@query("t08_last_token", _roll_sql(f"list_transform(range({PRED}), lambda i: x[{SEQ - TOKEN} + 1 + i % {TOKEN}])"))
+def _(spark, d):
+    model = P.forecaster("last_token", TOKEN)
+    return P.rollout(test_windows(spark, d), model, PRED, TOKEN).select(*KEYS, "forecast")
+
+
+@query("t01_seasonal_rollout", _roll_sql(f"list_transform(range({PRED}), lambda i: x[{SEQ - FREQ} + 1 + i % {FREQ}])"))
+def _(spark, d):
+    return day_ahead(spark, d, token=FREQ).select(*KEYS, "forecast")
+
+
+@query("t02_trimmed_rollout", _roll_sql(f"list_transform(range({ODD_PRED}), lambda i: x[{SEQ - ODD_TOKEN} + 1 + i % {ODD_TOKEN}])"))
+def _(spark, d):
+    model = P.forecaster("last_token", ODD_TOKEN)
+    return P.rollout(test_windows(spark, d), model, ODD_PRED, ODD_TOKEN).select(*KEYS, "forecast")
+
+
+HORIZONS = (6, 12, 18, 24)
+
+
+@query(
+    "t03_many_horizons",
+    f"WITH {ROWS} SELECT CAST(h.h AS INTEGER) AS horizon, count(*) AS rows, {r6('avg(abs(pred - truth))')} AS mae, "
+    f"{r6('avg((pred - truth) * (pred - truth))')} AS mse FROM fr JOIN (SELECT unnest([{', '.join(map(str, HORIZONS))}]) AS h) h ON fr.step < h.h GROUP BY h.h",
+)
+def _(spark, d):
+    model = P.forecaster("seasonal", FREQ, FREQ)
+    return P.evaluate_horizons(test_windows(spark, d), model, HORIZONS, FREQ, KEYS)
+
+
+@query("t10_long_term_task", f"WITH {ROWS} SELECT {BUNDLE} FROM fr")
+def _(spark, d):
+    run = P.task("long_term_forecast")
+    return run(test_windows(spark, d), P.forecaster("seasonal", FREQ, FREQ), PRED, FREQ, KEYS)
+
+
+@query(
+    "t06_last_window_forecast",
+    f"WITH {PTS}, {LAST} SELECT series, {arr(f'list_transform(range({S_TOKEN}), lambda i: x[{S_SEQ - S_TOKEN} + 1 + i])')} AS forecast FROM last_w",
+)
+def _(spark, d):
+    last = ragged.last_window(order_points(spark, d), S_SEQ)
+    return P.task("short_term_forecast")(last, P.forecaster("last_token", S_TOKEN), S_TOKEN, [ragged.KEY])
+
+
+# Plain windows end where the horizon starts; prompted windows put the first two tokens in front.
+ICL = (
+    f"{PTS}, {PROMPT}, zs AS (SELECT series, list(y ORDER BY t) FILTER (t < n - {S_TOKEN}) AS x, list(y ORDER BY t) FILTER (t >= n - {S_TOKEN}) AS y "
+    f"FROM sized WHERE n > {4 * S_TOKEN} AND t >= n - {4 * S_TOKEN} GROUP BY series), "
+    "both_w AS (SELECT 'zero_shot' AS mode, x, y FROM zs UNION ALL SELECT 'in_context', x, y FROM prompt), "
+    f"stepped AS (SELECT mode, list_sum(x) / len(x) AS pred, y, unnest(range(1, {S_TOKEN} + 1)) AS i FROM both_w), "
+    "fr AS (SELECT mode, pred, y[i] AS truth FROM stepped)"
+)
+
+
+def mean_forecaster(token_len):
+    """A user's own forecaster: the lookback mean, repeated."""
+    return lambda df: df.withColumn("token", F.array_repeat(V.array_mean(F.col("x")), token_len))
+
+
+P.register("lookback_mean", mean_forecaster)
+
+
+@query(
+    "t05_in_context_task",
+    f"WITH {ICL} SELECT mode, count(*) AS rows, {r6('avg(200 * abs(pred - truth) / (abs(pred) + abs(truth) + 1e-8))')} AS smape, "
+    f"{r6('avg(abs(100 * (pred - truth) / (truth + 1e-8)))')} AS mape FROM fr GROUP BY mode",
+)
+def _(spark, d):
+    points = ragged.drop_short(order_points(spark, d), S_TOKEN)
+    plain = ragged.last_window(points, 4 * S_TOKEN).select(
+        ragged.KEY,
+        V.head(F.col("x"), 3 * S_TOKEN).alias("x"),
+        V.tail(F.col("x"), S_TOKEN).alias("y"),
+    )
+    prompted = ragged.prompt_window(points, S_TOKEN)
+    return P.task("in_context_forecast")(plain, prompted, P.forecaster("lookback_mean", S_TOKEN), S_TOKEN, [ragged.KEY])
+
+
+@query(
+    "t09_user_forecaster",
+    _roll_sql(
+        f"list_transform(range({TOKEN}), lambda i: list_sum(x) / len(x))"
+    ),
+)
+def _(spark, d):
+    model = P.forecaster("lookback_mean", TOKEN)
+    return P.rollout(test_windows(spark, d), model, TOKEN, TOKEN).select(*KEYS, "forecast")
+
+
+# ---- fitted forecaster ---------------------------------------------------------
+
+SHIFT = SEQ - TOKEN
+TRAIN_WINDOWS = (
+    f"{FILLED}, {bounds_sql()}, {starts_sql(SEQ + TOKEN)}, {windows_sql(SEQ, SHIFT, TOKEN)}, trw AS (SELECT * FROM win WHERE split = 'train')"
+)
+
+
+def train_windows(spark, d):
+    return hour_windows(spark, d, only=["train"], seq=SEQ, label=SHIFT, pred=TOKEN)
+
+
+def train_pairs(spark, d):
+    return P.supervision_pairs(train_windows(spark, d), SEQ, SHIFT, TOKEN)
+
+
+@query(
+    "t11_supervision_pairs",
+    f"WITH {TRAIN_WINDOWS}, p AS (SELECT station, split, s_begin, x, y, unnest(range({SEQ // TOKEN})) AS pos FROM trw) "
+    f"SELECT station, split, s_begin, CAST(pos AS INTEGER) AS pos, {arr(f'x[pos * {TOKEN} + 1 : pos * {TOKEN} + {TOKEN}]')} AS token_in, "
+    f"{arr(f'y[pos * {TOKEN} + 1 : pos * {TOKEN} + {TOKEN}]')} AS token_out FROM p",
+)
+def _(spark, d):
+    return train_pairs(spark, d)
+
+
+@query(
+    "t12_token_losses",
+    f"WITH {TRAIN_WINDOWS}, p AS (SELECT x, y, unnest(range(1, {SEQ} + 1)) AS i FROM trw), "
+    "e AS (SELECT i, power(x[i] - y[i], 2) AS sq FROM p) "
+    f"SELECT {r6('avg(sq)')} AS all_token_mse, {r6(f'avg(sq) FILTER (i > {SHIFT})')} AS last_token_mse FROM e",
+)
+def _(spark, d):
+    return P.last_token_loss(train_windows(spark, d), P.forecaster("last_token", TOKEN), TOKEN)
+
+
+@query("t07_linear_forecaster")
+def _(spark, d):
+    weights = P.fit_linear_token(train_pairs(spark, d), TOKEN)
+    rows = P.forecast_rows(
+        P.rollout(test_windows(spark, d), P.forecaster("linear_token", weights), PRED, TOKEN), PRED, KEYS
+    )
+    return M.bundle(rows)
+
+
+def daily_user_windows(spark, d):
+    """Daily series of another table: shipped quantity per supplier."""
+    from gridcast.functions.times import floor_time
+    from gridcast.operators import fill as fills
+    from gridcast.operators import grid
+
+    week = 7 * 86_400
+    r = E.shipment_readings(spark, d).withColumn("datetime", floor_time("datetime", week))
+    limits = grid.extent_of(r)
+    filled = fills.fill_linear(grid.regular_grid(r, week, limits=limits, carry=True), default=0.0)
+    ranges = split.ratio_ranges(limits.steps(week)).only("test")
+    return windows.windows(filled, SEQ, LABEL, TOKEN, ranges)
+
+
+@query("t04_zero_shot_task")
+def _(spark, d):
+    return P.task("zero_shot_forecast")(train_pairs(spark, d), daily_user_windows(spark, d), TOKEN, TOKEN, KEYS)
+
+
+@query("j11_target_domain_swap")
+def _(spark, d):
+    weights = P.fit_linear_token(train_pairs(spark, d), TOKEN)
+    model = P.normalised(P.forecaster("linear_token", weights))
+    rows = P.forecast_rows(P.rollout(daily_user_windows(spark, d), model, TOKEN, TOKEN), TOKEN, KEYS)
+    return M.aggregate(rows, rows=F.count(F.lit(1)), smape=M.smape(), mape=M.mape_percent())
+
+
+# ---- anomaly flags -------------------------------------------------------------
+
+FLAGS = "fl AS (SELECT event_id, CAST(value > 20 AS INTEGER) AS gt, CAST(user_id % 10 < 3 AS INTEGER) AS pred FROM events)"
+
+
+def _flags(spark, d):
+    return E.table(spark, d, "events").select(
+        "event_id", (F.col("value") > 20).cast("int").alias("gt"), (F.col("user_id") % 10 < 3).cast("int").alias("pred")
+    )
+
+
+ADJUST = (
+    f"WITH {FLAGS}, z AS (SELECT *, sum(1 - gt) OVER (ORDER BY event_id) AS run FROM fl) "
+    "SELECT event_id, gt, pred, CASE WHEN gt = 1 THEN max(CASE WHEN gt = 1 THEN pred END) OVER (PARTITION BY run) ELSE pred END AS adjusted FROM z"
+)
+
+
+@query("w26_point_adjust", ADJUST)
+def _(spark, d):
+    return anomaly.point_adjust(_flags(spark, d), "event_id", block_rows=512)
+
+
+@query(
+    "w26_point_adjust_strict",
+    f"SELECT event_id, gt, pred, CASE WHEN event_id = (SELECT min(event_id) FROM events) THEN pred ELSE adjusted END AS adjusted FROM ({ADJUST})",
+)
+def _(spark, d):
+    return anomaly.point_adjust(_flags(spark, d), "event_id", block_rows=512, skip_first=True)

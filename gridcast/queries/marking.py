@@ -1 +1,205 @@
-"""pending"""
+"""Mark vectors: checks, lookups, prompts, pooling, statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridcast.functions import vectors as V
+from gridcast.operators import axis, grid, marks
+from gridcast.plans import forecasting as P
+from gridcast.queries.base import arr, query, r6
+from gridcast.queries.slicing import (
+    HOUR,
+    LABEL,
+    PRED,
+    SEQ,
+    TEST_WINDOWS,
+    TOKEN,
+    test_windows,
+)
+from gridcast.sources import events as E
+
+MARK_DIM = 64
+
+
+def axis_marks(spark, d):
+    """A vector for every hour of the axis: the embedding table repeats along it."""
+    vectors = E.embedding_marks(spark, d)
+    r = E.type_readings(spark, d)
+    ax = axis.time_axis(r)
+    n = vectors.agg(F.count(F.lit(1))).scalar()
+    return ax.withColumn("_n", n).withColumn("_v", F.col("t") % F.col("_n")).join(
+        vectors.select(F.col("t").alias("_v"), "emb"), "_v"
+    ).select("t", "emb")
+
+
+def station_marks(spark, d):
+    """Per-station weather vectors: the same table, shifted by station."""
+    r = E.type_readings(spark, d)
+    stations = axis.station_dimension(r)
+    vectors = E.embedding_marks(spark, d)
+    n_steps = grid.extent_of(r).steps(HOUR)
+    n = vectors.agg(F.count(F.lit(1))).scalar()
+    slots = stations.select(
+        "station", "station_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_steps - 1).cast("long"))).alias("t")
+    ).withColumn("_n", n)
+    slots = slots.withColumn("_v", (F.col("t") + 7 * (F.col("station_id") + 1)) % F.col("_n"))
+    return slots.join(vectors.select(F.col("t").alias("_v"), "emb"), "_v").select("station", "t", "emb")
+
+
+VEC = (
+    "vecs AS (SELECT vec_id, embedding AS emb, count(*) OVER () AS nv FROM embeddings), "
+    "marks AS (SELECT ax.t, v.emb FROM (SELECT DISTINCT t FROM filled) ax JOIN vecs v ON v.vec_id = ax.t % v.nv), "
+    "sids AS (SELECT station, row_number() OVER (ORDER BY station) - 1 AS sid FROM (SELECT DISTINCT station FROM filled)), "
+    "wmarks AS (SELECT f.station, f.t, v.emb FROM filled f JOIN sids USING (station) JOIN vecs v ON v.vec_id = (f.t + 7 * (sid + 1)) % v.nv)"
+)
+
+
+def pick_sql(table: str, lo: str, n: int, keyed: bool = False) -> str:
+    """Flattened marks of every token from position ``lo`` over ``n`` points."""
+    station = f" AND k.station = w.station" if keyed else ""
+    return (
+        f"(SELECT flatten(list(k.emb ORDER BY k.t)) FROM {table} k WHERE k.t >= {lo} AND k.t < {lo} + {n} "
+        f"AND (k.t - ({lo})) % {TOKEN} = 0{station})"
+    )
+
+
+MARKED = (
+    f"{TEST_WINDOWS}, {VEC}, mw AS (SELECT w.*, {pick_sql('marks', 'w.s_begin', SEQ)} AS x_mark, "
+    f"{pick_sql('marks', f'w.s_begin + {SEQ}', PRED)} AS y_mark FROM tw w)"
+)
+
+
+def marked_windows(spark, d):
+    return marks.attach_marks(test_windows(spark, d), axis_marks(spark, d), SEQ, LABEL, PRED, TOKEN)
+
+
+@query(
+    "f06_span_prompts",
+    "WITH ax AS (SELECT DISTINCT date_trunc('hour', ts) AS dt FROM events) SELECT row_number() OVER (ORDER BY dt) - 1 AS t, "
+    f"'This is Time Series from ' || strftime(dt, '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(dt + INTERVAL {TOKEN - 1} HOUR, '%Y-%m-%d %H:%M:%S') || '.' AS prompt FROM ax",
+)
+def _(spark, d):
+    return marks.prompts(axis.time_axis(E.type_readings(spark, d)), TOKEN, 60)
+
+
+@query(
+    "s12_mark_scan_check",
+    "WITH ax AS (SELECT count(DISTINCT date_trunc('hour', ts)) AS n FROM events) SELECT n AS least_marked, n AS most_marked, "
+    "n AS axis_points, CAST(0 AS BIGINT) AS outside, true AS ok FROM ax",
+)
+def _(spark, d):
+    return marks.check_marks(axis_marks(spark, d), axis.time_axis(E.type_readings(spark, d)))
+
+
+@query(
+    "w20_mark_positions",
+    f"WITH {TEST_WINDOWS} SELECT station, s_begin, array_to_string(list_transform(range({SEQ // TOKEN}), lambda i: "
+    f"CAST((s_begin + i * {TOKEN}) * 10000 AS VARCHAR)), ',') AS x_pos, array_to_string(list_transform(range({PRED // TOKEN}), "
+    f"lambda i: CAST((s_begin + {SEQ} + i * {TOKEN}) * 10000 AS VARCHAR)), ',') AS y_pos FROM tw",
+)
+def _(spark, d):
+    index = test_windows(spark, d).select("station", "s_begin")
+    return marks.mark_positions(index, SEQ, LABEL, PRED, TOKEN)
+
+
+@query(
+    "j08_time_marks",
+    f"WITH {MARKED} SELECT station, s_begin, {arr('x_mark')} AS x_mark, {arr('y_mark')} AS y_mark FROM mw",
+)
+def _(spark, d):
+    return marked_windows(spark, d).select("station", "s_begin", "x_mark", "y_mark")
+
+
+BOTH = (
+    f"{TEST_WINDOWS}, {VEC}, bw AS (SELECT w.station, w.s_begin, list_transform(range({SEQ // TOKEN}), lambda i: w.s_begin + i * {TOKEN}) AS pos FROM tw w), "
+    "ex AS (SELECT station, s_begin, unnest(pos) AS t FROM bw), "
+    "je AS (SELECT ex.station, ex.s_begin, ex.t, list_concat(m.emb, k.emb) AS emb FROM ex JOIN marks m ON m.t = ex.t "
+    "JOIN wmarks k ON k.station = ex.station AND k.t = ex.t)"
+)
+
+
+@query(
+    "j09_time_and_weather_marks",
+    f"WITH {BOTH} SELECT station, s_begin, {arr('flatten(list(emb ORDER BY t))')} AS x_mark FROM je GROUP BY station, s_begin",
+)
+def _(spark, d):
+    return both_marks(spark, d).select("station", "s_begin", "x_mark")
+
+
+def both_marks(spark, d):
+    timed = marked_windows(spark, d)
+    weather = marks.attach_marks(
+        timed, station_marks(spark, d), SEQ, LABEL, PRED, TOKEN, keys=["station"], names=("_wx", "_wy")
+    )
+    return weather.withColumn("x_mark", marks.join_marks(F.col("x_mark"), F.col("_wx"))).withColumn(
+        "y_mark", marks.join_marks(F.col("y_mark"), F.col("_wy"))
+    ).drop("_wx", "_wy")
+
+
+@query(
+    "w27_future_mark_feed",
+    f"WITH {MARKED} SELECT station, s_begin, {arr(f'list_concat(x_mark[{MARK_DIM + 1}:], y_mark[1:{MARK_DIM}])')} AS x_mark FROM mw",
+)
+def _(spark, d):
+    w = marked_windows(spark, d)
+    return w.select("station", "s_begin", marks.feed_future_mark(F.col("x_mark"), F.col("y_mark"), 1).alias("x_mark"))
+
+
+NORM = "sqrt(list_sum(list_transform({v}, lambda q: CAST(q AS DOUBLE) * CAST(q AS DOUBLE))))"
+
+
+@query(
+    "f13_unit_vectors",
+    f"WITH v AS (SELECT vec_id, embedding AS e, {NORM.format(v='embedding')} AS n FROM embeddings) "
+    f"SELECT vec_id, {arr('list_transform(e, lambda q: CAST(q AS DOUBLE) / n)')} AS unit FROM v",
+)
+def _(spark, d):
+    vectors = E.embedding_marks(spark, d)
+    return vectors.select(F.col("t").alias("vec_id"), V.unit(F.col("emb")).alias("unit"))
+
+
+@query(
+    "f14_mix_vectors",
+    f"WITH v AS (SELECT vec_id, embedding AS e, {NORM.format(v='embedding')} AS n, count(*) OVER () AS nv FROM embeddings) "
+    f"SELECT a.vec_id, {arr('list_transform(range(1, len(a.e) + 1), lambda i: CAST(a.e[i] AS DOUBLE) / a.n + 0.3 * (CAST(b.e[i] AS DOUBLE) / b.n))')} AS mixed "
+    "FROM v a JOIN v b ON b.vec_id = (a.vec_id + 1) % a.nv",
+)
+def _(spark, d):
+    vectors = E.embedding_marks(spark, d)
+    n = vectors.agg(F.count(F.lit(1))).scalar()
+    nxt = vectors.select(F.col("t").alias("_t"), F.col("emb").alias("_e"))
+    joined = vectors.withColumn("_n", n).withColumn("_t", (F.col("t") + 1) % F.col("_n")).join(nxt, "_t")
+    return joined.select(F.col("t").alias("vec_id"), V.mix(F.col("emb"), F.col("_e"), 0.3).alias("mixed"))
+
+
+# Token vectors pooled per label; tokens of even id are masked out as padding.
+@query(
+    "a22_masked_mean",
+    "WITH flat AS (SELECT label, CASE WHEN embedding[1] > 0 THEN 1.0 ELSE 0.0 END AS m, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings), "
+    "p AS (SELECT label, dim, sum(CAST(v AS DOUBLE) * m) / greatest(sum(m), 1e-6) AS v FROM flat GROUP BY label, dim) "
+    f"SELECT label, {arr('list(v ORDER BY dim)')} AS emb FROM p GROUP BY label",
+)
+def _(spark, d):
+    tokens = E.table(spark, d, "embeddings").select(
+        "label", F.col("embedding").alias("vec"), (F.get("embedding", F.lit(0)) > 0).cast("int").alias("mask")
+    )
+    return marks.masked_mean(tokens, ["label"])
+
+
+@query(
+    "a24_mark_stats",
+    f"WITH {MARKED}, flat AS (SELECT CAST(unnest(x_mark) AS DOUBLE) AS v FROM mw), "
+    f"steps AS (SELECT list_sum(list_transform(range(1, {MARK_DIM} + 1), lambda i: abs(CAST(x_mark[i + {MARK_DIM}] AS DOUBLE) - CAST(x_mark[i] AS DOUBLE)))) / {MARK_DIM} AS s FROM mw) "
+    f"SELECT {r6('avg(v)')} AS mean, {r6('stddev_samp(v)')} AS sd, {r6('min(v)')} AS low, {r6('max(v)')} AS high, "
+    f"(SELECT {r6('avg(s)')} FROM steps) AS mean_step FROM flat",
+)
+def _(spark, d):
+    return marks.mark_stats(marked_windows(spark, d))
+
+
+@query("a23_mark_ablation")
+def _(spark, d):
+    return P.ablation(both_marks(spark, d), P.forecaster("marked_persistence", TOKEN, 10.0), PRED, TOKEN)
+
+

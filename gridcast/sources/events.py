@@ -45,12 +45,12 @@ def shipment_readings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_series(spark: SparkSession, folder: str) -> DataFrame:
-    """One series per customer: order totals by date, then order key."""
+    """One series per customer: order totals by date, then order key; pending orders have none yet."""
     return table(spark, folder, "orders").select(
         F.col("o_custkey").alias("series"),
         F.col("o_orderdate").cast(NAIVE).alias("at"),
         F.col("o_orderkey").alias("seq"),
-        F.col("o_totalprice").alias("y"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("y"),
     )
 
 
