@@ -17,12 +17,10 @@ NAIVE = "timestamp_ntz"
 # Fixed value: seconds from 0001-01-01 to 1970-01-01.
 YEAR_ONE_SECONDS = 62_135_596_800
 
-# Accepted date-time layouts, tried in this order.
+# Layouts tried after ISO dates and times, in this order.
 DATETIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
+    "MM/dd/yyyy HH:mm",
+    "MM/dd/yyyy",
     "dd/MM/yyyy HH:mm",
     "dd/MM/yyyy",
     "ddMMMyyyy",
@@ -72,9 +70,12 @@ def _parse(text: Column, fmt: str) -> Column:
 
 
 def parse_datetime(text: Column | str, formats: Sequence[str] = DATETIME_FORMATS) -> Column:
-    """Lenient parse: the first layout that fits, NULL when none does."""
+    """Lenient parse: ISO first, then the first layout that fits, NULL when none does.
+
+    A date such as 03/04/2021 is read month first.
+    """
     text = F.trim(as_col(text))
-    return F.coalesce(*[_parse(text, fmt) for fmt in formats])
+    return F.coalesce(text.try_cast(NAIVE), *[_parse(text, fmt) for fmt in formats])
 
 
 def parse_strict_date(text: Column | str) -> Column:

@@ -77,7 +77,7 @@ def _(spark, d):
 
 DATE_TEXT = (
     "texts AS (SELECT event_id, CASE event_type WHEN 'click' THEN upper(strftime(ts, '%d%b%Y')) "
-    "WHEN 'view' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 'signup' THEN strftime(ts, '%d/%m/%Y') "
+    "WHEN 'view' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 'signup' THEN strftime(ts, '%m/%d/%Y') "
     "WHEN 'error' THEN strftime(ts, '%Y.%m.%d') ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS txt, event_type, ts FROM events)"
 )
 
@@ -87,7 +87,7 @@ def _date_texts(spark, d):
     text = (
         F.when(k == "click", F.upper(F.date_format(t, "ddMMMyyyy")))
         .when(k == "view", F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
-        .when(k == "signup", F.date_format(t, "dd/MM/yyyy"))
+        .when(k == "signup", F.date_format(t, "MM/dd/yyyy"))
         .when(k == "error", F.date_format(t, "yyyy.MM.dd"))
         .otherwise(F.date_format(t, "yyyy-MM-dd HH:mm"))
     )

@@ -11,13 +11,16 @@ from gridcast.functions.numbers import nan_to_null, parse_number
 from gridcast.functions.times import NAIVE, parse_datetime
 from gridcast.operators.axis import positions
 
-# Text encoding, value marker and date layout of the format.
-TSF_ENCODING = "windows-1252"
+# Text encoding (cp1252, read byte by byte, then mapped), value marker and date layout of the format.
+READ_ENCODING = "iso-8859-1"
 TSF_MISSING = "?"
 TSF_DATE = "yyyy-MM-dd HH-mm-ss"
 TRUE_WORDS = ("y", "yes", "t", "true", "on", "1")
 FALSE_WORDS = ("n", "no", "f", "false", "off", "0")
 MAX_META_LINES = 10_000
+# Bytes that cp1252 maps to another character than Latin-1 does.
+_HIGH = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+LATIN_1, CP1252 = ("".join(part) for part in zip(*[(a, c) for a, c in _HIGH if c]))
 # A character that text files do not hold, so that each line is one CSV field.
 NO_SEPARATOR = "\u0001"
 
@@ -58,12 +61,12 @@ def read_tsf(spark: SparkSession, path: str, value: str = "series_value", strict
     """
     lines = (
         spark.read.schema("line string")
-        .option("encoding", TSF_ENCODING)
+        .option("encoding", READ_ENCODING)
         .option("sep", NO_SEPARATOR)
         .option("quote", "")
         .option("escape", "")
         .csv(path)
-        .select(F.trim("line").alias("line"))
+        .select(F.translate(F.trim("line"), LATIN_1, CP1252).alias("line"))
         .where(F.length("line") > 0)
     )
     meta = [r["line"] for r in lines.where(F.col("line").startswith("@")).limit(MAX_META_LINES).toLocalIterator()]
