@@ -29,17 +29,20 @@ def positions(
     block: dict[str, Column],
     name: str,
     keys: Sequence[str] = (),
+    total: str | None = None,
 ) -> DataFrame:
     """Zero-based position of each row in its ``keys`` group, ordered by ``order``.
 
     ``block`` maps new column names to expressions that never decrease along
-    ``order``; a block should hold a bounded number of rows.
+    ``order``; a block should hold a bounded number of rows.  ``total`` names a
+    column for the size of the group.
     """
     cuts = list(block)
     tagged = df.withColumns(block)
     sizes = tagged.groupBy(*keys, *cuts).agg(F.count(F.lit(1)).alias("_rows"))
+    group_size = [F.sum("_rows").over(Window.partitionBy(*keys)).alias(total)] if total else []
     starts = sizes.select(
-        *keys, *cuts, F.coalesce(F.sum("_rows").over(_before(keys, cuts)), F.lit(0)).alias("_start")
+        *keys, *cuts, F.coalesce(F.sum("_rows").over(_before(keys, cuts)), F.lit(0)).alias("_start"), *group_size
     )
     local = F.row_number().over(Window.partitionBy(*keys, *cuts).orderBy(*order))
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.numbers import is_finite
 from gridcast.functions.times import NAIVE, day_of, parse_datetime
+from gridcast.staging import small_side
 
 LONG_COLUMNS = ("datetime", "station", "target")
 # Names accepted for the measured column, in order of preference.
@@ -109,13 +110,13 @@ def rejected_half(readings: DataFrame) -> DataFrame:
 
 
 def exclude(readings: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is not listed; Spark picks the join side by measured size."""
-    return readings.join(listed.select(key), key, "left_anti")
+    """Rows whose ``key`` is not listed."""
+    return readings.join(small_side(listed.select(key)), key, "left_anti")
 
 
 def exclude_dates(readings: DataFrame, dates: DataFrame) -> DataFrame:
     dated = readings.withColumn("_date", day_of("datetime"))
-    return dated.join(dates.select(F.col("date").alias("_date")), "_date", "left_anti").drop("_date")
+    return dated.join(small_side(dates.select(F.col("date").alias("_date"))), "_date", "left_anti").drop("_date")
 
 
 def bad_stations(summary: DataFrame, threshold: float = STATION_THRESHOLD) -> DataFrame:
@@ -142,7 +143,7 @@ def candidate_stations(summary: DataFrame, threshold: float = CANDIDATE_THRESHOL
 def with_min_history(readings: DataFrame, minimum: int = MIN_HISTORY, key: str = "station") -> DataFrame:
     """Stations with at least ``minimum`` values."""
     enough = readings.groupBy(key).agg(F.count("target").alias("_n")).where(F.col("_n") >= minimum).select(key)
-    return readings.join(enough, key, "left_semi")
+    return readings.join(small_side(enough), key, "left_semi")
 
 
 def without_empty_stations(readings: DataFrame, empty: DataFrame) -> DataFrame:

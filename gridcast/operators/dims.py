@@ -1,7 +1,7 @@
 """Attaching station ids, weather and other dimensions.
 
-Joins carry no broadcast hint: Spark broadcasts a side only when its measured
-size is under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+A dimension is copied to the executors only after its size was measured;
+otherwise the join shuffles.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.text import strip_voltage_tag
 from gridcast.operators.quality import duplicate_keys, unmatched_keys
+from gridcast.staging import small_side
 
 
 def attach_station_id(readings: DataFrame, stations: DataFrame) -> DataFrame:
-    return readings.join(stations.select("station", "station_id"), "station", "left")
+    return readings.join(small_side(stations.select("station", "station_id")), "station", "left")
 
 
 def clean_station_map(stations: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def clean_station_map(stations: DataFrame) -> DataFrame:
 def attach_weather_station_id(weather: DataFrame, stations: DataFrame) -> DataFrame:
     """Station id on the cleaned name; of several ids under one name the largest counts."""
     ids = clean_station_map(stations).groupBy("station_clean").agg(F.max("station_id").alias("station_id"))
-    return weather.join(ids, "station_clean", "left")
+    return weather.join(small_side(ids), "station_clean", "left")
 
 
 def unmatched_weather(weather: DataFrame, stations: DataFrame) -> DataFrame:

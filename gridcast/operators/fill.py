@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.staging import small_side
+
 
 def with_neighbours(
     grid: DataFrame, keys: Sequence[str] = ("station",), value: str = "target"
@@ -125,7 +127,7 @@ def fill_with_median(df: DataFrame, keys: Sequence[str] = ("station",), value: s
     """NULLs take the station's median; a station without any value takes 0."""
     medians = station_medians(df, keys, value).withColumnRenamed("median", "_median")
     return (
-        df.join(medians, list(keys), "left")
+        df.join(small_side(medians), list(keys), "left")
         .withColumn(value, F.coalesce(value, "_median", F.lit(0.0)))
         .drop("_median")
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.times import NAIVE, epoch_seconds, seconds_interval
+from gridcast.staging import small_side
 
 BLOCK_ROWS = 4096
 EPOCH = datetime(1970, 1, 1)
@@ -63,7 +64,7 @@ def _blocks(stations: DataFrame, placed: DataFrame, keys: Sequence[str], n_steps
     """One row per (station, block); with ``value`` also the closest readings outside the block."""
     last_block = (n_steps - 1) // block_rows
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(last_block).cast("long")) if n_steps else F.array().cast("array<long>")
-    blocks = stations.select(*keys, F.explode(numbers).alias("block"))
+    blocks = stations.select("*", F.explode(numbers).alias("block"))
     if value is None:
         return blocks.repartition(*keys, "block")
     reading = F.when(F.col(value).isNotNull(), F.struct(F.col("t").alias("t"), F.col(value).alias("y")))
@@ -74,7 +75,7 @@ def _blocks(stations: DataFrame, placed: DataFrame, keys: Sequence[str], n_steps
         blocks.join(edges, [*keys, "block"], "left")
         .withColumn("before", F.last("_last", ignorenulls=True).over(past))
         .withColumn("after", F.last("_first", ignorenulls=True).over(future))
-        .select(*keys, "block", "before", "after")
+        .drop("_first", "_last")
         .repartition(*keys, "block")
     )
 
@@ -85,6 +86,13 @@ def _expand(blocks: DataFrame, placed: DataFrame, keys: Sequence[str], n_steps:
     return blocks.select("*", F.explode(steps).alias("t")).join(placed, [*keys, "block", "t"], "left")
 
 
+def on_grid(readings: DataFrame, limits: Extent, step_seconds: int) -> DataFrame:
+    """Readings that fall on the grid, with their distance ``_off`` from its start in seconds."""
+    origin = ((limits.first or EPOCH) - EPOCH) // timedelta(seconds=1)
+    placed = readings.where(F.col("datetime").isNotNull()).withColumn("_off", epoch_seconds("datetime") - F.lit(origin))
+    return placed.where(F.pmod("_off", F.lit(step_seconds)) == 0)
+
+
 def regular_grid(
     readings: DataFrame,
     step_seconds: int,
@@ -93,31 +101,32 @@ def regular_grid(
     block_rows: int = BLOCK_ROWS,
     limits: Extent | None = None,
     carry: bool = False,
+    stations: DataFrame | None = None,
 ) -> DataFrame:
     """All steps between the first and last datetime, for every station.
 
     Duplicates are averaged; readings off the step are not on the grid.
+    ``stations`` lists the stations wanted, one row each; its other columns are
+    kept on every grid row, and readings of other stations are left out.
     ``carry`` adds ``before`` and ``after``, the closest readings outside each
     row's block, which the fills need; they are worked out on block rows.
     """
     limits = extent_of(readings) if limits is None else limits
     n_steps = limits.steps(step_seconds)
     start = limits.first or EPOCH
-    origin = (start - EPOCH) // timedelta(seconds=1)
-    offset = epoch_seconds("datetime") - F.lit(origin)
     placed = (
-        readings.where(F.col("datetime").isNotNull())
-        .select(*keys, value, offset.alias("_off"))
-        .where(F.pmod("_off", F.lit(step_seconds)) == 0)
+        on_grid(readings, limits, step_seconds)
+        .select(*keys, value, "_off")
         .groupBy(*keys, F.floor(F.col("_off") / step_seconds).cast("long").alias("t"))
         .agg(F.avg(value).alias(value))
         .withColumn("block", block_of("t", block_rows))
         .repartition(*keys, "block")
     )
-    stations = readings.where(F.col("datetime").isNotNull()).select(*keys).distinct()
+    if stations is None:
+        stations = readings.where(F.col("datetime").isNotNull()).select(*keys).distinct()
     blocks = _blocks(stations, placed, keys, n_steps, block_rows, value if carry else None)
     when = F.lit(start).cast(NAIVE) + seconds_interval(F.col("t") * step_seconds)
-    extra = ["before", "after"] if carry else []
+    extra = [c for c in blocks.columns if c not in (*keys, "block")]
     return _expand(blocks, placed, keys, n_steps, block_rows).select(
         *keys, "block", "t", when.alias("datetime"), value, *extra
     )
@@ -137,13 +146,13 @@ def axis_grid(
     placed = (
         readings.groupBy(*keys, "datetime")
         .agg(F.avg(value).alias(value))
-        .join(axis, "datetime")
+        .join(small_side(axis), "datetime")
         .select(*keys, block_of("t", block_rows).alias("block"), "t", value)
         .repartition(*keys, "block")
     )
     stations = readings.select(*keys).distinct()
     blocks = _blocks(stations, placed, keys, n_steps, block_rows, value if carry else None)
-    extra = ["before", "after"] if carry else []
+    extra = [c for c in blocks.columns if c not in (*keys, "block")]
     return _expand(blocks, placed, keys, n_steps, block_rows).select(*keys, "block", "t", value, *extra)
 
 

@@ -17,6 +17,7 @@ from gridcast.functions.times import span_prompt
 from gridcast.operators.windows import series_blocks
 
 MARK_BLOCK = 256
+MARK_COPIES = 8
 
 
 def prompts(axis: DataFrame, token_len: int, step_minutes: int) -> DataFrame:
@@ -77,19 +78,27 @@ def attach_marks(
     keys: Sequence[str] = (),
     block: int = MARK_BLOCK,
     names: tuple[str, str] = ("x_mark", "y_mark"),
+    copies: int = MARK_COPIES,
 ) -> DataFrame:
-    """Adds the mark arrays of every window; ``keys`` is ("station",) for per-station marks."""
+    """Adds the mark arrays of every window; ``keys`` is ("station",) for per-station marks.
+
+    Shared marks meet the windows of all stations in one block, so each block is
+    copied a few times and the windows of that block are dealt out among the copies.
+    """
     parts = mark_blocks(marks, seq_len + pred_len - 1, keys, block)
+    copies = 1 if keys else copies
+    parts = parts.withColumn("_copy", F.explode(F.array(*[F.lit(i).cast("long") for i in range(copies)])))
     placed = mark_positions(index, seq_len, label_len, pred_len, token_len).withColumn(
         "part", F.floor(F.col("s_begin") / block).cast("long")
     )
-    joined = placed.join(parts, [*keys, "part"])
+    dealt = F.pmod(F.xxhash64(*[c for c in ("station", "series", "channel", "s_begin") if c in index.columns]), F.lit(copies))
+    joined = placed.withColumn("_copy", dealt).join(parts, [*keys, "part", "_copy"])
 
     def pick(pos: str) -> Column:
         return F.transform(pos, lambda i: F.get("marks", (i - F.col("base")).cast("int")))
 
     return joined.withColumn(names[0], pick("x_pos")).withColumn(names[1], pick("y_pos")).drop(
-        "part", "base", "marks", "x_pos", "y_pos"
+        "part", "base", "marks", "x_pos", "y_pos", "_copy"
     )
 
 

@@ -1,7 +1,8 @@
-"""Collections of series of different lengths, in long form ``(series, t, y)``.
+"""Collections of series of different lengths, in long form ``(series, t, y, n)``.
 
-Only the few points a window needs are ever gathered; a long series is never
-turned into one array.
+``n`` is the length of the series.  Only the few points a window needs are ever
+gathered; a long series is never turned into one array, and no step joins on the
+series key.
 """
 
 from __future__ import annotations
@@ -17,72 +18,69 @@ from gridcast.operators.split import per_series_ranges
 from gridcast.operators.windows import windows
 
 KEY = "series"
+COLUMNS = (KEY, "t", "y", "n")
 
 
 def with_positions(long: DataFrame, order: Sequence[str], block: dict[str, Column]) -> DataFrame:
-    """Position ``t`` of each value that is present; missing values close up."""
+    """Position and series length of each value that is present; missing values close up."""
     present = long.where(F.col("y").isNotNull() & ~F.isnan("y"))
-    return positions(present, order, block, "t", keys=[KEY])
+    return positions(present, order, block, "t", keys=[KEY], total="n").select(*COLUMNS)
 
 
 def lengths(points: DataFrame) -> DataFrame:
-    return points.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-
-
-def with_length(points: DataFrame) -> DataFrame:
-    return points.join(lengths(points), KEY)
+    return points.where(F.col("t") == 0).select(KEY, "n")
 
 
 def drop_short(points: DataFrame, token_len: int) -> DataFrame:
     """Series of more than four tokens."""
-    longer = lengths(points).where(F.col("n") > 4 * token_len)
-    return points.join(longer.select(KEY), KEY, "left_semi")
+    return points.where(F.col("n") > 4 * token_len)
 
 
 def pad_front(points: DataFrame, minimum: int) -> DataFrame:
     """Zeros in front of series shorter than ``minimum``; positions move up."""
-    sized = with_length(points)
     gap = F.greatest(F.lit(minimum) - F.col("n"), F.lit(0))
-    moved = sized.select(KEY, (F.col("t") + gap).alias("t"), "y")
+    length = F.greatest(F.col("n"), F.lit(minimum).cast("long")).alias("n")
+    moved = points.select(KEY, (F.col("t") + gap).alias("t"), "y", length)
     short = lengths(points).where(F.col("n") < minimum)
-    filler = short.select(
-        KEY, F.explode(F.sequence(F.lit(0).cast("long"), minimum - 1 - F.col("n"))).alias("t"), F.lit(0.0).alias("y")
-    )
+    slots = F.explode(F.sequence(F.lit(0).cast("long"), minimum - 1 - F.col("n"))).alias("t")
+    filler = short.select(KEY, slots, F.lit(0.0).alias("y"), F.lit(minimum).cast("long").alias("n"))
     return moved.unionByName(filler)
 
 
 def series_windows(points: DataFrame, seq_len: int, label_len: int, pred_len: int) -> DataFrame:
     """Per-series splits after front padding: at most one validation and exactly one test window."""
-    padded = with_length(pad_front(points, seq_len + pred_len))
+    padded = pad_front(points, seq_len + pred_len)
     ranges = per_series_ranges(F.col("n"), seq_len, pred_len)
-    return windows(
-        padded, seq_len, label_len, pred_len, ranges, keys=[KEY], value="y", carry=["n"]
-    )
+    return windows(padded, seq_len, label_len, pred_len, ranges, keys=[KEY], value="y", carry=["n"])
 
 
-def _gather(rows: DataFrame, name: str = "w") -> DataFrame:
+def _gather(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Bounded gather: callers have already cut each series to a fixed number of rows."""
-    return rows.groupBy(KEY).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda p: p["y"]).alias(name)
-    )
+    return rows.groupBy(KEY, *extra).agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("p"))
+
+
+def _values(pairs: Column) -> Column:
+    return F.transform(pairs, lambda p: p["y"])
+
+
+def _ones(values: Column) -> Column:
+    return F.transform(values, lambda _: F.lit(1.0))
 
 
 def last_window(points: DataFrame, seq_len: int) -> DataFrame:
     """``(series, x, mask)``: last ``seq_len`` points, zeros in front of shorter series."""
-    recent = with_length(points).where(F.col("t") >= F.col("n") - seq_len)
-    w = F.col("w")
+    recent = points.where(F.col("t") >= F.col("n") - seq_len)
+    w = _values(F.col("p"))
     return _gather(recent).select(
-        KEY,
-        V.pad_left(w, seq_len).alias("x"),
-        V.pad_left(F.transform(w, lambda _: F.lit(1.0)), seq_len).alias("mask"),
+        KEY, V.pad_left(w, seq_len).alias("x"), V.pad_left(_ones(w), seq_len).alias("mask")
     )
 
 
 def prompt_window(points: DataFrame, token_len: int) -> DataFrame:
     """``(series, x, y)``: first two tokens and the second-to-last one, then the last token."""
-    sized = with_length(points).where(F.col("n") > 4 * token_len)
-    ends = sized.where((F.col("t") < 2 * token_len) | (F.col("t") >= F.col("n") - 2 * token_len))
-    w = F.col("w")
+    edge = 2 * token_len
+    ends = drop_short(points, token_len).where((F.col("t") < edge) | (F.col("t") >= F.col("n") - edge))
+    w = _values(F.col("p"))
     return _gather(ends).select(
         KEY,
         F.slice(w, F.lit(1), F.lit(3 * token_len)).alias("x"),
@@ -100,26 +98,20 @@ def random_cut_windows(
     """
     low = F.greatest(F.lit(1).cast("long"), F.col("n") - limit)
     span = F.greatest(F.col("n") - low, F.lit(1).cast("long"))
-    cuts = lengths(points).select(KEY, "n", (low + F.pmod(F.xxhash64(F.lit(seed), KEY), span)).alias("cut"))
-    near = points.join(cuts, KEY).where(
-        (F.col("t") >= F.col("cut") - max(seq_len, label_len)) & (F.col("t") < F.col("cut") + pred_len)
-    )
-    parts = near.groupBy(KEY, "n", "cut").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("p"))
-
-    def between(lo: Column, hi: Column) -> Column:
-        kept = F.filter("p", lambda q: (q["t"] >= lo) & (q["t"] < hi))
-        return F.transform(kept, lambda q: q["y"])
-
-    c = F.col("cut")
-    inside, outside = between(c - seq_len, c), between(F.greatest(c - label_len, F.lit(0)), c + pred_len)
-    ones = lambda a: F.transform(a, lambda _: F.lit(1.0))
+    placed = points.withColumn("cut", low + F.pmod(F.xxhash64(F.lit(seed), KEY), span))
+    back = max(seq_len, label_len)
+    near = placed.where((F.col("t") >= F.col("cut") - back) & (F.col("t") < F.col("cut") + pred_len))
+    c, p = F.col("cut"), F.col("p")
+    inside = _values(F.filter(p, lambda q: (q["t"] >= c - seq_len) & (q["t"] < c)))
+    first = F.greatest(c - label_len, F.lit(0).cast("long"))
+    outside = _values(F.filter(p, lambda q: (q["t"] >= first) & (q["t"] < c + pred_len)))
     out = label_len + pred_len
-    return parts.select(
+    return _gather(near, ["n", "cut"]).select(
         KEY,
         "n",
         "cut",
         V.pad_left(inside, seq_len).alias("insample"),
-        V.pad_left(ones(inside), seq_len).alias("insample_mask"),
+        V.pad_left(_ones(inside), seq_len).alias("insample_mask"),
         V.pad_right(outside, out).alias("outsample"),
-        V.pad_right(ones(outside), out).alias("outsample_mask"),
+        V.pad_right(_ones(outside), out).alias("outsample_mask"),
     )

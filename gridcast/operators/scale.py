@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.numbers import FULL_SERIES_EPS, SCALE_FLOOR, clamp_min, standardise, unstandardise
+from gridcast.staging import small_side
 
 
 def train_scale(df: DataFrame, train_end: int | Column, keys: Sequence[str] = ("station",), value: str = "target") -> DataFrame:
@@ -34,7 +35,7 @@ def channel_scale(df: DataFrame, train_end: int | Column, value: str = "value")
 
 def apply_scale(df: DataFrame, params: DataFrame, keys: Sequence[str] = ("station",), value: str = "target") -> DataFrame:
     """One row of ``params`` per key; the columns ``mu`` and ``sd`` stay for the way back."""
-    joined = df.join(params, list(keys))
+    joined = df.join(small_side(params), list(keys))
     return joined.withColumn(value, standardise(F.col(value), F.col("mu"), F.col("sd")))
 
 

@@ -14,7 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.functions.vectors import tail
+from gridcast.operators.axis import positions
 from gridcast.operators.split import Ranges
+from gridcast.staging import small_side
 
 BLOCK_POINTS = 2048
 
@@ -96,7 +99,7 @@ def windows_index(
 
 def keep_contiguous(index: DataFrame, starts: DataFrame) -> DataFrame:
     """Windows whose start is listed by ``contiguous_starts``."""
-    return index.join(starts.select(F.col("t").alias("s_begin")), "s_begin", "left_semi")
+    return index.join(small_side(starts.select(F.col("t").alias("s_begin"))), "s_begin", "left_semi")
 
 
 def cut(points: Column, base: Column, start: Column, length: int) -> Column:
@@ -155,8 +158,6 @@ def precut_pairs(
 
 def with_label_tail(pairs: DataFrame, label_len: int) -> DataFrame:
     """Puts the last ``label_len`` points of ``x`` in front of ``y``."""
-    from gridcast.functions.vectors import tail
-
     return pairs.withColumn("y", F.concat(tail(F.col("x"), label_len), F.col("y")))
 
 
@@ -179,8 +180,6 @@ def shuffled_batches(samples: DataFrame, seed: int, batch_size: int, ids: Sequen
     The order is that of a hash; ranks come from hash ranges, so there is no
     global sort.  ``drop_last`` leaves out an incomplete last batch.
     """
-    from gridcast.operators.axis import positions
-
     hashed = samples.withColumn("_h", F.xxhash64(F.lit(seed), *ids))
     ranked = positions(hashed, ["_h", *ids], {"_range": F.shiftright("_h", 52)}, "position").drop("_h")
     batched = ranked.withColumn("batch", F.floor(F.col("position") / batch_size).cast("long"))

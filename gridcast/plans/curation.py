@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.times import day_of
-from gridcast.operators import axis, clean, dims, fill, grid, quality
-from gridcast.plans.staging import settle
+from gridcast.operators import axis, clean, fill, grid, quality
+from gridcast.staging import settle, small_side
 
 # 15-minute readings and one day of interpolation.
 STEP_SECONDS = 900
@@ -35,42 +35,50 @@ class Filtered:
 def filter_readings(readings: DataFrame, rules: Rules = Rules(), facts: DataFrame | None = None) -> Filtered:
     """Drops bad stations and bad dates, then stations left without any value.
 
-    ``dropped_dates`` lists only dates that the kept stations really had;
-    ``dropped_stations`` joins all reasons.
+    All decisions are made on the daily facts; the readings are read once more,
+    to be filtered.  ``dropped_dates`` lists only dates that the remaining
+    stations really had; ``dropped_stations`` joins all reasons.
     """
-    facts = quality.station_date_facts(readings) if facts is None else facts
-    listed_stations = clean.bad_stations(quality.station_summary(facts), rules.station_threshold)
-    listed_dates = clean.bad_dates(quality.date_summary(facts), rules.date_threshold)
-    kept = clean.exclude(clean.drop_null_rows(readings), listed_stations, "station")
-    present = kept.select(day_of("datetime").alias("date"))
-    dropped_dates = present.intersect(listed_dates)
-    dated = clean.exclude_dates(kept, listed_dates)
-    valued = dated.groupBy("station").agg(F.count("target").alias("_n")).where(F.col("_n") > 0).select("station")
-    emptied = kept.select("station").distinct().join(valued, "station", "left_anti")
-    present_stations = readings.select("station").distinct()
-    dropped = listed_stations.join(present_stations, "station", "left_semi").union(emptied).distinct()
-    return Filtered(dated.join(valued, "station", "left_semi"), dropped, dropped_dates)
+    facts = settle(quality.station_date_facts(clean.drop_null_rows(readings))) if facts is None else facts
+    listed_stations = settle(clean.bad_stations(quality.station_summary(facts), rules.station_threshold))
+    listed_dates = settle(clean.bad_dates(quality.date_summary(facts), rules.date_threshold))
+    kept = clean.exclude(facts, listed_stations, "station")
+    dropped_dates = kept.select("date").distinct().join(listed_dates, "date", "left_semi")
+    per_station = (
+        kept.join(listed_dates.withColumn("_listed", F.lit(True)), "date", "left")
+        .groupBy("station")
+        .agg(F.sum(F.when(F.col("_listed").isNull(), F.col("total_points") - F.col("orig_missing"))).alias("_values"))
+    )
+    emptied = per_station.where(F.coalesce("_values", F.lit(0)) == 0).select("station")
+    dropped_stations = listed_stations.union(emptied).distinct()
+    filtered = clean.exclude(clean.drop_null_rows(readings), dropped_stations, "station")
+    return Filtered(clean.exclude_dates(filtered, listed_dates), dropped_stations, dropped_dates)
 
 
 def build_clean(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``(datetime, station, station_id, target, miss_target, date)`` on the full grid.
 
     Station ids cover every station of the input; stations with too little
-    history are left out of the result, fully empty dates as well.
+    history are left out of the result, fully empty dates as well.  One pass over
+    the readings gives a row per station with its count and time range; ids,
+    history and the grid's limits come from those rows.
     """
     present = clean.drop_null_rows(readings, ["datetime", "station"])
-    stations = axis.station_dimension(present)
-    enough = clean.with_min_history(present, rules.min_history)
-    gridded = grid.regular_grid(enough, rules.step_seconds, limits=grid.extent_of(present), carry=True)
-    filled = fill.fill_clean(grid.flag_missing(gridded), rules.limit)
-    dated = filled.withColumn("date", day_of("datetime"))
-    some_value = (
-        dated.groupBy("date").agg(F.count_if(F.col("miss_target") == 0).alias("_n")).where(F.col("_n") > 0).select("date")
-    )
-    kept = dated.join(some_value, "date", "left_semi")
-    return dims.attach_station_id(kept, stations).select(
-        "datetime", "station", "station_id", "target", "miss_target", "date"
+    profile = settle(
+        present.groupBy("station").agg(
+            F.count("target").alias("_values"), F.min("datetime").alias("_low"), F.max("datetime").alias("_high")
+        )
     )
+    limits = grid.Extent(*profile.agg(F.min("_low"), F.max("_high")).first())
+    enough = profile.where(F.col("_values") >= rules.min_history).select("station")
+    wanted = axis.station_dimension(profile).join(enough, "station", "left_semi")
+    gridded = grid.regular_grid(present, rules.step_seconds, limits=limits, carry=True, stations=wanted)
+    filled = fill.fill_clean(grid.flag_missing(gridded), rules.limit).withColumn("date", day_of("datetime"))
+    valued = grid.on_grid(present.where(F.col("target").isNotNull()), limits, rules.step_seconds)
+    valued = valued.groupBy("station", day_of("datetime").alias("date")).agg(F.count(F.lit(1)).alias("_n"))
+    dates = valued.join(enough, "station", "left_semi").select("date").distinct()
+    kept = filled.join(small_side(dates), "date", "left_semi")
+    return kept.select("datetime", "station", "station_id", "target", "miss_target", "date")
 
 
 @dataclass(frozen=True)

@@ -58,21 +58,20 @@ def marked_persistence(token_len: int, weight: float) -> Forecaster:
 
 
 def linear_token(weights: Sequence[Sequence[float]]) -> Forecaster:
-    """Next token = affine map of the last token; ``weights`` is (token_len + 1) rows by token_len."""
+    """Next token = affine map of the last token; ``weights`` is (token_len + 1) rows by token_len.
+
+    One matrix product per Arrow batch; the weights have a fixed size.
+    """
     w = np.asarray(weights, dtype=float)
     token_len = w.shape[1]
-    # Fixed size: token_len * (token_len + 1) numbers travel with the plan.
-    by_output = [F.array(*[F.lit(float(v)) for v in w[:-1, j]]) for j in range(token_len)]
 
-    def run(df: DataFrame) -> DataFrame:
-        newest = V.tail(F.col("x"), token_len)
-        outs = [
-            F.lit(float(w[-1, j])) + V.array_sum(F.zip_with(newest, by_output[j], lambda a, b: a * b))
-            for j in range(token_len)
-        ]
-        return df.withColumn("token", F.array(*outs))
+    @F.pandas_udf("array<double>")
+    def step(newest: pd.Series) -> pd.Series:
+        if not len(newest):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.stack(newest.to_numpy()) @ w[:-1] + w[-1]))
 
-    return run
+    return lambda df: df.withColumn("token", step(V.tail(F.col("x"), token_len)))
 
 
 FORECASTERS: dict[str, Callable[..., Forecaster]] = {

@@ -100,12 +100,13 @@ def step_correlation(rows: DataFrame) -> DataFrame:
     """Per step: sum of products of centred values over the root of the sum of products
     of their squares; then the mean over steps.
 
-    Not the usual correlation.  Step means are a table of one row per step.
+    Not the usual correlation.  The broadcast side has one row per step, so no
+    more rows than the horizon has points.
     """
     means = rows.groupBy("step").agg(F.avg("true").alias("_mt"), F.avg("pred").alias("_mp"))
     a, b = F.col("true") - F.col("_mt"), F.col("pred") - F.col("_mp")
     per_step = (
-        rows.join(means, "step")
+        rows.join(F.broadcast(means), "step")
         .groupBy("step")
         .agg(F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a * b * b))).alias("_c"))
     )

@@ -357,17 +357,17 @@ MIN_LEN = S_SEQ + S_PRED
 def order_points(spark, d):
     return ragged.with_positions(
         E.order_series(spark, d), ["at", "seq"], {"_day": day_of("at"), "_cut": F.floor(F.col("seq") / 1_000_000)}
-    ).select("series", "t", "y")
+    )
 
 
 @query("p20_strip_missing", f"WITH {PTS} SELECT series, t, {r6('y')} AS y FROM pts")
 def _(spark, d):
-    return order_points(spark, d)
+    return order_points(spark, d).drop("n")
 
 
 @query("p19_drop_short", f"WITH {PTS} SELECT series, t, {r6('y')} AS y FROM sized WHERE n > {4 * S_TOKEN}")
 def _(spark, d):
-    return ragged.drop_short(order_points(spark, d), S_TOKEN)
+    return ragged.drop_short(order_points(spark, d), S_TOKEN).drop("n")
 
 
 PADDED = (
@@ -378,7 +378,7 @@ PADDED = (
 
 @query("w22_left_padding", f"WITH {PTS}, {PADDED} SELECT series, CAST(t AS BIGINT) AS t, {r6('y')} AS y FROM padded")
 def _(spark, d):
-    return ragged.pad_front(order_points(spark, d), MIN_LEN)
+    return ragged.pad_front(order_points(spark, d), MIN_LEN).drop("n")
 
 
 @query(

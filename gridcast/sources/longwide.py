@@ -52,21 +52,6 @@ class Scan:
     rejects: DataFrame
 
 
-def existing(spark: SparkSession, folders: Sequence[str], pattern: str, recursive: bool = False) -> DataFrame:
-    """Paths under those ``folders`` that exist and hold matching files."""
-    listed = spark.createDataFrame([], "path string")
-    for folder in folders:
-        reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-        if recursive:
-            reader = reader.option("recursiveFileLookup", "true")
-        try:
-            listed = listed.unionByName(reader.load(folder).select("path"))
-        except Exception as error:  # a folder that is not there is skipped
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    return listed
-
-
 def _lines(spark: SparkSession, paths: Sequence[str], pattern: str, recursive: bool) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", pattern)
     if recursive:
@@ -98,11 +83,14 @@ def layouts(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv",
         F.monotonically_increasing_id().alias("_n"),
     )
     firsts = lines.where(F.col("_at") == 0).groupBy("path").agg(F.min_by("value", "_n").alias("header"))
-    grouped = firsts.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy("header")
+    # One short row per file, as in Spark's own file listing.
+    by_header: dict[str, list[str]] = {}
+    for row in firsts.toLocalIterator():
+        by_header.setdefault(row["header"], []).append(row["path"])
     found = []
-    for row in grouped.toLocalIterator():
-        names = next(csv.reader([row["header"].lstrip("﻿")]))
-        found.append(Layout(tuple(n.strip() for n in names), tuple(row["paths"])))
+    for header, paths in sorted(by_header.items()):
+        names = next(csv.reader([header.lstrip("﻿")]))
+        found.append(Layout(tuple(n.strip() for n in names), tuple(sorted(paths))))
     return found
 
 
