@@ -36,7 +36,9 @@ def station_from_file_name(file_name: Column | str) -> Column:
 
 
 def file_name_of(path: Column | str) -> Column:
-    return F.url_decode(F.element_at(F.split(as_col(path), "/"), -1))
+    """Last part of a path as Spark reports it, with its escapes undone."""
+    last = F.element_at(F.split(as_col(path), "/"), -1)
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
 
 
 def strip_voltage_tag(station: Column | str) -> Column:

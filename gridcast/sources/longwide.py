@@ -7,8 +7,10 @@ header, so the number of reads follows the number of layouts, not of files.
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,11 @@ def present_folders(spark: SparkSession, folders: Sequence[str], pattern: str, r
     return kept
 
 
+def literal_path(path: str) -> str:
+    """A reported path as one to read: escapes undone, glob characters taken literally."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(path))
+
+
 def layouts(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv", recursive: bool = False) -> list[Layout]:
     """Distinct headers with their files; missing folders are skipped."""
     kept = present_folders(spark, folders, pattern, recursive)
@@ -86,7 +93,7 @@ def layouts(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv",
     # One short row per file, as in Spark's own file listing.
     by_header: dict[str, list[str]] = {}
     for row in firsts.toLocalIterator():
-        by_header.setdefault(row["header"], []).append(row["path"])
+        by_header.setdefault(row["header"], []).append(literal_path(row["path"]))
     found = []
     for header, paths in sorted(by_header.items()):
         names = next(csv.reader([header.lstrip("﻿")]))
