@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.times import NAIVE, epoch_seconds, seconds_interval
@@ -55,6 +55,13 @@ def extent_of(readings: DataFrame) -> Extent:
     return Extent(*extent(readings).first())
 
 
+def regular_axis(spark: SparkSession, limits: Extent, step_seconds: int) -> DataFrame:
+    """``(t, datetime)`` of every step, made in parallel."""
+    steps = spark.range(limits.steps(step_seconds)).withColumnRenamed("id", "t")
+    when = F.lit(limits.first or EPOCH).cast(NAIVE) + seconds_interval(F.col("t") * step_seconds)
+    return steps.withColumn("datetime", when)
+
+
 def axis_length(axis: DataFrame) -> int:
     """Number of axis positions."""
     return axis.count()

@@ -65,6 +65,14 @@ def _(spark, d):
     return grid.regular_grid(E.type_readings(spark, d), HOUR).select("station", "t", "datetime")
 
 
+@query(
+    "w03_regular_axis",
+    f"WITH {TYPE_H}, {grid_sql('type_h')} SELECT DISTINCT t, {stamp('datetime')} AS datetime FROM grid",
+)
+def _(spark, d):
+    return grid.regular_axis(spark, grid.extent_of(E.type_readings(spark, d)), HOUR)
+
+
 @query("w04_linear_fill", f"{USER_GRID}, {near_sql('grid')} SELECT {ROW}, {r6(LINEAR)} AS target FROM near")
 def _(spark, d):
     return _rows(fills.fill_linear(user_grid(spark, d)))

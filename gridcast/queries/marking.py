@@ -22,11 +22,14 @@ from gridcast.sources import events as E
 MARK_DIM = 64
 
 
+def hour_axis(spark, d):
+    return grid.regular_axis(spark, grid.extent_of(E.type_readings(spark, d)), HOUR)
+
+
 def axis_marks(spark, d):
     """A vector for every hour of the axis: the embedding table repeats along it."""
     vectors = E.embedding_marks(spark, d)
-    r = E.type_readings(spark, d)
-    ax = axis.time_axis(r)
+    ax = hour_axis(spark, d)
     n = vectors.agg(F.count(F.lit(1))).scalar()
     return ax.withColumn("_n", n).withColumn("_v", F.col("t") % F.col("_n")).join(
         vectors.select(F.col("t").alias("_v"), "emb"), "_v"
@@ -85,11 +88,11 @@ def _(spark, d):
 
 @query(
     "s12_mark_scan_check",
-    "WITH ax AS (SELECT count(DISTINCT date_trunc('hour', ts)) AS n FROM events) SELECT n AS least_marked, n AS most_marked, "
+    "WITH ax AS (SELECT date_diff('hour', min(ts), max(ts)) + 1 AS n FROM events) SELECT n AS least_marked, n AS most_marked, "
     "n AS axis_points, CAST(0 AS BIGINT) AS outside, true AS ok FROM ax",
 )
 def _(spark, d):
-    return marks.check_marks(axis_marks(spark, d), axis.time_axis(E.type_readings(spark, d)))
+    return marks.check_marks(axis_marks(spark, d), hour_axis(spark, d))
 
 
 @query(
