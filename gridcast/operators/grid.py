@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.times import NAIVE, epoch_seconds, seconds_interval
-from gridcast.staging import small_side
+from gridcast.staging import small_side, spread
 
 BLOCK_ROWS = 4096
 EPOCH = datetime(1970, 1, 1)
@@ -73,18 +73,18 @@ def _blocks(stations: DataFrame, placed: DataFrame, keys: Sequence[str], n_steps
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(last_block).cast("long")) if n_steps else F.array().cast("array<long>")
     blocks = stations.select("*", F.explode(numbers).alias("block"))
     if value is None:
-        return blocks.repartition(*keys, "block")
+        return spread(blocks, *keys, "block")
     reading = F.when(F.col(value).isNotNull(), F.struct(F.col("t").alias("t"), F.col(value).alias("y")))
     edges = placed.groupBy(*keys, "block").agg(F.min(reading).alias("_first"), F.max(reading).alias("_last"))
     past = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     future = Window.partitionBy(*keys).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    carried = (
         blocks.join(edges, [*keys, "block"], "left")
         .withColumn("before", F.last("_last", ignorenulls=True).over(past))
         .withColumn("after", F.last("_first", ignorenulls=True).over(future))
         .drop("_first", "_last")
-        .repartition(*keys, "block")
     )
+    return spread(carried, *keys, "block")
 
 
 def _expand(blocks: DataFrame, placed: DataFrame, keys: Sequence[str], n_steps: int, block_rows: int) -> DataFrame:
@@ -127,8 +127,8 @@ def regular_grid(
         .groupBy(*keys, F.floor(F.col("_off") / step_seconds).cast("long").alias("t"))
         .agg(F.avg(value).alias(value))
         .withColumn("block", block_of("t", block_rows))
-        .repartition(*keys, "block")
     )
+    placed = spread(placed, *keys, "block")
     if stations is None:
         stations = readings.where(F.col("datetime").isNotNull()).select(*keys).distinct()
     blocks = _blocks(stations, placed, keys, n_steps, block_rows, value if carry else None)
@@ -155,8 +155,8 @@ def axis_grid(
         .agg(F.avg(value).alias(value))
         .join(small_side(axis), "datetime")
         .select(*keys, block_of("t", block_rows).alias("block"), "t", value)
-        .repartition(*keys, "block")
     )
+    placed = spread(placed, *keys, "block")
     stations = readings.select(*keys).distinct()
     blocks = _blocks(stations, placed, keys, n_steps, block_rows, value if carry else None)
     extra = [c for c in blocks.columns if c not in (*keys, "block")]

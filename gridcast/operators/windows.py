@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridcast.functions.vectors import tail
 from gridcast.operators.axis import positions
 from gridcast.operators.split import Ranges
-from gridcast.staging import small_side
+from gridcast.staging import small_side, spread
 
 BLOCK_POINTS = 2048
 
@@ -44,7 +44,8 @@ def series_blocks(
         F.explode(F.sequence(low.cast("long"), F.floor(pos / block_points).cast("long"))).alias("part"),
     )
     return (
-        copies.groupBy(*keys, "part")
+        spread(copies, *keys, "part")
+        .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(F.struct("_t", "_y"))).alias("_p"))
         .select(
             *keys,
@@ -93,8 +94,7 @@ def windows_index(
     opened = series.select(*series.columns, F.explode(parts).alias("part")).withColumn(
         "base", F.col("part") * block_points
     )
-    spread = opened.repartition(*keys, "part")
-    return starts_in_blocks(spread, length, ranges, block_points).select(*keys, "split", "s_begin")
+    return starts_in_blocks(spread(opened, *keys, "part"), length, ranges, block_points).select(*keys, "split", "s_begin")
 
 
 def keep_contiguous(index: DataFrame, starts: DataFrame) -> DataFrame:

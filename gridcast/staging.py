@@ -30,6 +30,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions small rows that are about to expand to many.
+
+    The number of partitions is given, so run-time coalescing, which only sees the
+    small rows, leaves it alone; two tables spread on the same keys join in place.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _width(name: str, kind: DataType) -> Column:
     c = F.col(f"`{name}`")
     if isinstance(kind, (StringType, BinaryType)):

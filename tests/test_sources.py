@@ -20,10 +20,10 @@ START = dt.datetime(2024, 1, 1)
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "FY22" / "north").mkdir(parents=True)
-    (tmp_path / "FY22" / "Aberdeen 66_11kV FY2022.csv").write_text(
+    (tmp_path / "FY22" / "Milltown 66_11kV FY2022.csv").write_text(
         "Date,Year,Unit,00:15,00:30,00:00\n01MAY2021,2022,MW,1.5,NA,3\n02may2021,2022,MW,,oops,6\n"
     )
-    (tmp_path / "FY22" / "north" / "Balgowlah North 132_11kV FY2022.csv").write_text("Date,00:15\n03MAY2021,7\n")
+    (tmp_path / "FY22" / "north" / "Port North 132_11kV FY2022.csv").write_text("Date,00:15\n03MAY2021,7\n")
     (tmp_path / "FY22" / "notes.csv").write_text("a,b\n1,2\n")
     return tmp_path
 
@@ -34,10 +34,10 @@ def test_wide_files_take_the_station_from_the_name(spark, folder):
     day = dt.datetime(2021, 5, 1)
     quarter = dt.timedelta(minutes=15)
     assert len(rows) == 7
-    assert got["Aberdeen 66_11kV", day + quarter] == 1.5
-    assert got["Aberdeen 66_11kV", day + 2 * quarter] is None
-    assert got["Aberdeen 66_11kV", day + dt.timedelta(days=1) + 2 * quarter] is None
-    assert got["Balgowlah North 132_11kV", dt.datetime(2021, 5, 3) + quarter] == 7.0
+    assert got["Milltown 66_11kV", day + quarter] == 1.5
+    assert got["Milltown 66_11kV", day + 2 * quarter] is None
+    assert got["Milltown 66_11kV", day + dt.timedelta(days=1) + 2 * quarter] is None
+    assert got["Port North 132_11kV", dt.datetime(2021, 5, 3) + quarter] == 7.0
 
 
 def test_strict_dates_fail_the_job(spark, tmp_path):
@@ -54,7 +54,7 @@ def test_scan_routes_and_rejects(spark, folder):
     (folder / "FY22" / "Bad_long.csv").write_text("datetime,station,target\nnever,Q,4\n")
     scan = L.scan(spark, [str(folder / "FY22"), str(folder / "FY99")], recursive=True)
     stations = {r["station"] for r in scan.readings.select("station").distinct().collect()}
-    assert stations == {"Aberdeen 66_11kV", "Balgowlah North 132_11kV", "Zed"}
+    assert stations == {"Milltown 66_11kV", "Port North 132_11kV", "Zed"}
     rejects = {text_name(r["path"]): (r["reason"], r["rows"]) for r in scan.rejects.collect()}
     assert rejects == {
         "notes.csv": ("unrecognised columns", None),
