@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.operators.grid import axis_grid
+from gridcast.operators.split import Ranges
 from gridcast.staging import small_side
 
 
@@ -67,10 +69,46 @@ def limited_then_carried(limit: int, value: str = "target") -> Column:
     return F.coalesce(limited(limit, value), carried)
 
 
-def fill_linear(grid: DataFrame, keys: Sequence[str] = ("station",), value: str = "target", default: float | None = None) -> DataFrame:
-    """Unlimited interpolation by position, with an optional constant for what is left."""
+def within_splits(near: DataFrame, ranges: Ranges) -> DataFrame:
+    """Forgets neighbours from another split, so that no fill looks across a border."""
+    own = F.element_at(F.filter(ranges.array(), lambda r: (r["start"] <= F.col("t")) & (F.col("t") < r["end"])), 1)
+    tagged = near.withColumn("_own", own)
+    return (
+        tagged.withColumn("prev", F.when(F.col("prev")["t"] >= F.col("_own")["start"], F.col("prev")))
+        .withColumn("next", F.when(F.col("next")["t"] < F.col("_own")["end"], F.col("next")))
+        .drop("_own")
+    )
+
+
+def fill_linear(
+    grid: DataFrame,
+    keys: Sequence[str] = ("station",),
+    value: str = "target",
+    default: float | None = None,
+    ranges: Ranges | None = None,
+) -> DataFrame:
+    """Unlimited interpolation by position, with an optional constant for what is left.
+
+    Without ``ranges`` a fill may use readings of a later split; with disjoint
+    ``ranges`` every split is filled from its own readings only.
+    """
     filled = linear(value) if default is None else F.coalesce(linear(value), F.lit(float(default)))
-    return with_neighbours(grid, keys, value).withColumn(value, filled).drop("prev", "next")
+    near = with_neighbours(grid, keys, value)
+    near = near if ranges is None else within_splits(near, ranges)
+    return near.withColumn(value, filled).drop("prev", "next")
+
+
+def fill_columns(
+    readings: DataFrame, axis: DataFrame, columns: Sequence[str], default: float | None = None
+) -> DataFrame:
+    """``(station, t, columns…)``: the target and exogenous columns, each filled on its own.
+
+    Every column becomes a series of its own, so one grid and one fill serve all.
+    """
+    apart = readings.unpivot(["station", "datetime"], list(columns), "variable", "target")
+    keys = ["station", "variable"]
+    filled = fill_linear(axis_grid(apart, axis, keys, carry=True), keys, default=default)
+    return filled.groupBy("station", "t").pivot("variable", list(columns)).agg(F.first("target"))
 
 
 def fill_limited(grid: DataFrame, limit: int, keys: Sequence[str] = ("station",), value: str = "target") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridcast.operators import axis, grid
+from gridcast.functions.times import floor_time
+from gridcast.operators import axis, grid, split
 from gridcast.operators import fill as fills
 from gridcast.queries.base import LINEAR, TYPE_H, USER_H, grid_sql, near_sql, query, r6, stamp
 from gridcast.sources import events as E
@@ -114,6 +115,55 @@ def _(spark, d):
     return _rows(fills.fill_linear(grid.regular_grid(r, HOUR, carry=True), default=-1.0))
 
 
+# Every split filled from its own readings.
+@query(
+    "w04_fill_within_split",
+    f"{USER_GRID}, sized AS (SELECT *, max(t) OVER () + 1 AS n FROM grid), "
+    "tagged AS (SELECT station AS name, t, datetime, target, CASE WHEN t < CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) THEN 'a' "
+    "WHEN t < CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) + CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT) THEN 'b' ELSE 'c' END AS part FROM sized), "
+    "keyed AS (SELECT name || '|' || part AS station, name, t, datetime, target FROM tagged), "
+    f"{near_sql('keyed')} SELECT name AS station, t, {stamp('datetime')} AS datetime, {r6(LINEAR)} AS target FROM near",
+)
+def _(spark, d):
+    r = E.user_readings(spark, d)
+    limits = grid.extent_of(r)
+    gridded = grid.regular_grid(r, HOUR, limits=limits, carry=True)
+    return _rows(fills.fill_linear(gridded, ranges=split.ratio_ranges(limits.steps(HOUR))))
+
+
+# The target with two exogenous columns.
+EXOG = (
+    "ev AS (SELECT date_trunc('hour', ts) AS datetime, event_type AS station, value AS target, "
+    "CASE WHEN user_id < 100 THEN value END AS low_users, CASE WHEN value > 60 THEN CAST(user_id AS DOUBLE) END AS who FROM events), "
+    "ax AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS t FROM (SELECT DISTINCT datetime FROM ev)), "
+)
+
+
+def _exog_sql(column: str) -> str:
+    return (
+        f"g_{column} AS (SELECT s.station, ax.t, m.v AS target FROM (SELECT DISTINCT station FROM ev) s CROSS JOIN ax LEFT JOIN "
+        f"(SELECT station, datetime, avg({column}) AS v FROM ev GROUP BY 1, 2) m ON m.station = s.station AND m.datetime = ax.datetime), "
+        f"{near_sql(f'g_{column}', f'n_{column}')}, f_{column} AS (SELECT station, t, {LINEAR} AS {column} FROM n_{column})"
+    )
+
+
+@query(
+    "w04_exogenous_fill",
+    f"WITH {EXOG} {_exog_sql('target')}, {_exog_sql('low_users')}, {_exog_sql('who')} "
+    f"SELECT station, t, {r6('target')} AS target, {r6('low_users')} AS low_users, {r6('who')} AS who "
+    "FROM f_target JOIN f_low_users USING (station, t) JOIN f_who USING (station, t)",
+)
+def _(spark, d):
+    source = E.table(spark, d, "events").select(
+        floor_time("ts", HOUR).alias("datetime"),
+        F.col("event_type").alias("station"),
+        F.col("value").alias("target"),
+        F.when(F.col("user_id") < 100, F.col("value")).alias("low_users"),
+        F.when(F.col("value") > 60, F.col("user_id").cast("double")).alias("who"),
+    )
+    return fills.fill_columns(source, axis.time_axis(source), ["target", "low_users", "who"])
+
+
 BREAKS = (
     f"{AXIS_GRID}, br AS (SELECT t, datetime, CASE WHEN t = 0 THEN 0 "
     "WHEN datetime - lag(datetime) OVER (ORDER BY t) <> INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS is_break FROM ax), "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridcast.functions.numbers import parse_number, ratio_or_zero
-from gridcast.functions.times import parse_datetime
+from gridcast.functions.times import epoch_seconds, parse_datetime
 from gridcast.sources.longwide import LONG_SCHEMA, tidy
 
 
@@ -41,14 +41,19 @@ def append_stream(readings: DataFrame, path: str, progress: str) -> StreamingQue
 
 
 def station_date_stream(readings: DataFrame, late: str = "2 days") -> DataFrame:
-    """Daily facts per station, final once readings can no longer arrive."""
-    timed = readings.withColumn("_at", F.col("datetime").cast("timestamp")).withWatermark("_at", late)
+    """Daily facts per station, final once readings can no longer arrive.
+
+    Watermarks need instants, so the naive clock is read as UTC: days then match
+    the batch facts in any session time zone.
+    """
+    timed = readings.withColumn("_at", F.timestamp_seconds(epoch_seconds("datetime"))).withWatermark("_at", late)
+    day = F.floor(F.unix_seconds("_day.start") / 86_400).cast("int")
     return (
         timed.groupBy(F.window("_at", "1 day").alias("_day"), "station")
         .agg(F.count(F.lit(1)).alias("total_points"), F.count_if(F.col("target").isNull()).alias("orig_missing"))
         .select(
             "station",
-            F.col("_day.start").cast("date").alias("date"),
+            F.date_from_unix_date(day).alias("date"),
             "total_points",
             "orig_missing",
             ratio_or_zero(F.col("orig_missing"), F.col("total_points")).alias("orig_missing_rate"),

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridcast.operators import axis, fill, grid
+from gridcast.operators import axis, fill, grid, split
 
 START = dt.datetime(2024, 1, 1)
 HOUR = 3600
@@ -87,6 +87,21 @@ def test_grid_has_every_station_and_step(spark):
     assert all(got["b", t][1] is None for t in range(5))  # the reading at 02:07 is off the grid
 
 
+def test_fill_within_splits(spark):
+    values = [1.0, None, None, 4.0, None, 6.0, None, None, None, 10.0]
+    gridded = grid.regular_grid(readings(spark, {"a": values}), HOUR, block_rows=3, carry=True)
+    ranges = split.ratio_ranges(10, 0.5, 0.3)  # [0,5) [5,8) [8,10)
+    got = by_station(fill.fill_linear(gridded, ranges=ranges))["a"]
+    assert same(got, [1, 2, 3, 4, 4, 6, 6, 6, 10, 10])
+
+
+def test_exogenous_columns_fill_apart(spark):
+    rows = [(START + dt.timedelta(hours=h), "a", float(h), None if h in (1, 2) else 10.0 * h) for h in range(5)]
+    df = spark.createDataFrame(rows, "datetime timestamp_ntz, station string, target double, heat double")
+    out = fill.fill_columns(df.where("target <> 3"), axis.time_axis(df), ["target", "heat"]).orderBy("t").collect()
+    assert [(r["target"], r["heat"]) for r in out] == [(0, 0), (1, 10), (2, 20), (3, 30), (4, 40)]
+
+
 def test_empty_table_gives_an_empty_grid(spark):
     df = spark.createDataFrame([], "datetime timestamp_ntz, station string, target double")
     assert grid.regular_grid(df, HOUR, carry=True).count() == 0
