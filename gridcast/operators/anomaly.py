@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.staging import settle
+
 
 def point_adjust(
     flags: DataFrame,
@@ -37,16 +39,19 @@ def point_adjust(
         F.max_by("_hit", "_z").alias("_tail"),
     )
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    based = edges.withColumn("_base", F.coalesce(F.sum("_zeros").over(before), F.lit(0)))
-    ends = based.select(F.col("_base").alias("_run"), F.col("_head").alias("_h")).unionByName(
-        based.select((F.col("_base") + F.col("_zeros")).alias("_run"), F.col("_tail").alias("_h"))
-    )
-    settled = ends.groupBy("_run").agg(F.max("_h").alias("_h"))
+    based = settle(edges.withColumn("_base", F.coalesce(F.sum("_zeros").over(before), F.lit(0))))
+    # The first and the last run of every block, under the number of the whole run.
+    first = F.struct(F.col("_base").alias("run"), F.col("_head").alias("hit"), F.lit(True).alias("is_first"))
+    last = F.struct((F.col("_base") + F.col("_zeros")).alias("run"), F.col("_tail").alias("hit"), F.lit(False).alias("is_first"))
+    ends = based.select("_b", "_zeros", F.explode(F.array(first, last)).alias("_end"))
+    whole = F.max("_end.hit").over(Window.partitionBy("_end.run"))
     carried = (
-        based.join(settled.select(F.col("_run").alias("_base"), F.col("_h").alias("_from_head")), "_base")
-        .withColumn("_run", F.col("_base") + F.col("_zeros"))
-        .join(settled.select("_run", F.col("_h").alias("_from_tail")), "_run")
-        .select("_b", "_zeros", "_from_head", "_from_tail")
+        ends.withColumn("_whole", whole)
+        .groupBy("_b", "_zeros")
+        .agg(
+            F.max(F.when(F.col("_end.is_first"), F.col("_whole"))).alias("_from_head"),
+            F.max(F.when(~F.col("_end.is_first"), F.col("_whole"))).alias("_from_tail"),
+        )
     )
     own = F.max(hit).over(Window.partitionBy("_b", "_z"))
     out = runs.withColumn("_own", own).join(carried, "_b")
@@ -57,8 +62,7 @@ def point_adjust(
     )
     adjusted = F.when(F.col(truth) == 1, F.coalesce(reach, F.col(found))).otherwise(F.col(found))
     if skip_first:
-        first = flags.agg(F.min(order)).scalar()
-        out = out.withColumn("_first", first)
+        out = out.withColumn("_first", flags.agg(F.min(order)).scalar())
         adjusted = F.when(F.col(order) == F.col("_first"), F.col(found)).otherwise(adjusted)
     return out.withColumn("adjusted", adjusted.cast("int")).select(*flags.columns, "adjusted")
 

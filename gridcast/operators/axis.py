@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.times import day_of, epoch_seconds
+from gridcast.staging import settle
 
 NAME_PREFIX = 3
 
@@ -59,13 +60,13 @@ def time_axis(readings: DataFrame, value: str | None = "target") -> DataFrame:
     With ``value`` only datetimes that carry a value somewhere count.
     """
     rows = readings if value is None else readings.where(F.col(value).isNotNull())
-    distinct = rows.where(F.col("datetime").isNotNull()).select("datetime").distinct()
+    distinct = settle(rows.where(F.col("datetime").isNotNull()).select("datetime").distinct())
     return positions(distinct, ["datetime"], {"_day": day_of("datetime")}, "t").select("t", "datetime")
 
 
 def station_dimension(readings: DataFrame, prefix: int = NAME_PREFIX) -> DataFrame:
     """``(station, station_id)``: ids follow the order of the names, from 0."""
-    names = readings.where(F.col("station").isNotNull()).select("station").distinct()
+    names = settle(readings.where(F.col("station").isNotNull()).select("station").distinct())
     cut = {"_head": F.substring("station", 1, prefix)}
     return positions(names, ["station"], cut, "station_id").select(
         "station", F.col("station_id").cast("int").alias("station_id")
@@ -101,6 +102,7 @@ def break_flags(axis: DataFrame, step_seconds: int) -> DataFrame:
 
 def contiguous_starts(axis: DataFrame, length: int, step_seconds: int) -> DataFrame:
     """Positions from which ``length`` axis points follow each other without a break."""
-    counted = running_total(break_flags(axis, step_seconds), "t", "is_break", "breaks")
+    flags = settle(break_flags(settle(axis), step_seconds))
+    counted = settle(running_total(flags, "t", "is_break", "breaks"))
     ends = counted.select((F.col("t") - (length - 1)).alias("t"), F.col("breaks").alias("_end"))
     return counted.join(ends, "t").where(F.col("_end") == F.col("breaks")).select("t")

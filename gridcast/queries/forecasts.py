@@ -438,7 +438,7 @@ ADJUST = (
 
 @query("w26_point_adjust", ADJUST)
 def _(spark, d):
-    return anomaly.point_adjust(_flags(spark, d), "event_id", block_rows=512)
+    return anomaly.point_adjust(_flags(spark, d), "event_id")
 
 
 @query(
@@ -446,4 +446,4 @@ def _(spark, d):
     f"SELECT event_id, gt, pred, CASE WHEN event_id = (SELECT min(event_id) FROM events) THEN pred ELSE adjusted END AS adjusted FROM ({ADJUST})",
 )
 def _(spark, d):
-    return anomaly.point_adjust(_flags(spark, d), "event_id", block_rows=512, skip_first=True)
+    return anomaly.point_adjust(_flags(spark, d), "event_id", skip_first=True)
