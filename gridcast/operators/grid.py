@@ -35,6 +35,14 @@ class Extent:
             return 0
         return (self.last - self.first) // timedelta(seconds=step_seconds) + 1
 
+    def phase(self, step_seconds: int) -> int:
+        """Distance of the grid from whole steps since 1970, in seconds."""
+        return ((self.first or EPOCH) - EPOCH) // timedelta(seconds=1) % step_seconds
+
+    def days(self) -> int:
+        """Number of calendar days touched."""
+        return self.steps(86_400) + 1
+
 
 def block_of(t: Column | str, block_rows: int = BLOCK_ROWS) -> Column:
     t = F.col(t) if isinstance(t, str) else t

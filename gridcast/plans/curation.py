@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.functions.times import day_of
+from gridcast.functions.times import day_of, epoch_seconds
 from gridcast.operators import axis, clean, fill, grid, quality
-from gridcast.staging import settle, small_side
+from gridcast.staging import MAX_ROWS, settle
 
 # 15-minute readings and one day of interpolation.
 STEP_SECONDS = 900
@@ -60,24 +60,27 @@ def build_clean(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     Station ids cover every station of the input; stations with too little
     history are left out of the result, fully empty dates as well.  One pass over
-    the readings gives a row per station with its count and time range; ids,
-    history and the grid's limits come from those rows.
+    the readings gives counts and time ranges per station and day; ids, history,
+    the grid's limits and the dates with values all come from those rows.
     """
     present = clean.drop_null_rows(readings, ["datetime", "station"])
-    profile = settle(
-        present.groupBy("station").agg(
+    phase = F.pmod(epoch_seconds("datetime"), F.lit(rules.step_seconds)).alias("_phase")
+    daily = settle(
+        present.groupBy("station", day_of("datetime").alias("date"), phase).agg(
             F.count("target").alias("_values"), F.min("datetime").alias("_low"), F.max("datetime").alias("_high")
         )
     )
-    limits = grid.Extent(*profile.agg(F.min("_low"), F.max("_high")).first())
-    enough = profile.where(F.col("_values") >= rules.min_history).select("station")
-    wanted = axis.station_dimension(profile).join(enough, "station", "left_semi")
+    limits = grid.Extent(*daily.agg(F.min("_low"), F.max("_high")).first())
+    history = daily.groupBy("station").agg(F.sum("_values").alias("_values"))
+    enough = history.where(F.col("_values") >= rules.min_history).select("station")
+    wanted = axis.station_dimension(daily).join(enough, "station", "left_semi")
     gridded = grid.regular_grid(present, rules.step_seconds, limits=limits, carry=True, stations=wanted)
     filled = fill.fill_clean(grid.flag_missing(gridded), rules.limit).withColumn("date", day_of("datetime"))
-    valued = grid.on_grid(present.where(F.col("target").isNotNull()), limits, rules.step_seconds)
-    valued = valued.groupBy("station", day_of("datetime").alias("date")).agg(F.count(F.lit(1)).alias("_n"))
-    dates = valued.join(enough, "station", "left_semi").select("date").distinct()
-    kept = filled.join(small_side(dates), "date", "left_semi")
+    on_grid = (F.col("_phase") == limits.phase(rules.step_seconds)) & (F.col("_values") > 0)
+    dates = daily.where(on_grid).join(enough, "station", "left_semi").select("date").distinct()
+    # No more dates than days between the limits.
+    dates = F.broadcast(dates) if limits.days() <= MAX_ROWS else dates
+    kept = filled.join(dates, "date", "left_semi")
     return kept.select("datetime", "station", "station_id", "target", "miss_target", "date")
 
 
