@@ -201,8 +201,25 @@ def _(spark, d):
     return marks.mark_stats(marked_windows(spark, d))
 
 
-@query("a23_mark_ablation")
+# Step 1 adds the newest lookback mark, step 2 also the first horizon mark; a zeroed half leaves the other's share.
+WEIGHT = 10.0
+SHARE = "list_sum(list_transform({e}, lambda q: CAST(q AS DOUBLE))) / " + str(2 * MARK_DIM)
+ABLATION = (
+    f"WITH {TEST_WINDOWS}, {VEC}, sh AS (SELECT {SHARE.format(e='a1.emb')} AS t1, {SHARE.format(e='a2.emb')} AS t2, "
+    f"{SHARE.format(e='b1.emb')} AS w1, {SHARE.format(e='b2.emb')} AS w2 FROM tw "
+    f"JOIN marks a1 ON a1.t = tw.s_begin + {SEQ - TOKEN} JOIN marks a2 ON a2.t = tw.s_begin + {SEQ} "
+    f"JOIN wmarks b1 ON b1.station = tw.station AND b1.t = tw.s_begin + {SEQ - TOKEN} "
+    f"JOIN wmarks b2 ON b2.station = tw.station AND b2.t = tw.s_begin + {SEQ}) SELECT "
+    + ", ".join(
+        f"round({WEIGHT} * avg((abs({one}) + abs({one} + {two})) / 2), 6) AS full_vs_{name}"
+        for name, one, two in (("none", "t1 + w1", "t2 + w2"), ("time", "w1", "w2"), ("weather", "t1", "t2"))
+    )
+    + " FROM sh"
+)
+
+
+@query("a23_mark_ablation", ABLATION)
 def _(spark, d):
-    return P.ablation(both_marks(spark, d), P.forecaster("marked_persistence", TOKEN, 10.0), PRED, TOKEN)
+    return P.ablation(both_marks(spark, d), P.forecaster("marked_persistence", TOKEN, WEIGHT), PRED, TOKEN)
 
 
