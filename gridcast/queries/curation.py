@@ -8,7 +8,6 @@ from gridcast.functions.text import strip_voltage_tag
 from gridcast.functions.times import compose_datetime, day_of, iso_day, parse_datetime, parse_strict_date
 from gridcast.functions.numbers import parse_number
 from gridcast.operators import axis, clean, dims, grid
-from gridcast.operators import fill as fills
 from gridcast.operators import quality as Q
 from gridcast.plans import curation as plan
 from gridcast.queries.base import (
