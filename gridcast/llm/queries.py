@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, near_vectors, ngram_join
+from gridcast.llm import bpe, imatch, near_vectors, ngram_join, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +77,13 @@ FROM documents d JOIN low ON low.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 @query("op9_ngram_jaccard", _NGRAM_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"), 90, 100, 3)
+
+
+@query("op2_sentence_spans")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.dedup(table(spark, folder, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+@query("op3_imatch")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, folder, "documents"))
