@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, imatch, near_vectors, ngram_join, spans
+from gridcast.llm import bpe, imatch, langid, licenses, mixing, near_vectors, ngram_join, quality_fm, sharding, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +88,73 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_imatch")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(table(spark, folder, "documents"))
+
+
+@query("op7_quality_fm")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    machine = quality_fm.learn(docs, table(spark, folder, "labels"))
+    scored = quality_fm.score(docs, machine, threshold=0.3)
+    return scored.select("doc_id", quality_fm.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op8_kneser_ney_language")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_notices", F.to_json("notices").alias("notices"))
+
+
+def mixing_sql(source: str, share: float, epochs: int, seed: int, columns: str) -> str:
+    """The mix in SQL: capacities from below, budgets from above, whole epochs and the beginning of one more."""
+    case = lambda col, named: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in named.items()) + f" ELSE {mixing.OTHER} END"
+
+    def level(name: str, above: list[str], col: str, weight: str, parent: str) -> str:
+        group = ", ".join(above) or "0"
+        keys = ", ".join([*above, col])
+        using = f"JOIN {parent} USING ({', '.join(above)})" if above else f"CROSS JOIN {parent}"
+        return f"""
+{name}_n AS (SELECT {keys}, cap, parent_budget, {weight} AS w FROM (SELECT {keys}, sum(cap) AS cap FROM leaf GROUP BY {keys}) {using}),
+{name}_a AS (SELECT *, (parent_budget - coalesce(sum(cap) OVER (PARTITION BY {group} ORDER BY cap / w, {col} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (PARTITION BY {group} ORDER BY cap / w, {col} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM {name}_n),
+{name} AS (SELECT {keys}, greatest(0.0, least(CAST(cap AS DOUBLE), w * max(lvl) OVER (PARTITION BY {group}))) AS parent_budget FROM {name}_a)"""
+
+    return rf"""
+WITH r AS (SELECT *, CAST(CAST('0x' || substr(md5(coalesce(source, '')), 1, 2) AS INTEGER) % 4 AS VARCHAR) AS domain,
+  coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens FROM {source}),
+leaf AS (SELECT domain, language, origin, sum(tokens) AS tokens, sum(tokens) * {epochs} AS cap FROM r GROUP BY ALL),
+root AS (SELECT least(sum(tokens) * CAST({share} AS DOUBLE), CAST(sum(cap) AS DOUBLE)) AS parent_budget FROM leaf),
+{level("d", [], "domain", case("domain", mixing.DOMAINS), "root")},
+{level("l", ["domain"], "language", case("language", mixing.LANGUAGES), "d")},
+{level("o", ["domain", "language"], "origin", "1.0", "l")},
+plan AS (SELECT domain, language, origin, tokens AS supply, CAST(floor(parent_budget + 1e-6) AS BIGINT) AS quota FROM o JOIN leaf USING (domain, language, origin)),
+e AS (SELECT *, CASE WHEN supply > 0 THEN CAST(quota // supply AS BIGINT) ELSE 0 END AS whole FROM plan),
+k AS (SELECT r.*, whole, quota - whole * supply AS rest, md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM r JOIN e USING (domain, language, origin)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, language, origin ORDER BY digest RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
+  - sum(tokens) OVER (PARTITION BY domain, language, origin, digest) AS start FROM k),
+c AS (SELECT *, CAST(whole + CASE WHEN rest > 0 AND start < rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM s)
+SELECT {columns} FROM c WHERE copies > 0
+"""
+
+
+_MIX_COLUMNS = "doc_id, domain, lang, source, tokens AS n_words, copies"
+
+
+@query("op5_source_mix", mixing_sql("documents", 0.6, 2, 17, _MIX_COLUMNS))
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"), share=0.6, epochs=2, seed=17)
+    return mixed.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("n_words"), F.col("_copies").alias("copies"))
+
+
+@query("op10_lookup_sharding")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.place(table(spark, folder, "documents"))
+    return placed.select("doc_id", "slot", "shard", F.octet_length("text").cast("long").alias("n_bytes"))

@@ -127,3 +127,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_spans").schema.fields)
     return rows.mapInArrow(run, f"{kinds}, n_sentences long, n_removed long")
+
+
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeated sentences cut, in the columns they have; the length column, if any, counts the new text."""
+    cut = dedup(docs, id_col, text_col)
+    if length_col in docs.columns:
+        fresh = F.when(F.col("n_removed") > 0, F.length(text_col)).otherwise(F.col(length_col))
+        cut = cut.withColumn(length_col, fresh.cast(docs.schema[length_col].dataType))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
