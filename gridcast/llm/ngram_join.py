@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.llm.graph import components
-from gridcast.llm.store import partitions, settle, slices, small_side
+from gridcast.llm.store import settle, slices, small_side
 from gridcast.llm.words import WordHashes, shingles, words
 
 GROUPS = 64
 # A leaf of a tree holds at most so many documents and bytes of shingles.
 LEAF_ROWS, LEAF_BYTES = 128, 2 * 1024 * 1024
+# Buckets of at most so many documents give their pairs; larger ones are trees.
+FEW = 16
 
 
 class Rule:
@@ -51,12 +53,19 @@ def _set_of(text: bytes | None, size: int, memo: WordHashes) -> np.ndarray:
     return shingles(words(text), size, memo)
 
 
-def _counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the sorted hashes fall into each group; a group is a range of hash values."""
+def _counts(hashes: np.ndarray) -> bytes:
+    """How many of the sorted hashes fall into each group, a range of hash values; in two bytes each if that is enough."""
     step = (1 << 64) // GROUPS
     bounds = np.array([step * g for g in range(1, GROUPS)], np.uint64)
-    edges = np.concatenate(([0], np.searchsorted(hashes, bounds), [len(hashes)]))
-    return np.diff(edges).astype("<u4")
+    counts = np.diff(np.concatenate(([0], np.searchsorted(hashes, bounds), [len(hashes)])))
+    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _points(counts: list[bytes]) -> np.ndarray:
+    out = np.empty((len(counts), GROUPS), np.int32)
+    for i, c in enumerate(counts):
+        out[i] = np.frombuffer(c, "<u2" if len(c) == 2 * GROUPS else "<u4")
+    return out
 
 
 def signatures(docs: DataFrame, rule: Rule, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -71,7 +80,7 @@ def signatures(docs: DataFrame, rule: Rule, shingle: int, id_col: str, text_col:
                 n = len(hashes)
                 sizes.append(n)
                 whole.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if n else None)
-                counts.append(_counts(hashes).tobytes() if n else None)
+                counts.append(_counts(hashes) if n else None)
                 keys.append(hashes[: rule.prefix(n)].view(np.int64) if n else np.empty(0, np.int64))
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
@@ -82,41 +91,46 @@ def signatures(docs: DataFrame, rule: Rule, shingle: int, id_col: str, text_col:
     return kept.mapInArrow(run, "doc_id long, n long, whole binary, counts binary, keys array<long>")
 
 
-def leaves(rows: DataFrame) -> DataFrame:
-    """Packs (tree, doc_id, n, mark, counts, body) into leaves: runs of one tree, sorted by size.
+def leaves(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Packs (tree, members, doc_id, n, mark, counts, body) into leaves: runs of one tree, sorted by size.
 
-    A range of (tree, n, doc_id) to each partition, so a tree of any number of documents is spread.
+    A tree is dealt out by size class, and a large one by hash too, so that no task gets a whole one.
     """
-    made = "tree long, leaf long, low long, high long, box array<int>, ids array<long>, marks array<long>, points binary, bodies array<binary>"
+    made = "tree long, leaf long, low long, high long, box array<int>, ids array<long>, marks array<long>, counts array<binary>, bodies array<binary>"
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        done: list[tuple] = []
         weight = 0
 
-        def leaf() -> pa.RecordBatch:
-            points = np.frombuffer(b"".join(r[4] for r in held), "<u4").reshape(len(held), GROUPS)
-            one = lambda x, kind: pa.array([x], kind)
-            ids = [r[1] for r in held]
-            arrays = [
-                one(held[0][0], pa.int64()), one(ids[0], pa.int64()), one(held[0][2], pa.int64()), one(held[-1][2], pa.int64()),
-                one(points.max(0).astype(int).tolist(), pa.list_(pa.int32())), one(ids, pa.list_(pa.int64())),
-                one([r[3] for r in held], pa.list_(pa.int64())), one(points.tobytes(), pa.binary()), one([r[5] for r in held], pa.list_(pa.binary())),
-            ]
-            return pa.RecordBatch.from_arrays(arrays, ["tree", "leaf", "low", "high", "box", "ids", "marks", "points", "bodies"])
+        def leaf() -> tuple:
+            box = _points([r[4] for r in held]).max(0)
+            return (held[0][0], held[0][1], held[0][2], held[-1][2], box, *([r[k] for r in held] for k in (1, 3, 4, 5)))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], [f.split()[0] for f in made.split(", ")])
 
         for part in slices(batches):
-            columns = [c.to_pylist() for c in part.columns]
-            for row in zip(*columns, strict=True):
+            for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                if held and held[-1][:2] == row[:2]:
+                    continue
                 if held and (held[0][0] != row[0] or len(held) >= LEAF_ROWS or weight + len(row[5]) > LEAF_BYTES):
-                    yield leaf()
+                    done.append(leaf())
                     held, weight = [], 0
                 held.append(row)
                 weight += len(row[5])
+            if done:
+                yield batch()
+                done = []
         if held:
-            yield leaf()
+            done.append(leaf())
+            yield batch()
 
-    dealt = rows.select("tree", "doc_id", "n", "mark", "counts", "body")
-    dealt = dealt.repartitionByRange(4 * partitions(rows.sparkSession), "tree", "n", "doc_id").sortWithinPartitions("tree", "n", "doc_id")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(rule.den / rule.num)))
+    salt = F.pmod(F.xxhash64("doc_id"), F.floor(F.col("members") / (32 * LEAF_ROWS)) + 1)
+    dealt = rows.withColumn("_band", band).withColumn("_salt", salt).repartition("tree", "_band", "_salt")
+    dealt = dealt.sortWithinPartitions("tree", "n", "doc_id").select("tree", "doc_id", "n", "mark", "counts", "body")
     return settle(dealt.mapInArrow(run, made))
 
 
@@ -130,25 +144,16 @@ def leaf_pairs(leaf: DataFrame, rule: Rule) -> DataFrame:
     # The sum of sizes is at least that of the lower ends, and so is the overlap it asks for.
     bound = most * (rule.den + rule.num) >= (F.col("low_a") + F.col("low_b")) * rule.num
     several = leaf.groupBy("tree").agg(F.count(F.lit(1)).alias("n_leaves")).where("n_leaves > 1").select("tree")
-    b = b.join(several, "tree", "left_semi")
+    a, b = a.join(several, "tree", "left_semi"), b.join(several, "tree", "left_semi")
     return a.join(b, "tree").where(apart & close & near & bound)
 
 
-def _sides(part: pa.RecordBatch, row: int, suffix: str) -> tuple:
-    def get(name: str):
-        return part.column(part.schema.get_field_index(name + suffix))[row].as_py()
-
-    points = np.frombuffer(get("points"), "<u4").reshape(-1, GROUPS)
-    return np.array(get("ids"), np.int64), np.array(get("marks"), np.int64), points, get("bodies")
-
-
 def _survivors(a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
     """Which pairs of points the summed coordinate minima leave, and all the overlaps they may have."""
-    small, large = a.astype(np.int32), b.astype(np.int32)
     most = np.empty((len(a), len(b)), np.int32)
     for i in range(len(a)):
-        most[i] = np.minimum(small[i], large).sum(1)
-    both = small.sum(1)[:, None] + large.sum(1)[None, :]
+        most[i] = np.minimum(a[i], b).sum(1)
+    both = a.sum(1)[:, None] + b.sum(1)[None, :]
     return most >= rule.overlap(both.astype(np.int64))
 
 
@@ -176,17 +181,24 @@ Compare = Callable[[tuple, tuple, bool], tuple[list, list]]
 def walk(leaf: DataFrame, rule: Rule, compare: Compare, made: str) -> DataFrame:
     """Runs ``compare`` on every leaf with itself and on the pairs of leaves that the boxes leave."""
 
+    def side(columns: list[list], row: int) -> tuple:
+        ids, marks, counts, bodies = (c[row] for c in columns)
+        return np.array(ids, np.int64), np.array(marks, np.int64), _points(counts), bodies
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.schema.get_field_index("ids") >= 0
-            for row in range(batch.num_rows):
-                left = _sides(batch, row, "" if own else "_a")
-                right = left if own else _sides(batch, row, "_b")
-                columns = compare(left, right, own)
-                if columns and len(columns[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in made.split(", ")])
-
-    names = ["ids", "marks", "points", "bodies"]
+        for part in slices(batches, 8):
+            columns = [c.to_pylist() for c in part.columns]
+            own = len(columns) == 4
+            out: list[list[int]] = [[] for _ in made.split(", ")]
+            for row in range(part.num_rows):
+                left = side(columns[:4], row)
+                found = compare(left, left if own else side(columns[4:], row), own)
+                for column, values in zip(out, found, strict=True):
+                    column.extend(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [f.split()[0] for f in made.split(", ")])
+
+    names = ["ids", "marks", "counts", "bodies"]
     alone = leaf.where("size(ids) > 1").select(*names).mapInArrow(run, made)
     pairs = leaf_pairs(leaf, rule).select(*[f"{c}_{s}" for s in "ab" for c in names])
     return alone.unionAll(pairs.mapInArrow(run, made))
@@ -279,7 +291,7 @@ def _bound_filter(pairs: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in (2, 3))
+            a, b = (_points(part.column(c).to_pylist()).astype(np.int64) for c in (2, 3))
             ok = np.minimum(a, b).sum(1) >= rule.overlap(a.sum(1) + b.sum(1))
             yield part.select([0, 1]).filter(pa.array(ok))
 
@@ -300,28 +312,33 @@ def join(docs: DataFrame, num: int = 90, den: int = 100, shingle: int = 3, id_co
     rows = settle(signatures(docs, rule, shingle, id_col, text_col))
     sets = rows.where("n > 0 and doc_id is not null")
     classes = settle(sets.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")))
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "whole", "copies"), ["doc_id", "whole"]).dropDuplicates(["doc_id"])
-    points = settle(reps.select("doc_id", "n", "copies", "counts", "keys"))
-    keyed = points.select(F.explode("keys").alias("key"), "doc_id")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("top")).where("m > 1")
-    members = settle(keyed.join(buckets, "key"))
-
-    spokes = members.where("doc_id <> top").select(F.col("doc_id").alias("u"), F.col("top").alias("v")).distinct()
-    u, v = (points.select(F.col("doc_id").alias(c), F.col("counts").alias(f"counts_{c}")) for c in "uv")
-    first = settle(_bound_filter(spokes.join(u, "u").join(v, "v"), rule))
+    others = sets.join(classes.select("whole", "rep"), "whole").where("doc_id <> rep").select("doc_id").distinct()
+    points = sets.join(small_side(settle(others)), "doc_id", "left_anti")
+    keyed = points.select(F.explode("keys").alias("key"), "doc_id", "n")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "n")).alias("top")).where("m > 1")
+    members = settle(keyed.join(buckets.select("key", "m", "top"), "key"))
+
+    # Pairs of small buckets, at most FEW / 2 for each member, and of large ones those with the smallest member.
+    few, many = members.where(F.col("m") <= FEW), members.where(F.col("m") > FEW)
+    left, right = (few.select("key", F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}")) for c in "uv")
+    near = (F.col("n_u") * rule.den >= F.col("n_v") * rule.num) & (F.col("n_v") * rule.den >= F.col("n_u") * rule.num)
+    spokes = many.where("doc_id <> top.doc_id").select(F.col("top.doc_id").alias("u"), F.col("top.n").alias("n_u"), F.col("doc_id").alias("v"), F.col("n").alias("n_v"))
+    pairs = left.join(right, "key").where("u < v").drop("key").unionAll(spokes.select("u", "n_u", "v", "n_v"))
+    pairs = settle(pairs.where(near).select("u", "v").distinct())
+    u, v = (points.select(F.col("doc_id").alias(c), F.col("counts").alias(f"counts_{c}")).dropDuplicates([c]) for c in "uv")
+    first = settle(_bound_filter(pairs.join(u, "u").join(v, "v"), rule))
     tied = components(first).select(F.col("node").alias("doc_id"), F.col("root"))
-    # Of two members the pair with the smallest was the only one.
-    marked = members.where("m > 2").join(tied, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("mark"))
+    marked = many.join(tied, "doc_id", "left").select("key", "m", "doc_id", F.coalesce("root", "doc_id").alias("mark"))
     apart = marked.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo < hi").select("key")
     rest = marked.join(apart, "key").join(points.select("doc_id", "n", "counts"), "doc_id")
-    rest = rest.select(F.col("key").alias("tree"), "doc_id", "n", "mark", "counts", F.lit(b"").alias("body"))
-    second = walk(leaves(rest), rule, may_link(rule), "u long, v long")
-    family = settle(components(first.unionAll(second)).select(F.col("node").alias("doc_id"), F.col("root").alias("tree")))
-
-    wanted = small_side(family)
-    bodies = _bodies(docs, wanted, shingle, id_col, text_col)
-    full = bodies.dropDuplicates(["doc_id"]).join(points.select("doc_id", "n", "counts", F.col("copies").alias("mark")), "doc_id")
-    found = settle(walk(leaves(full), rule, linked(rule), "u long, v long, add long"))
+    rest = rest.select(F.col("key").alias("tree"), F.col("m").alias("members"), "doc_id", "n", "mark", "counts", F.lit(b"").alias("body"))
+    second = walk(leaves(rest, rule), rule, may_link(rule), "u long, v long")
+    family = components(first.unionAll(second)).select(F.col("node").alias("rep"), F.col("root").alias("tree"))
+    sizes = family.groupBy("tree").agg(F.count(F.lit(1)).alias("members"))
+    wanted = settle(family.join(sizes, "tree").join(classes.select("rep", "copies"), "rep"))
+
+    bodies = _bodies(docs, small_side(wanted), shingle, id_col, text_col)
+    found = settle(walk(leaves(bodies, rule), rule, linked(rule), "u long, v long, add long"))
     roots = components(found.where("u <> v").select("u", "v"))
     links = found.where("u = v").groupBy("u").agg(F.sum("add").alias("more"))
     classes = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(links.withColumnRenamed("u", "rep"), "rep", "left")
@@ -337,16 +354,20 @@ def join(docs: DataFrame, num: int = 90, den: int = 100, shingle: int = 3, id_co
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tree, body): whole sets of the documents in families, from their texts."""
+    """Rows for ``leaves`` with whole sets, of the documents in families, from their texts; the mark is the number of equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for part in slices(batches):
-            sets = [_set_of(t, shingle, memo).tobytes() for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["doc_id", "tree", "body"])
-
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return kept.join(wanted, "doc_id").select("doc_id", "tree", "t").mapInArrow(run, "doc_id long, tree long, body binary")
+            sets = [_set_of(t, shingle, memo) for t in part.column(4).to_pylist()]
+            counts = pa.array([_counts(x) if len(x) else b"" for x in sets], pa.binary())
+            arrays = [*part.columns[:4], pa.array([len(x) for x in sets], pa.int64()), counts, pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["tree", "members", "doc_id", "mark", "n", "counts", "body"])
+
+    kept = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    kept = kept.join(wanted, "rep").select("tree", "members", "rep", "copies", "t")
+    made = "tree long, members long, doc_id long, mark long, n long, counts binary, body binary"
+    return kept.mapInArrow(run, made).where("n > 0")
 
 
 def one_of_each(docs: DataFrame, num: int = 80, den: int = 100, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
