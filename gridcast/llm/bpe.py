@@ -31,7 +31,7 @@ from gridcast.llm.store import slices
 VOCABULARY = "byte_bpe_50k.tiktoken"
 START = -1
 # Entries kept at most in a worker: memo of chunks, states of the transducer, tested pairs.
-MEMO, STATES, PAIRS = 400_000, 250_000, 500_000
+MEMO, STATES, PAIRS = 250_000, 150_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,6 +114,13 @@ class Transducer:
             self.pairs[left, right] = found
         return found
 
+    def forget(self) -> None:
+        """Drops all states; their moves point at each other in rings, which are cut here."""
+        for state in self.states.values():
+            state.moves = {}
+        self.states.clear()
+        self.start.moves = {}
+
     def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         tail = state.tail + bytes((byte,))
         n, ranks, prefixes = len(tail), self.ranks, self.prefixes
@@ -125,27 +132,31 @@ class Transducer:
             if piece in prefixes:
                 live.append(begin)
         live.append(n)
-        back = {**back, n: last}
-        walk = set(live)
-        while len(walk) > 1:
-            top = max(walk)
-            walk.discard(top)
-            walk.add(back[top][0])
-        settled = walk.pop()
-        emitted = chain(back, settled)
-        token = emitted[-1] if emitted else state.token
-        rest: dict[int, tuple[int, int]] = {}
-        for at in live:
-            while at > settled and at - settled not in rest:
-                begin, by = back[at]
-                rest[at - settled] = (begin - settled, by)
-                at = begin
+        token, rest = state.token, {}
+        if len(live) == 1:
+            settled = n
+            emitted = (*chain(back, last[0]), last[1])
+        else:
+            back = {**back, n: last}
+            walk = set(live)
+            while len(walk) > 1:
+                top = max(walk)
+                walk.discard(top)
+                walk.add(back[top][0])
+            settled = walk.pop()
+            emitted = chain(back, settled)
+            for at in live:
+                while at > settled and at - settled not in rest:
+                    begin, by = back[at]
+                    rest[at - settled] = (begin - settled, by)
+                    at = begin
+        if emitted:
+            token = emitted[-1]
         key = (token if live[0] == settled else tuple(rest.items()), tail[settled:])
         after = self.states.get(key)
         if after is None:
             if len(self.states) >= STATES:
-                self.states.clear()
-                self.start = State(START, b"", [0], {})
+                self.forget()
             after = self.states[key] = State(token, tail[settled:], [at - settled for at in live], rest)
         step = state.moves[byte] = (after, emitted)
         return step
@@ -299,7 +310,7 @@ _codecs: dict[str, Codec] = {}
 
 def codec_of(path: str) -> Codec:
     if path not in _codecs:
-        gc.disable()  # a worker keeps hundreds of thousands of states; nothing here forms garbage cycles
+        gc.disable()  # a worker keeps many states, and no rings of objects are left behind
         _codecs[path] = Codec(read_ranks(path))
     return _codecs[path]
 
