@@ -85,7 +85,7 @@ def beside_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(LAST)))
     wanted = 4 * partitions(spark)
-    cuts = rows.select(F.percentile_approx("at", [i / wanted for i in range(1, wanted)], 100 * wanted)).first()[0] or []
+    cuts = rows.select(F.percentile_approx("at", [i / wanted for i in range(1, wanted)], 100 * wanted)).first()[0] or [0]
     edges = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
     rows = Bucketizer(splits=edges, inputCol="place", outputCol="block").transform(rows.withColumn("place", F.col("at").cast("double")))
     rows = rows.withColumn("block", F.col("block").cast("int")).drop("place")

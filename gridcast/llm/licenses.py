@@ -40,6 +40,8 @@ TEMPLATES = {
 CUES = r"(?i)licen[sc]e|copyright|permission is hereby|redistribut|public domain|free software|creative commons|\bcc0\b|\bcc by"
 CUE = re.compile(CUES)
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+# Words that make another license of one; none may be missing or added.
+TELLING = {"lesser", "affero", "nc", "sa", "by", "noncommercial", "attribution-noncommercial", "attribution-sharealike", "attribution", "by-nc", "by-sa"}
 # Share of the template's words that must be found in order, and how many templates are confirmed by wording.
 COVER, TRIED = 0.9, 6
 # A block is cut into windows of so many words, half overlapping, as compression tells little on longer ones.
@@ -115,9 +117,9 @@ def _notices(block: str) -> tuple[tuple[str, float, float, str, str], ...]:
             cover, begin, end, missing, added = differences(template, plain)
             # Numbers tell versions apart: none may be missing or other than the template's.
             figures = [w for w in missing if any(c.isdigit() for c in w)]
-            critical = {w for w in added if w in {"lesser", "affero", "nc", "sa", "noncommercial", "sharealike", "by-nc", "by-sa"}}
-            if cover >= COVER and not figures and not critical and len(added) <= len(template) // 5:
-                key = (cover * len(template), share)
+            telling = TELLING.intersection((*missing, *added))
+            if cover >= COVER and not figures and not telling and len(added) <= len(template) // 5:
+                key = (len(template) - 2 * len(missing) - len(added), share)
                 if best is None or key > best[0]:
                     best = (key, (name, round(share, 6), cover, " ".join(missing), " ".join(added)), begin, end)
         if best is None:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 500_000
+MEMO = 150_000
 
 
 def words(text: bytes | None) -> list[bytes]:
