@@ -31,7 +31,7 @@ from gridcast.llm.store import slices
 VOCABULARY = "byte_bpe_50k.tiktoken"
 START = -1
 # Entries kept at most in a worker: memo of chunks, states of the transducer, tested pairs.
-MEMO, STATES, PAIRS = 400_000, 220_000, 200_000
+MEMO, STATES, PAIRS = 340_000, 220_000, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -230,7 +230,9 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.fst = Transducer(ranks)
-        self.split = splitter()
+        if not _splitters:
+            _splitters.append(splitter())
+        self.split = _splitters[0]
         self.pieces, self.first, self.later = Memo(self.piece), Memo(self.chunk), Memo(self.chunk, " ")
         self.table = [self.fst.text.get(i) for i in range(max(self.fst.text) + 1)]
 
@@ -243,13 +245,6 @@ class Codec:
             ids.byteswap()
         return ids.tobytes()
 
-    def trim(self) -> None:
-        """Frees the memos at the end of a task, as the worker may turn to other work; states and pairs stay."""
-        for memo in (self.pieces, self.first, self.later):
-            memo.clear()
-        if len(self.fst.states) > STATES // 2:
-            self.fst.forget()
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
@@ -313,6 +308,7 @@ def decode_stream(codec: Codec, ids: bytes, step: int = 1 << 16) -> Iterator[str
 
 
 _codecs: dict[str, Codec] = {}
+_splitters: list[re.Pattern] = []
 
 
 def codec_of(path: str) -> Codec:
@@ -322,6 +318,13 @@ def codec_of(path: str) -> Codec:
     return _codecs[path]
 
 
+def release(codec: Codec) -> None:
+    """Frees all that a task built up, as the worker may turn to other work."""
+    codec.fst.forget()
+    _codecs.clear()
+    gc.enable()
+
+
 def shipped(docs: DataFrame, path: str) -> str:
     """The vocabulary as a file that every executor fetches; its name."""
     docs.sparkSession.sparkContext.addFile(path)
@@ -342,7 +345,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
             counts = [len(x) // 4 for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.int64())], ["id", "ids", "n_tokens"])
-        codec.trim()
+        release(codec)
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return kept.mapInArrow(run, "id long, ids binary, n_tokens long").withColumnRenamed("id", id_col)
@@ -380,7 +383,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
             arrays = [part.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-        codec.trim()
+        release(codec)
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     made = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
