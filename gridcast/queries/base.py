@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -164,10 +164,6 @@ def ids_sql(source: str, name: str = "ids") -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a round trip: in the cluster's shared folder when there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="gridcast-")
+    """A new folder for a round trip: in the cluster's shared folder, or else in the session's warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/round-trip-{uuid.uuid4().hex}"

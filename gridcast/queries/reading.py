@@ -177,7 +177,7 @@ def _(spark, d):
 )
 def _(spark, d):
     path = scratch(spark) + "/matrix"
-    vectors = E.embedding_marks(spark, d).repartitionByRange(3, "t").sortWithinPartitions("t")
+    vectors = E.embedding_marks(spark, d).repartitionByRange("t").sortWithinPartitions("t")
     cells = F.concat(F.array(F.col("t").cast("string")), F.transform("emb", lambda v: v.cast("double").cast("string")))
     vectors.select(F.array_join(cells, ",").alias("value")).write.text(path)
     rows = C.read_matrix(spark, path)

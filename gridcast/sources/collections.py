@@ -17,7 +17,6 @@ TSF_MISSING = "?"
 TSF_DATE = "yyyy-MM-dd HH-mm-ss"
 TRUE_WORDS = ("y", "yes", "t", "true", "on", "1")
 FALSE_WORDS = ("n", "no", "f", "false", "off", "0")
-MAX_META_LINES = 10_000
 # Bytes that cp1252 maps to another character than Latin-1 does.
 _HIGH = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
 LATIN_1, CP1252 = ("".join(part) for part in zip(*[(a, c) for a, c in _HIGH if c]))
@@ -55,7 +54,7 @@ def _attribute(text: Column, kind: str) -> Column:
 def read_tsf(spark: SparkSession, path: str, value: str = "series_value", strict: bool = False) -> Collection:
     """Typed attributes and one value array per series.
 
-    Header lines are few and read on the driver; data lines stay distributed.
+    The header ends at the @data line and is read on the driver; data lines stay distributed.
     Lines with a wrong field count, a bad attribute, a bad number or no value at
     all are rejected with a reason, or fail the job in strict mode.
     """
@@ -69,7 +68,12 @@ def read_tsf(spark: SparkSession, path: str, value: str = "series_value", strict
         .select(F.translate(F.trim("line"), LATIN_1, CP1252).alias("line"))
         .where(F.length("line") > 0)
     )
-    meta = [r["line"] for r in lines.where(F.col("line").startswith("@")).limit(MAX_META_LINES).toLocalIterator()]
+    meta = []
+    # Partition by partition, in the order of the file: it ends with the part that has the @data line.
+    for row in lines.where(F.col("line").startswith("@")).toLocalIterator():
+        meta.append(row["line"])
+        if row["line"].split(" ")[0].startswith("@data"):
+            break
     names: list[tuple[str, str]] = []
     found: dict[str, str] = {}
     for line in meta:
@@ -174,7 +178,3 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 def read_group(spark: SparkSession, path: str, group: str) -> DataFrame:
     """``(id, grp, series)`` of one seasonal pattern; the filter reaches the scan."""
     return spark.read.parquet(path).select("id", "grp", "series").where(F.col("grp") == group)
-
-
-def clean_values(df: DataFrame, value: str) -> DataFrame:
-    return df.withColumn(value, nan_to_null(value))

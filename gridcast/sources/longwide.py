@@ -21,7 +21,6 @@ from gridcast.functions.text import clock_columns, file_name_of, station_from_fi
 from gridcast.functions.times import compose_datetime, parse_datetime, parse_strict_date
 from gridcast.operators.clean import LONG_COLUMNS
 
-KEPT_IDS = ("Year", "Unit", "Zone Substation")
 CORRUPT = "_corrupt"
 LONG_SCHEMA = "datetime string, station string, target string"
 

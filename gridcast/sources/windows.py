@@ -30,7 +30,3 @@ def read_marks(spark: SparkSession, path: str, axis: DataFrame | None = None) ->
         if not result["ok"]:
             raise ValueError(f"marks do not match the axis: {result.asDict()}")
     return marks
-
-
-def mark_dimension(marks: DataFrame) -> DataFrame:
-    return marks.agg(F.max(F.size("emb")).alias("dim"))

@@ -51,13 +51,12 @@ def _width(name: str, kind: DataType) -> Column:
 def small_side(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Marks ``df`` for broadcast when its measured size is within bounds.
 
-    The measurement reads at most ``max_rows + 1`` rows.  A larger side is
-    returned as it is, so that the join shuffles and skewed partitions are split
-    at run time.
+    Tasks send one count and one sum each.  A larger side is returned as it is, so
+    that the join shuffles and skewed partitions are split at run time.
     """
     kept = settle(df)
     width = F.lit(0)
     for field in kept.schema.fields:
         width = width + _width(field.name, field.dataType)
-    rows, size = kept.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(kept) if rows <= max_rows and size <= max_bytes else kept
