@@ -25,9 +25,11 @@ def prompts(axis: DataFrame, token_len: int, step_minutes: int) -> DataFrame:
     return axis.select("t", span_prompt("datetime", token_len, step_minutes).alias("prompt"))
 
 
-def check_marks(marks: DataFrame, axis: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def check_marks(marks: DataFrame, axis: DataFrame, keys: Sequence[str] = (), stations: DataFrame | None = None) -> DataFrame:
     """One row with the counts of axis points, marked points and mismatches.
 
+    ``stations`` lists the keys that must have marks; one without any counts as 0.
+
     ``ok`` tells whether every axis position (per station, when keyed) has a mark
     and no mark lies outside the axis.
     """
@@ -36,6 +38,9 @@ def check_marks(marks: DataFrame, axis: DataFrame, keys: Sequence[str] = ()) ->
     per_key = marks.groupBy(*keys).agg(F.countDistinct("t").alias("marked")) if keys else marks.agg(
         F.countDistinct("t").alias("marked")
     )
+    if keys and stations is not None:
+        per_key = stations.select(*keys).distinct().join(per_key, list(keys), "left")
+        per_key = per_key.withColumn("marked", F.coalesce("marked", F.lit(0)))
     return (
         per_key.agg(F.min("marked").alias("least_marked"), F.max("marked").alias("most_marked"))
         .withColumn("axis_points", points)
@@ -84,6 +89,7 @@ def attach_marks(
 
     Shared marks meet the windows of all stations in one block, so each block is
     copied a few times and the windows of that block are dealt out among the copies.
+    A window without marks stays, with arrays of NULL.
     """
     parts = mark_blocks(marks, seq_len + pred_len - 1, keys, block)
     copies = 1 if keys else copies
@@ -92,7 +98,7 @@ def attach_marks(
         "part", F.floor(F.col("s_begin") / block).cast("long")
     )
     dealt = F.pmod(F.xxhash64(*[c for c in ("station", "series", "channel", "s_begin") if c in index.columns]), F.lit(copies))
-    joined = placed.withColumn("_copy", dealt).join(parts, [*keys, "part", "_copy"])
+    joined = placed.withColumn("_copy", dealt).join(parts, [*keys, "part", "_copy"], "left")
 
     def pick(pos: str) -> Column:
         return F.transform(pos, lambda i: F.get("marks", (i - F.col("base")).cast("int")))

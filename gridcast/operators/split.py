@@ -115,23 +115,29 @@ def explode_splits(df: DataFrame, ranges: Ranges, t: str = "t") -> DataFrame:
     return df.select("*", F.explode(F.transform(covering, lambda r: r["split"])).alias("split"))
 
 
+# Starts that are ranked together.
+RANK_BLOCK = 8192
+
+
 def sample_order_split(
     samples: DataFrame, station: str = "station_id", begin: str = "s_begin", train: float = TRAIN_RATIO, val: float = VAL_RATIO
 ) -> DataFrame:
     """First 70 % of the stored samples train, next 10 % validate, the rest test.
 
     Stored order is by station, then start, so this splits by station rather
-    than by time.  The rank comes from one count per station; samples are not
-    sorted globally.
+    than by time.  The rank comes from one count per block of starts and the place
+    within it, so starts may have gaps; samples are not sorted globally.
     """
-    sizes = samples.groupBy(station).agg(F.count(F.lit(1)).alias("_n"), F.min(begin).alias("_low"))
-    earlier = Window.orderBy(station).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(station, "_low", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    samples = samples.withColumn("_part", F.floor(F.col(begin) / RANK_BLOCK))
+    sizes = samples.groupBy(station, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(station, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(station, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     total = samples.agg(F.count(F.lit(1))).scalar()
+    within = F.row_number().over(Window.partitionBy(station, "_part").orderBy(begin))
     ranked = (
-        samples.join(starts, station)
-        .withColumn("sample_id", F.col("_start") + F.col(begin) - F.col("_low"))
+        samples.join(starts, [station, "_part"])
+        .withColumn("sample_id", F.col("_start") + within - 1)
         .withColumn("_total", total)
-        .drop("_start", "_low")
+        .drop("_start", "_part")
     )
     return label_split(ranked, ratio_ranges(F.col("_total"), train, val), "sample_id").drop("_total")

@@ -32,7 +32,7 @@ def series_blocks(
 ) -> DataFrame:
     """``(keys, part, base, points)``: points from position ``base`` on, in order.
 
-    Positions must be dense within a key.  At most ``block_points + overlap``
+    Positions must be dense within a key; a gap or a repeat fails the job.  At most ``block_points + overlap``
     points per row.
     """
     pos = F.col(t).cast("long")
@@ -51,11 +51,19 @@ def series_blocks(
             *keys,
             "part",
             (F.col("part") * block_points).alias("base"),
-            F.transform("_p", lambda p: p["_y"]).alias("points"),
+            F.when(_dense("_p", F.col("part") * block_points), F.transform("_p", lambda p: p["_y"]))
+            .otherwise(F.raise_error(F.lit("positions have gaps or repeats: put the series on a grid first")))
+            .alias("points"),
         )
     )
 
 
+def _dense(points: str, base: Column) -> Column:
+    """Whether sorted points take each position from ``base`` on once."""
+    first, last = F.element_at(points, 1)["_t"], F.element_at(points, -1)["_t"]
+    return (first == base) & (last - base + 1 == F.size(points))
+
+
 def _starts(lo: Column, hi: Column) -> Column:
     """Integers from ``lo`` to ``hi``, none when ``hi < lo``."""
     return F.when(hi >= lo, F.sequence(lo, hi))
