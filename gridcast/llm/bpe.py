@@ -31,7 +31,7 @@ from gridcast.llm.store import slices
 VOCABULARY = "byte_bpe_50k.tiktoken"
 START = -1
 # Entries kept at most in a worker: memo of chunks, states of the transducer, tested pairs.
-MEMO, STATES, PAIRS = 340_000, 220_000, 250_000
+MEMO, STATES, PAIRS = 300_000, 200_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -321,8 +321,12 @@ def codec_of(path: str) -> Codec:
 def release(codec: Codec) -> None:
     """Frees all that a task built up, as the worker may turn to other work."""
     codec.fst.forget()
+    # Memos and codec point at each other, so they are emptied here, not left to the collector.
+    for memo in (codec.pieces, codec.first, codec.later):
+        memo.clear()
     _codecs.clear()
     gc.enable()
+    gc.collect()
 
 
 def shipped(docs: DataFrame, path: str) -> str:
