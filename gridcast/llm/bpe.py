@@ -31,7 +31,7 @@ from gridcast.llm.store import slices
 VOCABULARY = "byte_bpe_50k.tiktoken"
 START = -1
 # Entries kept at most in a worker: memo of chunks, states of the transducer, tested pairs.
-MEMO, STATES, PAIRS = 300_000, 200_000, 200_000
+MEMO, STATES, PAIRS = 400_000, 260_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
