@@ -68,14 +68,34 @@ def runs(found: list[tuple[bytes, list[bytes]]], least: int = SENTENCES, words:
         held -= counts[begin]
 
 
+def own_first(found: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int | None, int, int]]:
+    """The first run of each hash in a document; then, without hash, the stretches covered by its later runs.
+
+    A line that a document repeats a thousand times is sent out once, and what follows in the document is
+    known to be no first.
+    """
+    seen: set[int] = set()
+    later: list[list[int]] = []
+    for digest, begin, end in found:
+        if digest not in seen:
+            seen.add(digest)
+            yield digest, begin, end
+        elif later and begin <= later[-1][1]:
+            later[-1][1] = max(later[-1][1], end)
+        else:
+            later.append([begin, end])
+    for begin, end in later:
+        yield None, begin, end
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """(id, spans array of (begin, end)) of documents with runs that are not the first of their kind, in order of id and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out: list[list[int]] = [[], [], [], []]
+            out: list[list[int | None]] = [[], [], [], []]
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for digest, begin, end in runs(sentences(text), least, words):
+                for digest, begin, end in own_first(runs(sentences(text), least, words)):
                     for column, value in zip(out, (digest, key, begin, end), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -84,8 +104,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key")
     kept = docs.select(key, F.col(text_col).cast("string").cast("binary").alias("t"))
     spans = settle(kept.mapInArrow(run, "hash long, key long, begin int, end int"))
-    firsts = spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "begin")).alias("first")).where("n > 1")
-    again = spans.join(firsts.select("hash", "first"), "hash").where("key <> first.key or begin <> first.begin")
+    firsts = spans.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "begin")).alias("first")).where("n > 1")
+    again = spans.join(firsts.select("hash", "first"), "hash").where("key <> first.key or begin <> first.begin").select("key", "begin", "end")
+    again = again.unionByName(spans.where("hash is null").select("key", "begin", "end"))
     # Runs begin one sentence apart, so a document has at most as many spans as sentences.
     return settle(again.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
 
