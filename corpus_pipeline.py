@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gridcast.llm import bpe, mixing, ngram_join, quality_fm, spans
 from gridcast.llm.store import settle
 
+# Entries of a worker's memo in the last stage, which shares its executor with what the others left in the heap.
+MEMO = 100_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -38,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of the ids and of the text that they decode to."""
-    return bpe.round_trip(docs)
+    return bpe.round_trip(docs, entries=MEMO)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -30,7 +30,8 @@ from gridcast.llm.store import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 START = -1
-# Entries kept at most in a worker: memo of chunks, states of the transducer, tested pairs.
+# Entries kept at most in a worker: memo of chunks, states of the transducer, tested pairs.  They change speed only;
+# with fewer ``entries`` in the memo, states and pairs are fewer in proportion.
 MEMO, STATES, PAIRS = 400_000, 260_000, 300_000
 
 
@@ -70,6 +71,7 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int, int]]] = {}
         self.states: dict[tuple, State] = {}
+        self.most_states, self.most_pairs = STATES, PAIRS
         self.start = State(START, b"", [0], {})
 
     def spine(self, token: bytes, right: bool) -> list[tuple[bytes, int, int]]:
@@ -101,7 +103,7 @@ class Transducer:
             return True
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             ends, begins = self.spine(self.text[left], True), self.spine(self.text[right], False)
             found, i, j = True, 0, 0
@@ -155,7 +157,7 @@ class Transducer:
         key = (token if live[0] == settled else tuple(rest.items()), tail[settled:])
         after = self.states.get(key)
         if after is None:
-            if len(self.states) >= STATES:
+            if len(self.states) >= self.most_states:
                 self.forget()
             after = self.states[key] = State(token, tail[settled:], [at - settled for at in live], rest)
         step = state.moves[byte] = (after, emitted)
@@ -214,10 +216,10 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class Memo(dict):
     def __init__(self, work: Callable[[str], bytes], lead: str = ""):
         super().__init__()
-        self.work, self.lead = work, lead
+        self.work, self.lead, self.most = work, lead, MEMO
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.clear()
         found = self.work(self.lead + chunk)
         if len(chunk) <= 64:
@@ -236,6 +238,12 @@ class Codec:
         self.pieces, self.first, self.later = Memo(self.piece), Memo(self.chunk), Memo(self.chunk, " ")
         self.table = [self.fst.text.get(i) for i in range(max(self.fst.text) + 1)]
 
+    def bound(self, entries: int) -> Codec:
+        for memo in (self.pieces, self.first, self.later):
+            memo.most = entries
+        self.fst.most_states, self.fst.most_pairs = max(1, entries * STATES // MEMO), max(1, entries * PAIRS // MEMO)
+        return self
+
     def chunk(self, text: str) -> bytes:
         return b"".join([self.pieces[piece] for piece in self.split.findall(text)])
 
@@ -369,12 +377,15 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
     return kept.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: (id, n_tokens, ids_sha256, decoded_sha256, ids); edge cases as in ``encode``."""
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", entries: int = MEMO) -> DataFrame:
+    """Encodes and decodes in one pass: (id, n_tokens, ids_sha256, decoded_sha256, ids); edge cases as in ``encode``.
+
+    ``entries`` bounds a worker's memo: fewer cost time, not results.
+    """
     name = shipped(docs, path or public_tokenizers.path(VOCABULARY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(SparkFiles.get(name))
+        codec = codec_of(SparkFiles.get(name)).bound(entries)
         for part in slices(batches):
             out: list[list] = [[], [], [], []]
             for text in part.column(1).to_pylist():
