@@ -1,7 +1,7 @@
 """Positions on ordered axes, worked out block by block.
 
 A global ``row_number()`` would sort a whole table in one task.  Here the rows
-are cut into blocks that follow the order (a calendar day, a name prefix, an id
+are cut into blocks that follow the order (a calendar day, a range of names, an id
 range); each block is numbered on its own and shifted by the size of the blocks
 before it.  Only the table of block sizes, one row per block, is ever seen by a
 single task.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridcast.functions.times import day_of, epoch_seconds
 from gridcast.staging import settle
 
-NAME_PREFIX = 3
+NAME_BLOCK = 65_536
 
 
 def _before(keys: Sequence[str], blocks: Sequence[str]):
@@ -64,10 +64,21 @@ def time_axis(readings: DataFrame, value: str | None = "target") -> DataFrame:
     return positions(distinct, ["datetime"], {"_day": day_of("datetime")}, "t").select("t", "datetime")
 
 
-def station_dimension(readings: DataFrame, prefix: int = NAME_PREFIX) -> DataFrame:
-    """``(station, station_id)``: ids follow the order of the names, from 0."""
+def station_dimension(readings: DataFrame, block_rows: int = NAME_BLOCK) -> DataFrame:
+    """``(station, station_id)``: ids follow the order of the names, from 0.
+
+    Names are cut into ranges of about ``block_rows``, at most one for each shuffle partition, wherever they
+    differ; the driver sees one name per range.
+    """
     names = settle(readings.where(F.col("station").isNotNull()).select("station").distinct())
-    cut = {"_head": F.substring("station", 1, prefix)}
+    most = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, -(-names.count() // block_rows))
+    heads = []
+    if parts > 1:
+        ranges = names.repartitionByRange(parts, "station").groupBy(F.spark_partition_id().alias("_part"))
+        heads = sorted(r["_head"] for r in ranges.agg(F.min("station").alias("_head")).collect())
+    block = F.size(F.filter(F.array(*map(F.lit, heads)), lambda h: h <= F.col("station"))) if heads else F.lit(0)
+    cut = {"_head": block}
     return positions(names, ["station"], cut, "station_id").select(
         "station", F.col("station_id").cast("int").alias("station_id")
     )

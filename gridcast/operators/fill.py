@@ -125,13 +125,18 @@ def fill_clean(grid: DataFrame, limit: int, keys: Sequence[str] = ("station",),
     )
 
 
+INNER_PIECES = 4096
+
+
 def station_medians(df: DataFrame, keys: Sequence[str] = ("station",), value: str = "target") -> DataFrame:
     """Exact median per station without gathering a station's values anywhere.
 
     Equal values are counted first.  A logarithmic value range cuts every station
-    into ordered pieces; piece totals say which pieces hold the middle, and only
-    those are ranked.
+    into ordered pieces; piece totals say which pieces hold the middle.  Those are
+    cut again between their own limits, as all values may lie in one narrow band,
+    and only the inner pieces that hold the middle are ranked.
     """
+    keys = list(keys)
     v = F.col(value)
     piece = (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 256)).cast("long")
     counts = (
@@ -139,7 +144,7 @@ def station_medians(df: DataFrame, keys: Sequence[str] = ("station",), value: st
         .groupBy(*keys, v.alias("_v"), piece.alias("_piece"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    sums = counts.groupBy(*keys, "_piece").agg(F.sum("_n").alias("_sum"))
+    sums = counts.groupBy(*keys, "_piece").agg(F.sum("_n").alias("_sum"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     located = (
@@ -149,9 +154,18 @@ def station_medians(df: DataFrame, keys: Sequence[str] = ("station",), value: st
         .withColumn("_hi", F.floor(F.col("_total") / 2) + 1)
         .where((F.col("_start") < F.col("_hi")) & (F.col("_start") + F.col("_sum") >= F.col("_lo")))
     )
-    running = Window.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(located, [*keys, "_piece"]).withColumn(
-        "_upto", F.col("_start") + F.sum("_n").over(running)
+    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    inner = F.when(F.col("_high") > F.col("_low"), F.floor(share * INNER_PIECES)).otherwise(F.lit(0)).cast("long")
+    inside = counts.join(located.drop("_sum"), [*keys, "_piece"]).withColumn("_inner", inner)
+    ranges = inside.groupBy(*keys, "_piece", "_inner", "_start", "_lo", "_hi").agg(F.sum("_n").alias("_sum"))
+    earlier = Window.partitionBy(*keys, "_piece").orderBy("_inner").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_begin", F.col("_start") + F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).where(
+        (F.col("_begin") < F.col("_hi")) & (F.col("_begin") + F.col("_sum") >= F.col("_lo"))
+    )
+    ranked_in = [*keys, "_piece", "_inner"]
+    running = Window.partitionBy(*ranked_in).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.join(ranges.select(*ranked_in, "_begin"), ranked_in).withColumn(
+        "_upto", F.col("_begin") + F.sum("_n").over(running)
     )
 
     def at(rank: str) -> Column:

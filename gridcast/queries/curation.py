@@ -296,13 +296,14 @@ def _(spark, d):
 
 @query(
     "p23_skip_emptied_stations",
-    f"WITH {USER_SPARSE}, late AS (SELECT * FROM sparse WHERE CAST(datetime AS DATE) > DATE '2024-01-10'), "
-    "kept AS (SELECT station FROM late GROUP BY station HAVING count(target) > 0) "
-    f"SELECT {LONG} FROM late WHERE station IN (SELECT station FROM kept)",
+    f"WITH {SHIP_FACTS}, rest AS (SELECT * FROM ship WHERE CAST(datetime AS DATE) NOT IN ({BAD_DATES})), "
+    "kept AS (SELECT station FROM rest GROUP BY station HAVING count(target) > 0) "
+    f"SELECT {LONG} FROM rest WHERE station IN (SELECT station FROM kept)",
 )
 def _(spark, d):
-    late = _sparse(spark, d).where(day_of("datetime") > F.lit("2024-01-10").cast("date"))
-    return clean.without_empty_stations(late, Q.empty_stations(late))
+    r = E.shipment_readings(spark, d)
+    rest = clean.exclude_dates(r, clean.bad_dates(Q.date_summary(Q.station_date_facts(r)), SHARE))
+    return clean.without_empty_stations(rest, Q.empty_stations(rest))
 
 
 @query("p25_rename_target", "SELECT event_id, round(value, 6) AS target FROM events")
@@ -328,10 +329,11 @@ def _(spark, d):
     return dims.attach_station_id(r, axis.station_dimension(r))
 
 
-# Two voltage levels per zone for users whose first event is a click, so cleaned names repeat.
+# Up to two voltage levels per zone, by the kind of its events, so cleaned names repeat.  Zones whose readings never pass 200
+# are not in the map of stations: their weather finds no match.
 ZONES = (
     "zones AS (SELECT DISTINCT 'Zone ' || user_id || CASE WHEN event_type = 'click' THEN ' 132_11kV' ELSE ' 66_11kV' END AS station "
-    "FROM events WHERE value > 200), "
+    "FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING max(value) > 200)), "
     "zone_ids AS (SELECT station, CAST(row_number() OVER (ORDER BY station) - 1 AS INTEGER) AS station_id FROM zones), "
     "cleaned AS (SELECT *, regexp_replace(station, ' [0-9_]+kV$', '') AS station_clean FROM zone_ids)"
 )
@@ -341,9 +343,11 @@ WEATHER = (
 
 
 def _zones(spark, d):
-    events = E.table(spark, d, "events").where(F.col("value") > 200)
+    events = E.table(spark, d, "events")
+    mapped = events.groupBy("user_id").agg(F.max("value").alias("top")).where(F.col("top") > 200)
+    events = events.join(mapped, "user_id", "left_semi")
     tag = F.when(F.col("event_type") == "click", " 132_11kV").otherwise(" 66_11kV")
-    return axis.station_dimension(events.select(F.concat(F.lit("Zone "), F.col("user_id"), tag).alias("station")), prefix=8)
+    return axis.station_dimension(events.select(F.concat(F.lit("Zone "), F.col("user_id"), tag).alias("station")))
 
 
 @query(

@@ -13,9 +13,9 @@ from gridcast.queries.slicing import (
     LABEL,
     PRED,
     SEQ,
-    TEST_WINDOWS,
+    EVERY_WINDOW,
     TOKEN,
-    test_windows,
+    every_window,
 )
 from gridcast.sources import events as E
 
@@ -68,13 +68,13 @@ def pick_sql(table: str, lo: str, n: int, keyed: bool = False) -> str:
 
 
 MARKED = (
-    f"{TEST_WINDOWS}, {VEC}, mw AS (SELECT w.*, {pick_sql('marks', 'w.s_begin', SEQ)} AS x_mark, "
+    f"{EVERY_WINDOW}, {VEC}, mw AS (SELECT w.*, {pick_sql('marks', 'w.s_begin', SEQ)} AS x_mark, "
     f"{pick_sql('marks', f'w.s_begin + {SEQ}', PRED)} AS y_mark FROM tw w)"
 )
 
 
 def marked_windows(spark, d):
-    return marks.attach_marks(test_windows(spark, d), axis_marks(spark, d), SEQ, LABEL, PRED, TOKEN)
+    return marks.attach_marks(every_window(spark, d), axis_marks(spark, d), SEQ, LABEL, PRED, TOKEN)
 
 
 @query(
@@ -97,12 +97,12 @@ def _(spark, d):
 
 @query(
     "w20_mark_positions",
-    f"WITH {TEST_WINDOWS} SELECT station, s_begin, array_to_string(list_transform(range({SEQ // TOKEN}), lambda i: "
+    f"WITH {EVERY_WINDOW} SELECT station, s_begin, array_to_string(list_transform(range({SEQ // TOKEN}), lambda i: "
     f"CAST((s_begin + i * {TOKEN}) * 10000 AS VARCHAR)), ',') AS x_pos, array_to_string(list_transform(range({PRED // TOKEN}), "
     f"lambda i: CAST((s_begin + {SEQ} + i * {TOKEN}) * 10000 AS VARCHAR)), ',') AS y_pos FROM tw",
 )
 def _(spark, d):
-    index = test_windows(spark, d).select("station", "s_begin")
+    index = every_window(spark, d).select("station", "s_begin")
     return marks.mark_positions(index, SEQ, LABEL, PRED, TOKEN)
 
 
@@ -115,7 +115,7 @@ def _(spark, d):
 
 
 BOTH = (
-    f"{TEST_WINDOWS}, {VEC}, bw AS (SELECT w.station, w.s_begin, list_transform(range({SEQ // TOKEN}), lambda i: w.s_begin + i * {TOKEN}) AS pos FROM tw w), "
+    f"{EVERY_WINDOW}, {VEC}, bw AS (SELECT w.station, w.s_begin, list_transform(range({SEQ // TOKEN}), lambda i: w.s_begin + i * {TOKEN}) AS pos FROM tw w), "
     "ex AS (SELECT station, s_begin, unnest(pos) AS t FROM bw), "
     "je AS (SELECT ex.station, ex.s_begin, ex.t, list_concat(m.emb, k.emb) AS emb FROM ex JOIN marks m ON m.t = ex.t "
     "JOIN wmarks k ON k.station = ex.station AND k.t = ex.t)"
@@ -205,7 +205,7 @@ def _(spark, d):
 WEIGHT = 10.0
 SHARE = "list_sum(list_transform({e}, lambda q: CAST(q AS DOUBLE))) / " + str(2 * MARK_DIM)
 ABLATION = (
-    f"WITH {TEST_WINDOWS}, {VEC}, sh AS (SELECT {SHARE.format(e='a1.emb')} AS t1, {SHARE.format(e='a2.emb')} AS t2, "
+    f"WITH {EVERY_WINDOW}, {VEC}, sh AS (SELECT {SHARE.format(e='a1.emb')} AS t1, {SHARE.format(e='a2.emb')} AS t2, "
     f"{SHARE.format(e='b1.emb')} AS w1, {SHARE.format(e='b2.emb')} AS w2 FROM tw "
     f"JOIN marks a1 ON a1.t = tw.s_begin + {SEQ - TOKEN} JOIN marks a2 ON a2.t = tw.s_begin + {SEQ} "
     f"JOIN wmarks b1 ON b1.station = tw.station AND b1.t = tw.s_begin + {SEQ - TOKEN} "

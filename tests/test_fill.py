@@ -139,10 +139,22 @@ def test_median_of_even_odd_and_missing(spark):
     assert sorted(r["target"] for r in filled.where("station = 'y'").collect()) == [1.0, 2.0, 3.0]
 
 
+def test_median_of_a_narrow_band(spark):
+    series = {"x": [1000 + i % 977 / 1e6 for i in range(2000)], "y": [-5.0] * 3 + [-5.0 + i / 1e9 for i in range(500)]}
+    got = {r["station"]: r["median"] for r in fill.station_medians(readings(spark, series)).collect()}
+    assert got == pytest.approx({k: float(np.median(v)) for k, v in series.items()}, abs=1e-12)
+
+
+def test_station_ids_of_names_with_a_common_beginning(spark):
+    names = [f"Zone {i}" for i in range(500)]
+    ids = axis.station_dimension(spark.createDataFrame([(n,) for n in names], "station string"), block_rows=50)
+    assert {r["station"]: r["station_id"] for r in ids.collect()} == {n: i for i, n in enumerate(sorted(names))}
+
+
 def test_positions_and_station_ids(spark):
     names = ["b", "a10", "a2", "zz", "a1"]
     df = spark.createDataFrame([(n,) for n in names * 3], "station string")
-    ids = {r["station"]: r["station_id"] for r in axis.station_dimension(df, prefix=1).collect()}
+    ids = {r["station"]: r["station_id"] for r in axis.station_dimension(df, block_rows=2).collect()}
     assert ids == {n: i for i, n in enumerate(sorted(names))}
     rows = spark.range(100).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 101).alias("v"))
     out = axis.positions(rows, ["v"], {"_b": F.floor(F.col("v") / 9)}, "p", keys=["k"], total="n").collect()
