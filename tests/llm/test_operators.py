@@ -89,6 +89,15 @@ def spans_brute(rows):
     return cover
 
 
+def test_a_line_repeated_in_a_document_is_sent_once():
+    found = [(7, 0, 3), (7, 1, 4), (8, 2, 5), (7, 5, 8), (7, 6, 9), (9, 20, 23), (8, 30, 33)]
+    got = list(spans.own_first(iter(found)))
+    assert [g for g in got if g[0] is not None] == [(7, 0, 3), (8, 2, 5), (9, 20, 23)]
+    later = {i for h, a, b in got if h is None for i in range(a, b)}
+    assert later == {i for n, (h, a, b) in enumerate(found) if h in {x[0] for x in found[:n]} for i in range(a, b)}
+    assert list(spans.own_first(iter([]))) == []
+
+
 def test_spans_against_one_pass(spark):
     rng = random.Random(4)
     sentence = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(2, 40))) + rng.choice([". ", "! ", "\n"])
