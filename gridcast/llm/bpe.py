@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 START = -1
 # Entries kept at most in a worker: memo of chunks, states of the transducer, tested pairs.  They change speed only;
 # with fewer ``entries`` in the memo, states and pairs are fewer in proportion.
-MEMO, STATES, PAIRS = 400_000, 260_000, 300_000
+MEMO, STATES, PAIRS = 600_000, 260_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,18 +40,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class State:
-    """``live``: positions of the tail where a token may still begin or end, the first one first.
+class State(dict):
+    """Byte: the state after it and the tokens then settled, as far as met.
+
+    ``live``: positions of the tail where a token may still begin or end, the first one first.
 
     ``back``: for positions on the way to a live one, where the last token before it begins, and that token.
     """
 
-    __slots__ = ("back", "final", "live", "moves", "tail", "token")
+    __slots__ = ("back", "ends", "live", "owner", "tail", "token")
+
+    def __init__(self, owner: Transducer, token: int, tail: bytes, live: list[int], back: dict[int, tuple[int, int]]):
+        super().__init__()
+        self.owner, self.token, self.tail, self.live, self.back = owner, token, tail, live, back
+        self.ends: tuple[int, ...] | None = None
 
-    def __init__(self, token: int, tail: bytes, live: list[int], back: dict[int, tuple[int, int]]):
-        self.token, self.tail, self.live, self.back = token, tail, live, back
-        self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
-        self.final = chain(back, len(tail))
+    def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
+        return self.owner.move(self, byte)
+
+    @property
+    def final(self) -> tuple[int, ...]:
+        """The tokens of the tail if the run ends here."""
+        if self.ends is None:
+            self.ends = chain(self.back, len(self.tail))
+        return self.ends
 
 
 def chain(back: dict[int, tuple[int, int]], end: int) -> tuple[int, ...]:
@@ -67,12 +79,14 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.text = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
+        # What longer tokens begin with: -1, or the rank where that is a token itself; other tokens: -2 less the rank.
+        self.known = {token[:n]: -1 for token in ranks for n in range(1, len(token))}
+        self.known |= {token: rank if token in self.known else -2 - rank for token, rank in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int, int]]] = {}
         self.states: dict[tuple, State] = {}
         self.most_states, self.most_pairs = STATES, PAIRS
-        self.start = State(START, b"", [0], {})
+        self.start = State(self, START, b"", [0], {})
 
     def spine(self, token: bytes, right: bool) -> list[tuple[bytes, int, int]]:
         """What stands at one edge of a token while it is merged: part, rank that makes it, rank that ends it."""
@@ -119,48 +133,73 @@ class Transducer:
     def forget(self) -> None:
         """Drops all states; their moves point at each other in rings, which are cut here."""
         for state in self.states.values():
-            state.moves = {}
+            state.clear()
         self.states.clear()
-        self.start.moves = {}
+        self.start.clear()
+
+    @staticmethod
+    def meet(live: list[int], back: dict[int, tuple[int, int]]) -> int:
+        """The last position that the chains of all live positions share."""
+        at = live[-1]
+        for other in live[-2::-1]:
+            while at != other:
+                if at > other:
+                    at = back[at][0]
+                else:
+                    other = back[other][0]
+        return at
+
+    @staticmethod
+    def ways(live: list[int], back: dict[int, tuple[int, int]], settled: int) -> dict[int, tuple[int, int]]:
+        """What remains of ``back`` on the chains of live positions, counted from the settled one."""
+        rest: dict[int, tuple[int, int]] = {}
+        for at in live:
+            while at > settled and at - settled not in rest:
+                begin, by = back[at]
+                rest[at - settled] = (begin - settled, by)
+                at = begin
+        return rest
 
     def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         tail = state.tail + bytes((byte,))
-        n, ranks, prefixes = len(tail), self.ranks, self.prefixes
-        back, live, last = state.back, [], None
+        n, known, pairs, before = len(tail), self.known, self.pairs, state.back
+        live, last = [], None
         for begin in state.live:
-            piece = tail[begin:]
-            if last is None and (token := ranks.get(piece)) is not None and self.fits(back[begin][1] if begin else state.token, token):
-                last = (begin, token)
-            if piece in prefixes:
+            token = known.get(tail[begin:])
+            if token is None:
+                continue
+            if token >= -1:
                 live.append(begin)
-        live.append(n)
-        token, rest = state.token, {}
-        if len(live) == 1:
-            settled = n
-            emitted = (*chain(back, last[0]), last[1])
+            else:
+                token = -2 - token
+            if last is None and token >= 0:
+                left = before[begin][1] if begin else state.token
+                fits = pairs.get((left, token))
+                if self.fits(left, token) if fits is None else fits:
+                    last = (begin, token)
+        if not live:
+            emitted = (*chain(before, last[0]), last[1])
+            live, token, settled, back = [n], last[1], n, {}
         else:
-            back = {**back, n: last}
-            walk = set(live)
-            while len(walk) > 1:
-                top = max(walk)
-                walk.discard(top)
-                walk.add(back[top][0])
-            settled = walk.pop()
+            live.append(n)
+            back = {**before, n: last}
+            settled = self.meet(live, back)
             emitted = chain(back, settled)
-            for at in live:
-                while at > settled and at - settled not in rest:
-                    begin, by = back[at]
-                    rest[at - settled] = (begin - settled, by)
-                    at = begin
-        if emitted:
-            token = emitted[-1]
-        key = (token if live[0] == settled else tuple(rest.items()), tail[settled:])
+            token = emitted[-1] if emitted else state.token
+        rest = None
+        if live[0] == settled:
+            key = (token, tail[settled:])
+        else:
+            rest = self.ways(live, back, settled)
+            key = (tuple(rest.items()), tail[settled:])
         after = self.states.get(key)
         if after is None:
             if len(self.states) >= self.most_states:
                 self.forget()
-            after = self.states[key] = State(token, tail[settled:], [at - settled for at in live], rest)
-        step = state.moves[byte] = (after, emitted)
+            if rest is None:
+                rest = self.ways(live, back, settled)
+            after = self.states[key] = State(self, token, tail[settled:], [at - settled for at in live], rest)
+        step = state[byte] = (after, emitted)
         return step
 
     def run(self, data: Iterable[int]) -> list[int]:
@@ -168,10 +207,9 @@ class Transducer:
         out: list[int] = []
         state = self.start
         for byte in data:
-            step = state.moves.get(byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            state, emitted = state[byte]
+            if emitted:
+                out += emitted
         out += state.final
         return out
 
@@ -179,7 +217,7 @@ class Transducer:
         """The same tokens one by one, each as soon as it is settled."""
         state = self.start
         for byte in data:
-            state, emitted = state.moves.get(byte) or self.move(state, byte)
+            state, emitted = state[byte]
             yield from emitted
         yield from state.final
 
