@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridcast.llm import bpe, mixing, ngram_join, quality_fm, spans
-from gridcast.llm.store import settle
+from gridcast.llm.store import settle, small_batches
 
 # Entries of a worker's memo in the last stage, which shares its executor with what the others left in the heap.
 MEMO = 150_000
@@ -20,17 +20,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject.  It learns from ``docs`` and their labels."""
+    small_batches(spark)
     machine = quality_fm.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_fm.keep_good(docs, machine, threshold=0.3)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by runs of five words at a similarity of 0.8 or more."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs, 80, 100, 5)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences that an earlier one has in the same run; n_chars follows the text."""
+    small_batches(spark)
     return spans.dedup_documents(docs)
 
 
@@ -41,6 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of the ids and of the text that they decode to."""
+    small_batches(spark)
     return bpe.round_trip(docs, entries=MEMO)
 
 

@@ -45,10 +45,18 @@ def small_side(settled: DataFrame, values: Column | None = None) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of few rows, so that what is built from them stays small."""
+    """Arrow batches in pieces of few rows, so that what is built from them stays small; a worker gives back what a batch took."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
+    """Arrow batches of the session hold at most so many rows and bytes: a batch lies in the executor and in the worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def partitions(spark: SparkSession) -> int:
