@@ -186,7 +186,7 @@ def walk(leaf: DataFrame, rule: Rule, compare: Compare, made: str) -> DataFrame:
         return np.array(ids, np.int64), np.array(marks, np.int64), _points(counts), bodies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 8):
+        for part in slices(batches, 2):
             columns = [c.to_pylist() for c in part.columns]
             own = len(columns) == 4
             out: list[list[int]] = [[] for _ in made.split(", ")]
