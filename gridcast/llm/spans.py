@@ -1,13 +1,14 @@
-"""Substring dedup by sliding spans of sentences.
+"""Substring dedup by sliding spans of sentences and their pieces.
 
-Every run of consecutive sentences that is long enough is hashed; runs meet by hash over the whole
-corpus, and sentences covered by a run that is not the first of its kind are removed.
+Every run of consecutive pieces that is long enough is hashed; runs meet by hash over the whole
+corpus, and pieces covered by a run that is not the first of its kind are removed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -16,18 +17,54 @@ from pyspark.sql import functions as F
 
 from gridcast.llm.store import settle, slices, small_side
 
-# A run has at least so many sentences and words; a sentence of more words than PIECE counts as several.
+# A run has at least so many sentences and words; a piece of a sentence has at most PIECE words.
 SENTENCES, WORDS, PIECE = 3, 20, 16
+# A sentence is cut after a word whose hash is the least of so many words on either side.
+NEAR = 3
 END = re.compile(rb"[.!?]+\s+|\s*\n\s*")
-WORD = re.compile(rb"\S+\s*")
+WORD = re.compile(rb"\s*\S+\s*")
 LAST = (1 << 63) - 1
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """After how many words a sentence is cut: where a word's hash is the least nearby, so that a passage is cut alike wherever it lies.
+
+    Of equal hashes the first counts.  Stretches without such a word are cut after the least one of the
+    next PIECE, the last of equal ones.
+    """
+    size = len(words)
+    if size <= 2 * NEAR:
+        return []
+    ranks = list(map(crc32, words))
+    found: list[int] = []
+    at, to = NEAR, size - NEAR
+    while at < to:
+        near = ranks[at - NEAR : at + NEAR + 1]
+        step = near.index(min(near)) - NEAR
+        if step == 0:
+            found.append(at + 1)
+        # Words up to the least one ahead, or in reach of the least one behind, are not the least.
+        at += step if step > 0 else step + NEAR + 1
+    if size <= PIECE:
+        return found
+    whole: list[int] = []
+    begin = 0
+    for end in [*found, size]:
+        while end - begin > PIECE:
+            begin = min(range(begin + NEAR, begin + PIECE), key=lambda i: (ranks[i], -i)) + 1
+            whole.append(begin)
+        if end < size:
+            whole.append(end)
+        begin = end
+    return whole
+
+
 def sentences(text: bytes | None) -> list[tuple[bytes, list[bytes]]]:
     """The text cut into pieces that make it up again, each with its lower-cased words.
 
     A sentence ends at a full stop, exclamation or question mark before white space, or at a line
-    break; the white space belongs to the piece before it, also at the beginning of a text.
+    break; the white space belongs to the piece before it, also at the beginning of a text.  Within a
+    sentence the words themselves tell where it is cut.
     """
     if not text:
         return []
@@ -42,32 +79,45 @@ def sentences(text: bytes | None) -> list[tuple[bytes, list[bytes]]]:
                 found[-1] = (found[-1][0] + piece, found[-1][1])
             elif piece:
                 found.append((piece, []))
-        elif len(words) <= PIECE:
+            continue
+        inner = cuts(words)
+        if not inner:
             found.append((piece, words))
-        else:
-            starts = [m.start() for m in WORD.finditer(piece)][::PIECE]
-            starts[0] = 0
-            for i, (at, to) in enumerate(zip(starts, [*starts[1:], len(piece)], strict=True)):
-                found.append((piece[at:to], words[i * PIECE : (i + 1) * PIECE]))
+            continue
+        tokens = WORD.findall(piece)
+        i = 0
+        for j in inner:
+            found.append((b"".join(tokens[i:j]), words[i:j]))
+            i = j
+        found.append((b"".join(tokens[i:]), words[i:]))
     return found
 
 
 def runs(found: list[tuple[bytes, list[bytes]]], least: int = SENTENCES, words: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """(hash, first, after the last) of the shortest run from each sentence that is long enough."""
+    """(hash, first, after the last) of the shortest run from each piece, and of the shortest to each piece, that is long enough."""
     joined = [b" ".join(w) for _, w in found]
     counts = [len(w) for _, w in found]
     end, held = 0, 0
     for begin in range(len(found)):
+        before = end
         while end < len(found) and (end - begin < least or held < words):
             held += counts[end]
             end += 1
-        if end - begin < least or held < words:
+        enough = end - begin >= least and held >= words
+        # Where the end moves by several pieces, those between end a run from the piece before.
+        if begin:
+            for to in range(before + 1, end if enough else end + 1):
+                yield _digest(joined[begin - 1 : to]), begin - 1, to
+        if not enough:
             return
-        digest = xxhash.xxh3_64_intdigest(b"\n".join(joined[begin:end]))
-        yield digest - (1 << 63), begin, end
+        yield _digest(joined[begin:end]), begin, end
         held -= counts[begin]
 
 
+def _digest(parts: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"\n".join(parts)) - (1 << 63)
+
+
 def own_first(found: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int | None, int, int]]:
     """The first run of each hash in a document; then, without hash, the stretches covered by its later runs.
 

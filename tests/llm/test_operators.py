@@ -119,6 +119,40 @@ def test_passage_of_one_long_sentence_is_caught(spark):
     assert got[1] == rows[0][1] and passage not in got[2] and got[2].startswith("Quite a different start.")
 
 
+def test_passages_pasted_anywhere_in_a_sentence_against_words(spark):
+    rng = random.Random(9)
+    words = lambda n, stops: [f"v{rng.randrange(4000)}" + (rng.choice([". ", "! ", "\n"]) if rng.random() < stops else " ") for _ in range(n)]
+    rows, pasted = [], []
+    for i in range(80):
+        stops = (0.0, 0.03, 0.15)[i % 3]
+        passage = words(rng.randint(51, 81), stops)
+        for key in (2 * i, 2 * i + 1):
+            head, tail = words(rng.randint(3, 70), stops), words(rng.randint(3, 70), stops)
+            rows.append((key, "".join(head + passage + tail)))
+        pasted.append((2 * i + 1, passage))
+    got = {r.doc_id: r.text for r in spans.dedup(docs_of(spark, rows)).collect()}
+    seen, share, repeated = set(), [], {}
+    for key, text in rows:
+        told = [w.rstrip(".!") for w in text.split()]
+        repeated[key] = {j for k in range(len(told) - 19) if tuple(told[k : k + 20]) in seen for j in range(k, k + 20)}
+        seen |= {tuple(told[k : k + 20]) for k in range(len(told) - 19)}
+    for key, passage in pasted:
+        assert got[key - 1] == rows[key - 1][1]
+        before, after = rows[key][1].split(), Counter(got[key].split())
+        gone = Counter(before) - after
+        # What goes is repeated, and most of it goes: the ends share a piece with the host's words.
+        assert not gone - Counter(before[j] for j in repeated[key])
+        share.append(sum(gone.values()) / len(passage))
+    assert min(share) > 0.3, sorted(share)[:5]
+    assert sum(share) / len(share) > 0.8
+
+
+def test_a_short_piece_at_the_end_of_a_repeated_run_goes_too():
+    piece = lambda c, n: (b"", [b"%s%d" % (c, i) for i in range(n)])
+    got = [(b, e) for _, b, e in spans.runs([piece(b"a", 9), piece(b"b", 9), piece(b"c", 4), piece(b"d", 4), piece(b"e", 9)])]
+    assert got == [(0, 3), (0, 4), (1, 5)]
+
+
 def test_sentences_make_up_the_text():
     for text in ("", " ", "\n\n a. b! c", "a" * 100, "A. \n\n B?\tC " + "w " * 50, "  lead. x"):
         assert b"".join(p for p, _ in spans.sentences(text.encode())) == text.encode()
