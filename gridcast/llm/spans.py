@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from gridcast.llm.store import settle, slices, small_side
 
@@ -23,7 +24,8 @@ SENTENCES, WORDS, PIECE = 3, 20, 16
 NEAR = 3
 END = re.compile(rb"[.!?]+\s+|\s*\n\s*")
 WORD = re.compile(rb"\s*\S+\s*")
-LAST = (1 << 63) - 1
+# Columns of the stored rows beside their own.
+ROW, ID, DIGEST, TOTAL, RUNS = "_span_row", "_span_id", "_span_digest", "_span_total", "_span_runs"
 
 
 def cuts(words: list[bytes]) -> list[int]:
@@ -138,66 +140,85 @@ def own_first(found: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int | Non
         yield None, begin, end
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(id, spans array of (begin, end)) of documents with runs that are not the first of their kind, in order of id and position."""
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """``docs`` stored, each row with a number of its own, its id, a digest and the pieces of its text, and its runs."""
+    text = F.col(f"`{text_col}`").cast("string")
+    numbered = docs.withColumn(text_col, text).withColumns({ROW: F.monotonically_increasing_id(), ID: F.col(f"`{id_col}`").cast("long"), DIGEST: F.xxhash64(text)})
+    at = docs.columns.index(text_col)
+    kind = pa.struct([("hash", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out: list[list[int | None]] = [[], [], [], []]
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for digest, begin, end in own_first(runs(sentences(text), least, words)):
-                    for column, value in zip(out, (digest, key, begin, end), strict=True):
+            total, ends = [], [0]
+            out: list[list[int | None]] = [[], [], []]
+            for text in part.column(at).cast(pa.large_binary()).to_pylist():
+                pieces = sentences(text)
+                total.append(len(pieces))
+                for found in own_first(runs(pieces, least, words)):
+                    for column, value in zip(out, found, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["hash", "key", "begin", "end"])
+                ends.append(len(out[0]))
+            flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], fields=list(kind))
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total, pa.int64()), held], [*part.schema.names, TOTAL, RUNS])
+
+    schema = StructType([*numbered.schema.fields]).add(TOTAL, "long").add(RUNS, ArrayType(StructType().add("hash", "long").add("begin", "integer").add("end", "integer")))
+    return settle(numbered.mapInArrow(run, schema))
 
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key")
-    kept = docs.select(key, F.col(text_col).cast("string").cast("binary").alias("t"))
-    spans = settle(kept.mapInArrow(run, "hash long, key long, begin int, end int"))
-    firsts = spans.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "begin")).alias("first")).where("n > 1")
-    again = spans.join(firsts.select("hash", "first"), "hash").where("key <> first.key or begin <> first.begin").select("key", "begin", "end")
-    again = again.unionByName(spans.where("hash is null").select("key", "begin", "end"))
-    # Runs begin one sentence apart, so a document has at most as many spans as sentences.
-    return settle(again.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+
+def repeats(marked: DataFrame) -> DataFrame:
+    """(row, spans array of (begin, end)) of rows with runs that are not the first of their kind, in order of id, text and position.
+
+    Null ids come last; rows with the same id and text are ordered by their number.
+    """
+    spans = marked.select(F.col(ROW).alias("row"), F.explode(RUNS).alias("run")).select("row", "run.*")
+    several = settle(spans.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    hits = settle(spans.join(small_side(several), "hash"))
+    order = marked.select(F.col(ROW).alias("row"), F.col(ID).alias("id"), F.col(DIGEST).alias("digest"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "row", "begin")
+    placed = order.join(small_side(hits), "row").select("hash", "row", "begin", "end", place.alias("place"))
+    firsts = placed.groupBy("hash").agg(F.min("place").alias("first"))
+    again = placed.join(firsts, "hash").where("row <> first.row or begin <> first.begin").select("row", "begin", "end")
+    again = again.unionByName(spans.where("hash is null").select("row", "begin", "end"))
+    # At most two runs begin at most pieces, so a row has not many more spans than pieces.
+    return settle(again.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``docs`` with the repeated sentences cut from the text, and n_sentences, n_removed of each document.
+    """``docs`` with the repeated pieces cut from the text, and n_sentences, n_removed (both in pieces) of each row.
 
-    Of equal runs the one with the smallest (id, position) stays.  A null text stays null and an empty one
-    empty, with 0 and 0; rows with a null id count as one document that comes last; rows that repeat an
-    id count as one document, each handled alike.  Texts may be of any length; a text all of whose
-    sentences are repeated becomes empty.  Columns named n_sentences and n_removed are replaced, other
-    columns are kept.
+    Of equal runs the one with the smallest (id, digest of the text, position) stays; null ids come last.
+    Every row is a document of its own, also where ids are null or repeat: of rows that are equal in id and
+    text one stays whole.  A null text stays null and an empty one empty, with 0 and 0.  Texts may be of any
+    length; a text all of whose pieces are repeated becomes empty.  Columns named n_sentences and n_removed
+    are replaced, other columns are kept.
     """
     own = ["n_sentences", "n_removed"]
     source = docs.drop(*own)
     names = source.columns
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    found = repeats(docs, id_col, text_col, least, words).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    found = small_side(found, 2 * F.size("_spans") + 1)
-    plain = source.select(*[F.col(f"`{c}`") for c in names], key.alias("_row_key"))
-    rows = plain.join(found, F.col("_row_key") == F.col("_key"), "left").drop("_row_key", "_key")
+    marked = mark(source, id_col, text_col, least, words)
+    found = repeats(marked).withColumnsRenamed({"row": "_cut_row", "spans": "_cut_spans"})
+    found = small_side(found, 2 * F.size("_cut_spans") + 1)
+    rows = marked.join(found, F.col(ROW) == F.col("_cut_row"), "left").select(*[F.col(f"`{c}`") for c in names], TOTAL, "_cut_spans")
     at = names.index(text_col)
-    rows = rows.withColumn(text_col, F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts, total, gone = [], [], []
-            for text, spans in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                pieces = sentences(text.encode() if text else None)
-                covered = {i for s in spans or () for i in range(s["begin"], min(s["end"], len(pieces)))}
-                if covered:
-                    text = b"".join(p for i, (p, _) in enumerate(pieces) if i not in covered).decode()
-                texts.append(text)
-                total.append(len(pieces))
-                gone.append(len(covered))
+            gone = [0] * part.num_rows
             columns = list(part.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, *own])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_spans").schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, n_sentences long, n_removed long")
+            spans = part.column(part.num_columns - 1)
+            if spans.null_count < len(spans):
+                texts = columns[at].to_pylist()
+                for i, held in enumerate(spans.to_pylist()):
+                    if held:
+                        pieces = sentences(texts[i].encode())
+                        covered = {k for s in held for k in range(s["begin"], s["end"])}
+                        texts[i] = b"".join(p for k, (p, _) in enumerate(pieces) if k not in covered).decode()
+                        gone[i] = len(covered)
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], [*names, *own])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-2]]).add("n_sentences", "long").add("n_removed", "long"))
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

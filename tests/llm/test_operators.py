@@ -153,6 +153,20 @@ def test_a_short_piece_at_the_end_of_a_repeated_run_goes_too():
     assert got == [(0, 3), (0, 4), (1, 5)]
 
 
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    rng = random.Random(6)
+    prose = lambda n: "".join(" ".join(f"x{rng.randrange(10**6)}" for _ in range(9)) + ". " for _ in range(n))
+    passage, clean = prose(4), prose(9)
+    twice = [passage + prose(3) for _ in range(2)]
+    copies = prose(5)
+    rows = [(1, passage + prose(2)), (None, passage + "An end."), (None, clean), (5, clean[:40] + prose(4)), (7, prose(6)), (7, twice[0]), (7, twice[1])]
+    rows += [(None, copies), (None, copies), (9, copies + "New words."), (9, copies + "New words.")]
+    got = sorted((r.doc_id or 10**9, r.text) for r in spans.dedup(docs_of(spark, rows).repartition(5)).collect())
+    want = [(k, t) for k, t in rows[2:5]] + [rows[0], (None, "An end."), (7, twice[0][len(passage) :]), (7, twice[1][len(passage) :])]
+    want += [(None, ""), (None, ""), (9, copies + "New words."), (9, "")]
+    assert got == sorted((k or 10**9, t) for k, t in want)
+
+
 def test_sentences_make_up_the_text():
     for text in ("", " ", "\n\n a. b! c", "a" * 100, "A. \n\n B?\tC " + "w " * 50, "  lead. x"):
         assert b"".join(p for p, _ in spans.sentences(text.encode())) == text.encode()
