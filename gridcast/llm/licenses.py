@@ -1,14 +1,15 @@
 """License notices by conditional compression.
 
-Blocks of lines with words that licenses use are compressed alone and with each template as a raw
+Stretches of text around words that licenses use are compressed alone and with each template as a raw
 zstandard dictionary.  Templates are ranked by how much they save; the best are confirmed by the exact
-differences in wording, and what is confirmed is taken out before the block is tried again.
+differences in wording, and what is confirmed is taken out before the stretch is tried again.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,16 +37,21 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-# Words of which a candidate line has one.
-CUES = r"(?i)licen[sc]e|copyright|permission is hereby|redistribut|public domain|free software|creative commons|\bcc0\b|\bcc by"
+# Words of which every notice has one; a line may end between them, and the next begin with a comment sign.
+CUES = r"(?i)licen[sc]e|copyright|permission[\W_]+is[\W_]+hereby|redistribut|public[\W_]+domain|free[\W_]+software|creative[\W_]+commons|\bcc0\b|\bcc[\W_]+by"
 CUE = re.compile(CUES)
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+# In a text a line may end after the hyphen of a word, and the next begin with a comment sign.
+BROKEN = re.compile(r"(?<=-)[^\S\n]{0,9}\n[\W_]{0,20}")
+LOOSE = re.compile(r"[^\W_]+(?:(?:\.|-(?:[^\S\n]{0,9}\n[\W_]{0,20})?)[^\W_]+)*")
 # Words that make another license of one; none may be missing or added.
 TELLING = {"lesser", "affero", "nc", "sa", "by", "noncommercial", "attribution-noncommercial", "attribution-sharealike", "attribution", "by-nc", "by-sa"}
 # Share of the template's words that must be found in order, and how many templates are confirmed by wording.
 COVER, TRIED = 0.9, 6
-# A block is cut into windows of so many words, half overlapping, as compression tells little on longer ones.
+# A stretch is cut into windows of so many words, half overlapping, as compression tells little on longer ones.
 WINDOW = 400
+# A notice has at most so many words: the longest template and a fifth more; so far a stretch reaches on both sides of a cue.
+REACH = max(len(WORD.findall(t)) for texts in TEMPLATES.values() for t in texts) * 6 // 5 + 1
 
 
 @lru_cache(maxsize=4)
@@ -72,12 +78,15 @@ def reductions(block: str) -> list[tuple[float, int]]:
 
 def differences(template: list[str], words: list[str]) -> tuple[float, int, int, list[str], list[str]]:
     """Where a template best lies in a run of words: covered share, begin, end, words missing there, words added there."""
-    match = difflib.SequenceMatcher(None, template, words, autojunk=False)
-    blocks = [b for b in match.get_matching_blocks() if b.size]
-    if not blocks:
+    core = difflib.SequenceMatcher(None, template, words, autojunk=False).find_longest_match()
+    if not core.size:
         return 0.0, 0, 0, template, []
-    core = max(blocks, key=lambda b: b.size)
-    near = [b for b in blocks if abs((b.b - b.a) - (core.b - core.a)) <= max(3, len(template) // 10)]
+    # Words too far off to belong to it are left aside, as they could stand for some that do.
+    slack = max(3, len(template) // 10)
+    low = max(0, core.b - core.a - slack)
+    match = difflib.SequenceMatcher(None, template, words[low : core.b - core.a + len(template) + slack], autojunk=False)
+    blocks = [b._replace(b=b.b + low) for b in match.get_matching_blocks() if b.size]
+    near = [b for b in blocks if abs((b.b - b.a) - (core.b - core.a)) <= slack]
     begin, end = near[0].b, near[-1].b + near[-1].size
     in_template = {i for b in near for i in range(b.a, b.a + b.size)}
     in_words = {i for b in near for i in range(b.b, b.b + b.size)}
@@ -86,47 +95,79 @@ def differences(template: list[str], words: list[str]) -> tuple[float, int, int,
     return len(in_template) / len(template), begin, end, missing, added
 
 
-def _blocks(text: str) -> Iterator[str]:
-    """Lines with a cue and the lines beside them that have one too, in windows of a bounded number of words."""
-    held: list[str] = []
-    for line in [*text.split("\n"), ""]:
-        if CUE.search(line):
-            held.append(line)
-        elif held:
-            words = " ".join(held).split()
-            for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-                yield " ".join(words[at : at + WINDOW])
-            held = []
-
-
-@lru_cache(maxsize=20_000)
-def _notices(block: str) -> tuple[tuple[str, float, float, str, str], ...]:
-    """(license, saved, cover, missing, added) of each notice confirmed in a block."""
-    found = []
-    for _ in range(32):
-        if not CUE.search(block):
+def _stretches(text: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the words around cues; what overlaps or touches is one stretch."""
+    begin, end = 0, -1
+    for cue in CUE.finditer(text):
+        first, last = bisect_right(starts, cue.start()) - 1, bisect_left(starts, cue.end())
+        low, high = max(0, first - REACH), min(len(starts), last + REACH)
+        if low <= end:
+            end = high
+            continue
+        if end > begin:
+            yield begin, end
+        begin, end = low, high
+    if end > begin:
+        yield begin, end
+
+
+def _best(block: str, words: list[str]) -> tuple[tuple[str, float, float, str, str], int, int] | None:
+    """The notice that covers most in a window, with the words where it begins and ends."""
+    best = None
+    present = set(words)
+    ranked = [(share, at) for share, at in reductions(block) if share > 0]
+    for rank, (share, at) in enumerate(ranked):
+        if rank >= TRIED and best is not None:
             break
-        words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(block.lower())]
-        plain = [w for w, _, _ in words]
-        best = None
-        ranked = [(share, at) for share, at in reductions(block) if share > 0]
-        for rank, (share, at) in enumerate(ranked):
-            if rank >= TRIED and best is not None:
-                break
-            name, template, _, _ = _prepared()[at]
-            cover, begin, end, missing, added = differences(template, plain)
-            # Numbers tell versions apart: none may be missing or other than the template's.
-            figures = [w for w in missing if any(c.isdigit() for c in w)]
-            telling = TELLING.intersection((*missing, *added))
-            if cover >= COVER and not figures and not telling and len(added) <= len(template) // 5:
-                key = (len(template) - 2 * len(missing) - len(added), share)
-                if best is None or key > best[0]:
-                    best = (key, (name, round(share, 6), cover, " ".join(missing), " ".join(added)), begin, end)
-        if best is None:
-            break
-        found.append(best[1])
-        block = block[: words[best[2]][1]] + " " + block[words[best[3] - 1][2] :]
-    return tuple(found)
+        name, template, _, _ = _prepared()[at]
+        if sum(w in present for w in template) < COVER * len(template):
+            continue
+        cover, begin, end, missing, added = differences(template, words)
+        # Numbers tell versions apart: none may be missing or other than the template's.
+        figures = [w for w in missing if any(c.isdigit() for c in w)]
+        telling = TELLING.intersection((*missing, *added))
+        if cover >= COVER and not figures and not telling and len(added) <= len(template) // 5:
+            key = (len(template) - 2 * len(missing) - len(added), share)
+            if best is None or key > best[0]:
+                best = (key, (name, round(share, 6), cover, " ".join(missing), " ".join(added)), begin, end)
+    return best and best[1:]
+
+
+def notices(text: str) -> list[tuple[str, float, float, str, str]]:
+    """(license, saved, cover, missing, added) of each notice confirmed in a text, in order of place."""
+    text = text.lower()
+    if not CUE.search(text):
+        return []
+    places = [m.span() for m in LOOSE.finditer(text)]
+    words = [BROKEN.sub("", text[a:b]) for a, b in places]
+    starts = [a for a, _ in places]
+    found: list[tuple[int, tuple[str, float, float, str, str]]] = []
+    used: set[int] = set()
+    for low, high in _stretches(text, starts):
+        for at in range(low, max(low + 1, high - WINDOW // 2), WINDOW // 2):
+            to = min(high, at + WINDOW)
+            # What begins near the end of a window may go on after it; it is the next one's.
+            limit = high if to == high else to - REACH
+            left = [k for k in range(at, to) if k not in used]
+            for _ in range(32):
+                block = "".join(words[k] + _gap(text, places, k) for k in left)
+                if not CUE.search(block):
+                    break
+                best = _best(block, [words[k] for k in left])
+                if best is None:
+                    break
+                notice, begin, end = best
+                if left[begin] < limit:
+                    found.append((left[begin], notice))
+                    used.update(left[begin:end])
+                left = left[:begin] + left[end:]
+    return [n for _, n in sorted(found, key=lambda x: x[0])]
+
+
+def _gap(text: str, places: list[tuple[int, int]], at: int) -> str:
+    """What stands between a word and the next; a line end and the comment signs around it are a blank."""
+    gap = text[places[at][1] : places[at + 1][0] if at + 1 < len(places) else places[at][1] + 1]
+    return " " if "\n" in gap or not gap else gap[:REACH]
 
 
 NOTICE = StructType(
@@ -145,14 +186,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            names, counts, notices = [], [], []
+            names, counts, told = [], [], []
             for text in part.column(1).to_pylist():
-                found = [n for block in _blocks(text or "") for n in _notices(block)]
+                found = notices(text or "")
                 names.append(sorted({n[0] for n in found}))
                 counts.append(len(found))
-                notices.append([dict(zip(("license", "saved", "cover", "missing", "added"), n, strict=True)) for n in found])
+                told.append([dict(zip(("license", "saved", "cover", "missing", "added"), n, strict=True)) for n in found])
             kind = pa.list_(pa.struct([("license", pa.string()), ("saved", pa.float64()), ("cover", pa.float64()), ("missing", pa.string()), ("added", pa.string())]))
-            arrays = [part.column(0), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64()), pa.array(notices, kind)]
+            arrays = [part.column(0), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64()), pa.array(told, kind)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "licenses", "n_notices", "notices"])
 
     text = F.col(text_col).cast("string")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import textwrap
 from array import array
 from collections import Counter, defaultdict
 
@@ -210,6 +211,22 @@ def test_licenses_and_their_versions(spark):
     assert got == {1: ["MIT"], 2: ["GPL-3.0"], 3: ["GPL-2.0"], 4: ["Apache-2.0", "CC-BY-NC-4.0"], 5: [], 6: [], 7: ["GPL-3.0"]}
 
 
+def test_every_template_wrapped_and_commented():
+    before, after = "Some words of the file come first. " * 9, "\n\nint main() { return 0; } // and so on\n" * 9
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for width in range(60, 81, 4):
+                for prefix in ("", "# ", " * ", "// "):
+                    wrapped = "\n".join(prefix + line for line in textwrap.wrap(text, width - len(prefix)))
+                    got = licenses.notices(f"{before}\n{wrapped}{after}")
+                    assert [(n[0], n[2]) for n in got] == [(name, 1.0)], (text, width, prefix)
+
+
+def test_cue_words_on_two_lines(spark):
+    rows = [(1, "/* This is free and unencumbered software released into the public\n * domain. */")]
+    assert [r.licenses for r in licenses.scan(docs_of(spark, rows)).collect()] == [["Unlicense"]]
+
+
 # ---- mixing
 
 
