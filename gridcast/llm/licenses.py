@@ -149,7 +149,7 @@ def notices(text: str) -> list[tuple[str, float, float, str, str]]:
             # What begins near the end of a window may go on after it; it is the next one's.
             limit = high if to == high else to - REACH
             left = [k for k in range(at, to) if k not in used]
-            for _ in range(32):
+            while left:
                 block = "".join(words[k] + _gap(text, places, k) for k in left)
                 if not CUE.search(block):
                     break
@@ -160,6 +160,7 @@ def notices(text: str) -> list[tuple[str, float, float, str, str]]:
                 if left[begin] < limit:
                     found.append((left[begin], notice))
                     used.update(left[begin:end])
+                # Each round takes words out, so that it ends.
                 left = left[:begin] + left[end:]
     return [n for _, n in sorted(found, key=lambda x: x[0])]
 

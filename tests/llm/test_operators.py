@@ -222,6 +222,15 @@ def test_every_template_wrapped_and_commented():
                     assert [(n[0], n[2]) for n in got] == [(name, 1.0)], (text, width, prefix)
 
 
+def test_each_of_many_notices_counts_once(spark):
+    lines = ["Licensed under CC BY 4.0.", "Released under the MIT License."] * 40
+    lines[71] = "Released under the BSD License."
+    long_ = licenses.TEMPLATES["Apache-2.0"][1]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([long_] * 30)), (3, "word " * 180 + ("Released under the MIT License. " + "word " * 40) * 9)]
+    got = {r.doc_id: (Counter(n.license for n in r.notices), r.n_notices) for r in licenses.scan(docs_of(spark, rows)).collect()}
+    assert got == {1: ({"CC-BY-4.0": 40, "MIT": 39, "BSD": 1}, 80), 2: ({"Apache-2.0": 30}, 30), 3: ({"MIT": 9}, 9)}
+
+
 def test_cue_words_on_two_lines(spark):
     rows = [(1, "/* This is free and unencumbered software released into the public\n * domain. */")]
     assert [r.licenses for r in licenses.scan(docs_of(spark, rows)).collect()] == [["Unlicense"]]
