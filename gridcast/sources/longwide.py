@@ -108,6 +108,8 @@ def read_layout(spark: SparkSession, layout: Layout) -> DataFrame:
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        # Else fields are only counted up to the last column that is asked for.
+        .option("columnPruning", False)
         .csv(list(layout.paths))
     )
     return rows.withColumn("_path", F.col("_metadata.file_path"))
@@ -125,14 +127,22 @@ def unpivot_clocks(wide: DataFrame, ids: Sequence[str], strict: bool = False) ->
 
 
 def wide_to_long(wide: DataFrame, station: Column, day: Column, strict: bool = False) -> DataFrame:
-    """Long readings from wide rows; ``day`` parses the date column."""
+    """Long readings from wide rows; ``day`` parses the date column.
+
+    A line that cannot be read, by its number of fields or its date, gives one row: without time and reading, and with ``_bad``.
+    """
     keep = wide.withColumn("_day", day).withColumn("_station", station)
-    long = unpivot_clocks(keep, ["_day", "_station", "_path"], strict)
+    keep = keep.withColumn("_bad", F.coalesce(CORRUPT, F.when(F.col("_day").isNull(), "no date")))
+    first = clock_columns(keep.columns, strict)[:1]
+    long = unpivot_clocks(keep, ["_day", "_station", "_path", "_bad"], strict)
+    long = long.where(F.col("_bad").isNull() | F.col("time").isin(first))
+    long = long.withColumns({c: F.when(F.col("_bad").isNull(), F.col(c)) for c in ("_day", "target")})
     return long.select(
         compose_datetime("_day", "time").alias("datetime"),
         F.col("_station").alias("station"),
         parse_number(tidy(F.col("target"))).alias("target"),
         "_path",
+        "_bad",
     )
 
 
@@ -161,7 +171,8 @@ def read_wide(
     """Wide files to ``(datetime, station, target)``.
 
     Files without clock columns give no rows.  In strict mode a date that is not
-    like ``01MAY2021`` fails the job, as does a wide file without ``Date``.
+    like ``01MAY2021`` fails the job, as do a line with too many or too few fields and
+    a wide file without ``Date``.  Else such lines give no rows; ``scan`` counts them.
     """
     parts = []
     for layout in layouts(spark, folders, pattern, recursive):
@@ -174,7 +185,11 @@ def read_wide(
         if strict:
             day = F.coalesce(day, F.raise_error(F.concat(F.lit("bad date: "), F.coalesce("Date", F.lit("null")))).cast("date"))
         rows = read_layout(spark, layout)
-        parts.append(wide_to_long(rows, station_of(layout.columns, station_from), day, strict).drop("_path"))
+        long = wide_to_long(rows, station_of(layout.columns, station_from), day, strict)
+        fine = F.col("_bad").isNull()
+        if strict:
+            fine = F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.col("_bad"))).cast("boolean"))
+        parts.append(long.where(fine).drop("_path", "_bad"))
     return union(parts, spark)
 
 
@@ -190,7 +205,7 @@ def scan(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv", re
     """Long and wide files side by side, with the reasons for what was left out.
 
     ``rejects`` is ``(path, reason, rows)``: unknown layouts, files without any
-    valid time, and rows whose time or layout could not be read.
+    valid time, and lines whose time or number of fields could not be read.
     """
     parts, unknown = [], []
     for layout in layouts(spark, folders, pattern, recursive):
@@ -210,7 +225,7 @@ def scan(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv", re
         else:
             name = "Date" if "Date" in layout.columns else "date"
             day = F.coalesce(parse_strict_date(name), parse_datetime(name).cast("date"))
-            long = wide_to_long(rows, station, day).withColumn("_bad", F.lit(None).cast("string"))
+            long = wide_to_long(rows, station, day)
         parts.append(long)
     rejects = spark.createDataFrame(unknown, "path string, reason string, rows long")
     if not parts:

@@ -63,6 +63,19 @@ def test_scan_routes_and_rejects(spark, folder):
     }
 
 
+def test_wide_lines_with_too_many_or_too_few_fields_are_rejected_once(spark, tmp_path):
+    path = tmp_path / "Q 11kV FY2022.csv"
+    path.write_text("Date,Unit,00:15,00:30\n01MAY2021,MW,1,2\n02MAY2021,MW,3\n03MAY2021,MW,4,5,6\nnever,MW,7,8\n04MAY2021,MW,,9\n")
+    scan = L.scan(spark, [str(tmp_path)])
+    assert sorted((r["datetime"].day, r["target"]) for r in scan.readings.collect() if r["target"] is not None) == [(1, 1.0), (1, 2.0), (4, 9.0)]
+    assert scan.readings.count() == 4
+    assert [(r["reason"], r["rows"]) for r in scan.rejects.collect()] == [("unreadable rows", 3)]
+    assert L.read_wide(spark, [str(tmp_path)], strict=False).count() == 4
+    path.write_text("Date,00:15,00:30\n01MAY2021,1,2\n02MAY2021,3\n")
+    with pytest.raises(Exception, match="bad line"):
+        L.read_wide(spark, [str(tmp_path)]).collect()
+
+
 def text_name(path):
     return path.rsplit("/", 1)[-1]
 
