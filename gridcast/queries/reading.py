@@ -172,7 +172,8 @@ def _(spark, d):
 )
 def _(spark, d):
     gridded = grid.regular_grid(E.type_readings(spark, d), HOUR)
-    names = ["click", "error", "purchase", "signup", "view"]
+    # They are the columns of the wide file.
+    names = sorted(r["station"] for r in gridded.select("station").distinct().toLocalIterator())
     wide = gridded.groupBy("datetime").pivot("station", names).agg(F.first("target"))
     path = _csv(wide, scratch(spark) + "/channels")
     return C.read_channels(spark, path).select("channel", "datetime", "value")

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from gridcast import staging
 from gridcast.functions import numbers, text, times
 from gridcast.operators import clean, quality
@@ -80,6 +81,14 @@ def text_name(path):
     return path.rsplit("/", 1)[-1]
 
 
+def test_channels_are_those_of_the_data(spark, data, tmp_path):
+    events = spark.read.parquet(f"{data}/events.parquet")
+    more = events.limit(20).withColumn("event_type", F.lit("refund"))
+    events.unionByName(more).write.parquet(str(tmp_path / "events.parquet"))
+    rows = __spark_entry__.queries()["s08_channel_scan"](spark, str(tmp_path))
+    assert "refund" in {r["channel"] for r in rows.select("channel").distinct().collect()}
+
+
 def test_names_and_numbers(spark):
     df = spark.createDataFrame(
         [("X FY2022_long.csv", "Zone  A 66_11kV", " 1.5 "), ("Y_long.csv", "Kvarn", "NaN"), ("Z FY2023.csv", "66kV", "1,5")],
