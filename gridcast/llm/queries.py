@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, imatch, langid, licenses, mixing, near_vectors, ngram_join, quality_fm, sharding, spans
+from gridcast.llm import bpe, imatch, langid, licenses, mixing, near_vectors, ngram_join, pieces, quality_fm, sharding, spans, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,7 +128,8 @@ def mixing_sql(source: str, share: float, epochs: int, seed: int, columns: str)
     return rf"""
 WITH r AS (SELECT *, CAST(CAST('0x' || substr(md5(coalesce(source, '')), 1, 2) AS INTEGER) % 4 AS VARCHAR) AS domain,
   coalesce(lang, '') AS language, coalesce(source, '') AS origin,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS tokens FROM {source}),
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS tokens FROM {source}),
 leaf AS (SELECT domain, language, origin, sum(tokens) AS tokens, sum(tokens) * {epochs} AS cap FROM r GROUP BY ALL),
 root AS (SELECT least(sum(tokens) * CAST({share} AS DOUBLE), CAST(sum(cap) AS DOUBLE)) AS parent_budget FROM leaf),
 {level("d", [], "domain", case("domain", mixing.DOMAINS), "root")},
@@ -158,3 +159,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.place(table(spark, folder, "documents"))
     return placed.select("doc_id", "slot", "shard", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group(variants.word_counts(table(spark, folder, "documents"), damage=199))
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"))
