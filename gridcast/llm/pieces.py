@@ -64,6 +64,7 @@ class Vocabulary:
                     raise ValueError("user-defined and unused pieces are not supported")
                 symbols[name] = i
                 self.surface.append(name.replace(SPACE, " ").encode())
+        self.spaced = {i for s, i in symbols.items() if s.startswith(SPACE)}
         self.numbers = [str(i) for i in range(len(names))]
         # Characters that only occur inside pieces are symbols too, behind the ids.
         for name in list(symbols):
@@ -361,7 +362,8 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         """Text of ids: the space at the beginning goes, bytes that make no character become U+FFFD each."""
         held = b"".join(map(self.vocabulary.surface.__getitem__, ids))
-        held = held[1:] if held[:1] == b" " and ids else held
+        if held[:1] == b" " and next(i for i in ids if self.vocabulary.surface[i]) in self.vocabulary.spaced:
+            held = held[1:]
         try:
             return held.decode()
         except UnicodeDecodeError:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, imatch, langid, licenses, mixing, near_vectors, ngram_join, pieces, quality_fm, sharding, spans, variants
+from gridcast.llm import bpe, imatch, langid, licenses, mixing, near_vectors, ngram_join, pieces, quality_fm, sharding, spans, variants, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,6 +161,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return whitening.whiten(vectors, whitening.learn(vectors))
+
+
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return variants.group(variants.word_counts(table(spark, folder, "documents"), damage=199))
