@@ -31,7 +31,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.int32(np.iinfo(np.int32).max)
 # Words kept at most in a worker's memo: a bound on memory, not on results.
-MEMO = 250_000
+MEMO = 600_000
 # Rounds take the square of a word's length in the worst case; longer stretches are merged pair by pair from a heap.
 LONG = 2_048
 
