@@ -12,11 +12,11 @@ from zlib import crc32
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from gridcast.llm.store import settle, slices, small_side
+from gridcast.llm.store import settle, slices
 
 # A run has at least so many sentences and words; a piece of a sentence has at most PIECE words.
 SENTENCES, WORDS, PIECE = 3, 20, 16
@@ -24,6 +24,8 @@ SENTENCES, WORDS, PIECE = 3, 20, 16
 NEAR = 3
 END = re.compile(rb"[.!?]+\s+|\s*\n\s*")
 WORD = re.compile(rb"\s*\S+\s*")
+# So many hashes at most are taken for common ones.
+HOT = 1_000
 # Columns of the stored rows beside their own.
 ROW, ID, DIGEST, TOTAL, RUNS = "_span_row", "_span_id", "_span_digest", "_span_total", "_span_runs"
 
@@ -169,19 +171,22 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
 def repeats(marked: DataFrame) -> DataFrame:
     """(row, spans array of (begin, end)) of rows with runs that are not the first of their kind, in order of id, text and position.
 
-    Null ids come last; rows with the same id and text are ordered by their number.
+    Null ids come last; rows with the same id and text are ordered by their number.  Runs carry their place,
+    so they meet by hash once, at every size.  Hashes that may hold over a share of 1 / HOT of all runs, HOT
+    at most, are settled by partial sums instead, so that no task gets all of their runs.
     """
-    spans = marked.select(F.col(ROW).alias("row"), F.explode(RUNS).alias("run")).select("row", "run.*")
-    several = settle(spans.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
-    hits = settle(spans.join(small_side(several), "hash"))
-    order = marked.select(F.col(ROW).alias("row"), F.col(ID).alias("id"), F.col(DIGEST).alias("digest"))
+    runs_of = marked.select(F.col(ID).alias("id"), F.col(DIGEST).alias("digest"), F.col(ROW).alias("row"), F.explode(RUNS).alias("run"))
+    spans = runs_of.select("run.*", "id", "digest", "row")
+    met = spans.where("hash is not null")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "row", "begin")
-    placed = order.join(small_side(hits), "row").select("hash", "row", "begin", "end", place.alias("place"))
-    firsts = placed.groupBy("hash").agg(F.min("place").alias("first"))
-    again = placed.join(firsts, "hash").where("row <> first.row or begin <> first.begin").select("row", "begin", "end")
-    again = again.unionByName(spans.where("hash is null").select("row", "begin", "end"))
+    common = met.select("hash").stat.freqItems(["hash"], 1 / HOT).first()[0]
+    hot = F.col("hash").isin(*common) if common else F.lit(False)
+    firsts = F.broadcast(settle(met.where(hot).groupBy("hash").agg(F.min(place).alias("first"))))
+    again = met.where(hot).join(firsts, "hash").where("row <> first.row or begin <> first.begin")
+    ranked = met.where(~hot).withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy(place)))
+    found = [part.select("row", "begin", "end") for part in (again, ranked.where("rank > 1"), spans.where("hash is null"))]
     # At most two runs begin at most pieces, so a row has not many more spans than pieces.
-    return settle(again.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+    return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -198,7 +203,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     names = source.columns
     marked = mark(source, id_col, text_col, least, words)
     found = repeats(marked).withColumnsRenamed({"row": "_cut_row", "spans": "_cut_spans"})
-    found = small_side(found, 2 * F.size("_cut_spans") + 1)
     rows = marked.join(found, F.col(ROW) == F.col("_cut_row"), "left").select(*[F.col(f"`{c}`") for c in names], TOTAL, "_cut_spans")
     at = names.index(text_col)
 
