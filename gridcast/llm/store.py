@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,13 +46,38 @@ def small_side(settled: DataFrame, values: Column | None = None) -> DataFrame:
     return F.broadcast(settled) if held <= BROADCAST_VALUES else settled
 
 
+# glibc: arrays over so many bytes lie in pages of their own, which go back when they are freed.
+OWN_PAGES = 1 << 18
+M_MMAP_THRESHOLD = -3
+_libc: list[ctypes.CDLL | None] = []
+
+
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the system, as it shares an executor with the heap."""
+    if not _libc:
+        try:
+            found = ctypes.CDLL("libc.so.6")
+            found.mallopt(M_MMAP_THRESHOLD, OWN_PAGES)
+            _libc.append(found)
+        except (OSError, AttributeError):
+            # Other C libraries have no such calls; memory then goes back as they see fit.
+            _libc.append(None)
+    pa.default_memory_pool().release_unused()
+    if _libc[0] is not None:
+        _libc[0].malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of few rows, so that what is built from them stays small; a worker gives back what a batch took."""
+    """Arrow batches in pieces of few rows, so that what is built from them stays small; a worker gives back what a task took."""
+    # What an earlier task of this worker left in rings goes first.
+    gc.collect()
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
