@@ -114,12 +114,13 @@ def _(spark, d):
 def _(spark, d):
     base = scratch(spark)
     r = E.type_readings(spark, d)
-    # Those of the first hour go to a wide file, as lines with a field too few or too many.
+    # Those of the first hour go to wide files, as lines with a field too few or too many.
     early = (F.col("station") == "error") & (F.hour("datetime") == 0)
     short = F.when(F.dayofmonth("datetime") % 2 == 0, "02JAN2024,1").otherwise("02JAN2024,1,2,3")
-    whole = spark.createDataFrame([(0, "Date,00:00,00:30"), (1, "01JAN2024,1,2")], "n int, value string")
-    lines = whole.unionByName(r.where(early).select(F.lit(2).alias("n"), short.alias("value")))
-    lines.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(base + "/in/wide")
+    whole = spark.range(4).select(F.col("id").alias("file"), F.posexplode(F.array(F.lit("Date,00:00,00:30"), F.lit("01JAN2024,1,2"))).alias("n", "value"))
+    broken = r.where(early).select(F.pmod(F.dayofmonth("datetime"), F.lit(4)).cast("long").alias("file"), F.lit(2).alias("n"), short.alias("value"))
+    lines = whole.unionByName(broken).repartition("file").sortWithinPartitions("file", "n")
+    lines.select("file", "value").write.partitionBy("file").text(base + "/in/wide")
     r = r.where(~early).withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
     broken = F.when(F.col("station") == "error", "not a time").otherwise(F.col("datetime"))
     _csv(r.withColumn("datetime", broken), base + "/in/long")

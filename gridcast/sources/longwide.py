@@ -1,16 +1,14 @@
 """Readings in CSV files, long or wide, one file per station and year or many.
 
-Headers of all files are found in one distributed pass and files are grouped by
-header, so the number of reads follows the number of layouts, not of files.
+Headers are read from one block of each file and grouped in Spark, so the number of
+reads follows the number of layouts, not of files.
 """
 
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +18,8 @@ from gridcast.functions.numbers import MISSING_TOKENS, parse_number
 from gridcast.functions.text import clock_columns, file_name_of, station_from_file_name
 from gridcast.functions.times import compose_datetime, parse_datetime, parse_strict_date
 from gridcast.operators.clean import LONG_COLUMNS
+from gridcast.sources.headers import first_lines, listed
+from gridcast.staging import small_side
 
 CORRUPT = "_corrupt"
 LONG_SCHEMA = "datetime string, station string, target string"
@@ -27,9 +27,11 @@ LONG_SCHEMA = "datetime string, station string, target string"
 
 @dataclass(frozen=True)
 class Layout:
-    """One distinct header and the files that have it."""
+    """One distinct header and where it is found: folders all of whose files have it, and other files."""
 
     columns: tuple[str, ...]
+    header: str
+    pattern: str
     paths: tuple[str, ...]
 
     @property
@@ -53,18 +55,11 @@ class Scan:
     rejects: DataFrame
 
 
-def _lines(spark: SparkSession, paths: Sequence[str], pattern: str, recursive: bool) -> DataFrame:
-    reader = spark.read.option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.text(list(paths))
-
-
 def present_folders(spark: SparkSession, folders: Sequence[str], pattern: str, recursive: bool = False) -> list[str]:
     kept = []
     for folder in folders:
         try:
-            _lines(spark, [folder], pattern, recursive)
+            listed(spark, [folder], pattern, recursive, "text")
             kept.append(folder)
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
@@ -72,34 +67,55 @@ def present_folders(spark: SparkSession, folders: Sequence[str], pattern: str, r
     return kept
 
 
-def literal_path(path: str) -> str:
-    """A reported path as one to read: escapes undone, glob characters taken literally."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(path))
+def literal(path: Column) -> Column:
+    """A path as one to read: glob characters taken literally."""
+    return F.regexp_replace(path, r"([\\*?\[\]{}])", r"\\$1")
 
 
-def layouts(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv", recursive: bool = False) -> list[Layout]:
-    """Distinct headers with their files; missing folders are skipped."""
-    kept = present_folders(spark, folders, pattern, recursive)
-    if not kept:
-        return []
-    lines = _lines(spark, kept, pattern, recursive).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_n"),
-    )
-    firsts = lines.where(F.col("_at") == 0).groupBy("path").agg(F.min_by("value", "_n").alias("header"))
-    # One short row per file, as in Spark's own file listing.
+def group_layouts(firsts: DataFrame, pattern: str) -> list[Layout]:
+    """Layouts of files from their first lines.
+
+    A folder whose files share one header is read as a folder, unless there are files in folders beneath it;
+    only files of mixed folders come to the driver one by one.
+    """
+    placed = firsts.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    folders = placed.groupBy("folder").agg(F.min("header").alias("header"), F.max("header").alias("other"))
+    kinds = folders.select(literal(F.col("folder")).alias("place"), "folder", "header", (F.col("header") == F.col("other")).alias("whole")).collect()
+    parents = {up for k in kinds for up in _above(k["folder"])}
+    whole = {k["folder"] for k in kinds if k["whole"] and k["folder"] not in parents}
     by_header: dict[str, list[str]] = {}
-    for row in firsts.toLocalIterator():
-        by_header.setdefault(row["header"], []).append(literal_path(row["path"]))
+    for k in kinds:
+        if k["folder"] in whole:
+            by_header.setdefault(k["header"], []).append(k["place"])
+    if len(whole) < len(kinds):
+        mixed = firsts.sparkSession.createDataFrame([(k["folder"],) for k in kinds if k["folder"] not in whole], "folder string")
+        for row in placed.join(small_side(mixed), "folder").select("header", literal(F.col("path")).alias("place")).toLocalIterator():
+            by_header.setdefault(row["header"], []).append(row["place"])
     found = []
     for header, paths in sorted(by_header.items()):
-        names = next(csv.reader([header.lstrip("﻿")]))
-        found.append(Layout(tuple(n.strip() for n in names), tuple(sorted(paths))))
+        names = next(csv.reader([header]))
+        found.append(Layout(tuple(n.strip() for n in names), header, pattern, tuple(sorted(paths))))
     return found
 
 
+def _above(folder: str) -> list[str]:
+    """All folders that a folder lies in."""
+    parts = folder.split("/")
+    return ["/".join(parts[:i]) for i in range(1, len(parts))]
+
+
+def layouts(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv", recursive: bool = False) -> list[Layout]:
+    """Distinct headers with their places; missing folders are skipped."""
+    return _found(spark, folders, pattern, recursive)[0]
+
+
+def _found(spark: SparkSession, folders: Sequence[str], pattern: str, recursive: bool) -> tuple[list[Layout], DataFrame]:
+    """Layouts, and ``(path, header)`` of the files."""
+    kept = present_folders(spark, folders, pattern, recursive)
+    firsts = first_lines(spark, kept, pattern, recursive) if kept else spark.createDataFrame([], "path string, header string")
+    return (group_layouts(firsts, pattern) if kept else []), firsts
+
+
 def read_layout(spark: SparkSession, layout: Layout) -> DataFrame:
     """All-string rows of one layout, with the source path and the malformed line, if any."""
     fields = [StructField(c, StringType()) for c in layout.columns] + [StructField(CORRUPT, StringType())]
@@ -110,6 +126,7 @@ def read_layout(spark: SparkSession, layout: Layout) -> DataFrame:
         .option("columnNameOfCorruptRecord", CORRUPT)
         # Else fields are only counted up to the last column that is asked for.
         .option("columnPruning", False)
+        .option("pathGlobFilter", layout.pattern)
         .csv(list(layout.paths))
     )
     return rows.withColumn("_path", F.col("_metadata.file_path"))
@@ -208,9 +225,10 @@ def scan(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv", re
     valid time, and lines whose time or number of fields could not be read.
     """
     parts, unknown = [], []
-    for layout in layouts(spark, folders, pattern, recursive):
+    found, firsts = _found(spark, folders, pattern, recursive)
+    for layout in found:
         if layout.kind == "unknown":
-            unknown += [(p, "unrecognised columns", None) for p in layout.paths]
+            unknown.append(layout.header)
             continue
         rows = read_layout(spark, layout)
         station = station_of(layout.columns)
@@ -227,7 +245,9 @@ def scan(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv", re
             day = F.coalesce(parse_strict_date(name), parse_datetime(name).cast("date"))
             long = wide_to_long(rows, station, day)
         parts.append(long)
-    rejects = spark.createDataFrame(unknown, "path string, reason string, rows long")
+    rejects = firsts.where(F.col("header").isin(*unknown) if unknown else F.lit(False)).select(
+        "path", F.lit("unrecognised columns").alias("reason"), F.lit(None).cast("long").alias("rows")
+    )
     if not parts:
         return Scan(union([], spark), rejects)
     tagged = union(parts, spark)

@@ -1,6 +1,7 @@
 """Files by name and layout, collections, sinks, streams, staging."""
 
 import datetime as dt
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from gridcast.functions import numbers, text, times
 from gridcast.operators import clean, quality
 from gridcast.plans import curation
 from gridcast.sources import collections as C
+from gridcast.sources import headers as H
 from gridcast.sources import longwide as L
 from gridcast.sources import sinks
 from gridcast.streaming import ingest
@@ -77,6 +79,37 @@ def test_wide_lines_with_too_many_or_too_few_fields_are_rejected_once(spark, tmp
         L.read_wide(spark, [str(tmp_path)]).collect()
 
 
+def test_first_lines_need_one_block(tmp_path):
+    big = tmp_path / "big.csv"
+    big.write_bytes(b"a,b\r\n" + b"1,2\n" * 200_000)
+    opened = H.open_store(str(big))[0].open_input_stream(str(big))
+    assert H.first_line(f"file:{big}") == "a,b" and opened.read(3) == b"a,b"
+    wide = ",".join(f"column{i}" for i in range(50))
+    (tmp_path / "wide.csv").write_text(wide + "\n1\n")
+    assert H.first_line(str(tmp_path / "wide.csv"), block=16) == wide
+    (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"x,y\n1,2\n"))
+    assert H.first_line(str(tmp_path / "packed.csv.gz")) == "x,y"
+    assert H.first_line("viewfs://somewhere/a.csv") is None
+    with pytest.raises(FileNotFoundError):
+        H.first_line(str(tmp_path / "absent.csv"))
+
+
+def test_layouts_are_folders_where_they_can_be(spark, tmp_path):
+    for name, text in {"p/a [1].csv": "x,y\n", "p/b.csv": "x,y\n1,2\n", "q/c.csv": "x,y\n", "q/d.csv": "z\n", "r/e.csv": "x,y\n", "r/s/f.csv": "\ufeffz\n", "r/empty.csv": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = {k.columns: k.paths for k in L.layouts(spark, [str(tmp_path), str(tmp_path / "none")], recursive=True)}
+    where = lambda paths: [p.split(str(tmp_path))[1] for p in paths]
+    assert where(found["x", "y"]) == ["/p", "/q/c.csv", "/r/e.csv"]
+    assert where(found["z",]) == ["/q/d.csv", "/r/s"]
+    files = H.listed(spark, [str(tmp_path)], "*.csv", True, "binaryFile").select("path")
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string>" in plan
+    by_spark = {text_name(r["path"]): r["header"] for r in H._by_spark(spark, [str(tmp_path)], "*.csv", True).collect()}
+    ours = {text_name(r["path"]): r["header"] for r in H.first_lines(spark, [str(tmp_path)], recursive=True).collect()}
+    assert ours == by_spark and ours["f.csv"] == "z"
+
+
 def text_name(path):
     return path.rsplit("/", 1)[-1]
 
