@@ -12,9 +12,10 @@ from zlib import crc32
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from gridcast.llm.store import settle, slices
 
@@ -143,60 +144,66 @@ def own_first(found: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int | Non
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``docs`` stored, each row with a number of its own, its id, a digest and the pieces of its text, and its runs."""
+    """``docs`` stored with packed texts, each row with a number of its own, its id, a digest and the pieces of its text, and its runs."""
     text = F.col(f"`{text_col}`").cast("string")
     numbered = docs.withColumn(text_col, text).withColumns({ROW: F.monotonically_increasing_id(), ID: F.col(f"`{id_col}`").cast("long"), DIGEST: F.xxhash64(text)})
     at = docs.columns.index(text_col)
-    kind = pa.struct([("hash", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
+    kind = pa.struct([("hash", pa.int64()), ("span", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for part in slices(batches):
-            total, ends = [], [0]
-            out: list[list[int | None]] = [[], [], []]
+            total, ends, packed = [], [0], []
+            out: list[list[int | None]] = [[], []]
             for text in part.column(at).cast(pa.large_binary()).to_pylist():
+                packed.append(None if text is None else pack(text))
                 pieces = sentences(text)
                 total.append(len(pieces))
-                for found in own_first(runs(pieces, least, words)):
-                    for column, value in zip(out, found, strict=True):
-                        column.append(value)
+                for digest, begin, end in own_first(runs(pieces, least, words)):
+                    out[0].append(digest)
+                    out[1].append(begin << 32 | end)
                 ends.append(len(out[0]))
             flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], fields=list(kind))
             held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total, pa.int64()), held], [*part.schema.names, TOTAL, RUNS])
+            columns = [*part.columns[:at], pa.array(packed, pa.binary()), *part.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), held], [*part.schema.names, TOTAL, RUNS])
 
-    schema = StructType([*numbered.schema.fields]).add(TOTAL, "long").add(RUNS, ArrayType(StructType().add("hash", "long").add("begin", "integer").add("end", "integer")))
+    fields = [StructField(f.name, BinaryType()) if f.name == text_col else f for f in numbered.schema.fields]
+    schema = StructType(fields).add(TOTAL, "long").add(RUNS, ArrayType(StructType().add("hash", "long").add("span", "long")))
     return settle(numbered.mapInArrow(run, schema))
 
 
 def repeats(marked: DataFrame) -> DataFrame:
-    """(row, spans array of (begin, end)) of rows with runs that are not the first of their kind, in order of id, text and position.
+    """(row, spans array of begin << 32 | end) of rows with runs that are not the first of their kind, in order of id and position.
 
-    Null ids come last; rows with the same id and text are ordered by their number.  Runs carry their place,
-    so they meet by hash once, at every size.  Hashes that may hold over a share of 1 / HOT of all runs, HOT
-    at most, are settled by partial sums instead, so that no task gets all of their runs.
+    Null ids come last, in order of their texts' digests; rows that are alike in these are ordered by their
+    number.  Runs carry their place, so they meet by hash once, at every size.  Hashes that may hold over a
+    share of 1 / HOT of all runs, HOT at most, are settled by partial sums instead, so that no task gets all
+    of their runs.
     """
-    runs_of = marked.select(F.col(ID).alias("id"), F.col(DIGEST).alias("digest"), F.col(ROW).alias("row"), F.explode(RUNS).alias("run"))
-    spans = runs_of.select("run.*", "id", "digest", "row")
+    none = F.col(ID).isNull()
+    runs_of = marked.select(none.alias("none"), F.coalesce(ID, DIGEST).alias("id"), F.col(ROW).alias("row"), F.explode(RUNS).alias("run"))
+    spans = runs_of.select("run.*", "none", "id", "row")
     met = spans.where("hash is not null")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "row", "begin")
+    place = F.struct("none", "id", "row", "span")
     common = met.select("hash").stat.freqItems(["hash"], 1 / HOT).first()[0]
     hot = F.col("hash").isin(*common) if common else F.lit(False)
     firsts = F.broadcast(settle(met.where(hot).groupBy("hash").agg(F.min(place).alias("first"))))
-    again = met.where(hot).join(firsts, "hash").where("row <> first.row or begin <> first.begin")
-    ranked = met.where(~hot).withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy(place)))
-    found = [part.select("row", "begin", "end") for part in (again, ranked.where("rank > 1"), spans.where("hash is null"))]
+    again = met.where(hot).join(firsts, "hash").where("row <> first.row or span <> first.span")
+    ranked = met.where(~hot).withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy("none", "id", "row", "span")))
+    found = [part.select("row", "span") for part in (again, ranked.where("rank > 1"), spans.where("hash is null"))]
     # At most two runs begin at most pieces, so a row has not many more spans than pieces.
-    return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("row").agg(F.collect_set("span").alias("spans"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """``docs`` with the repeated pieces cut from the text, and n_sentences, n_removed (both in pieces) of each row.
 
-    Of equal runs the one with the smallest (id, digest of the text, position) stays; null ids come last.
-    Every row is a document of its own, also where ids are null or repeat: of rows that are equal in id and
-    text one stays whole.  A null text stays null and an empty one empty, with 0 and 0.  Texts may be of any
-    length; a text all of whose pieces are repeated becomes empty.  Columns named n_sentences and n_removed
-    are replaced, other columns are kept.
+    Of equal runs the one with the smallest (id, stored row, position) stays; null ids come last, in order of
+    their texts' digests.  Every row is a document of its own, also where ids are null or repeat: of rows that
+    are equal in id and text one stays whole.  A null text stays null and an empty one empty, with 0 and 0.
+    Texts may be of any length; a text all of whose pieces are repeated becomes empty.  Columns named
+    n_sentences and n_removed are replaced, other columns are kept.
     """
     own = ["n_sentences", "n_removed"]
     source = docs.drop(*own)
@@ -207,22 +214,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for part in slices(batches):
             gone = [0] * part.num_rows
             columns = list(part.columns[:-1])
-            spans = part.column(part.num_columns - 1)
-            if spans.null_count < len(spans):
-                texts = columns[at].to_pylist()
-                for i, held in enumerate(spans.to_pylist()):
-                    if held:
-                        pieces = sentences(texts[i].encode())
-                        covered = {k for s in held for k in range(s["begin"], s["end"])}
-                        texts[i] = b"".join(p for k, (p, _) in enumerate(pieces) if k not in covered).decode()
-                        gone[i] = len(covered)
-                columns[at] = pa.array(texts, columns[at].type)
+            texts = [None if x is None else unpack(x) for x in columns[at].to_pylist()]
+            for i, held in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                if held:
+                    pieces = sentences(texts[i])
+                    covered = {k for s in held for k in range(s >> 32, s & 0xFFFFFFFF)}
+                    texts[i] = b"".join(p for k, (p, _) in enumerate(pieces) if k not in covered)
+                    gone[i] = len(covered)
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], [*names, *own])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-2]]).add("n_sentences", "long").add("n_removed", "long"))
+    fields = [StructField(f.name, StringType()) if f.name == text_col else f for f in rows.schema.fields[:-2]]
+    return rows.mapInArrow(run, StructType(fields).add("n_sentences", "long").add("n_removed", "long"))
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
