@@ -3,27 +3,70 @@
 A global ``row_number()`` would sort a whole table in one task.  Here the rows
 are cut into blocks that follow the order (a calendar day, a range of names, an id
 range); each block is numbered on its own and shifted by the size of the blocks
-before it.  Only the table of block sizes, one row per block, is ever seen by a
-single task.
+before it.  The table of block sizes is summed up in the same way once more: runs
+of blocks have totals of their own, so no task sees all blocks either; the driver
+sees one number per run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gridcast.functions.times import day_of, epoch_seconds
-from gridcast.staging import settle
+from gridcast.staging import settle, spread
 
 NAME_BLOCK = 65_536
+# Blocks that one task puts in order.
+RUN_BLOCKS = 4_096
 
 
 def _before(keys: Sequence[str], blocks: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def run_heads(blocks: DataFrame, order: Sequence[str], run_blocks: int = RUN_BLOCKS) -> list[Row]:
+    """First blocks of runs of about ``run_blocks`` along ``order``, at most one for each shuffle partition."""
+    place = F.struct(*order)
+    count, low = blocks.agg(F.count(F.lit(1)), F.min(place)).first()
+    most = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, -(-count // run_blocks))
+    if parts <= 1:
+        return [low] if count else []
+    ranges = blocks.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("_part"))
+    return [low, *sorted((r["_head"] for r in ranges.agg(F.min(place).alias("_head")).collect()), key=_nulls_first)[1:]]
+
+
+def _nulls_first(head: Row) -> tuple:
+    return tuple((v is not None, v) if v is not None else (False,) for v in head)
+
+
+def run_of(heads: Sequence[Row], order: Sequence[str], blocks: DataFrame) -> Column:
+    """Number of the run, from 1, that a block lies in; the heads are literals, so it is the same whenever it is worked out."""
+    kinds = [blocks.schema[c].dataType for c in order]
+    rows = [F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(order, head, kinds, strict=True)]) for head in heads]
+    return F.size(F.filter(F.array(*rows), lambda head: head <= F.struct(*order)))
+
+
+def starts_before(blocks: DataFrame, order: Sequence[str], value: str, name: str = "_start", run_blocks: int = RUN_BLOCKS) -> DataFrame:
+    """Adds the sum of ``value`` over all blocks before each one; a block is one row, ``order`` tells them apart."""
+    blocks = settle(blocks)
+    heads = run_heads(blocks, order, run_blocks)
+    if not heads:
+        return blocks.withColumn(name, F.lit(0).cast("long"))
+    placed = blocks.withColumn("_run", run_of(heads, order, blocks))
+    offsets = [0]
+    if len(heads) > 1:
+        totals = {r["_run"]: r["_sum"] for r in placed.groupBy("_run").agg(F.sum(value).alias("_sum")).collect()}
+        for run in range(1, len(heads)):
+            offsets.append(offsets[-1] + (totals.get(run) or 0))
+    inside = F.coalesce(F.sum(value).over(_before(["_run"], order)), F.lit(0))
+    earlier = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_run"))
+    return placed.withColumn(name, (earlier + inside).cast("long")).drop("_run")
+
+
 def positions(
     df: DataFrame,
     order: Sequence[str],
@@ -41,17 +84,21 @@ def positions(
     cuts = list(block)
     tagged = df.withColumns(block)
     sizes = tagged.groupBy(*keys, *cuts).agg(F.count(F.lit(1)).alias("_rows"))
-    group_size = [F.sum("_rows").over(Window.partitionBy(*keys)).alias(total)] if total else []
-    starts = sizes.select(
-        *keys, *cuts, F.coalesce(F.sum("_rows").over(_before(keys, cuts)), F.lit(0)).alias("_start"), *group_size
-    )
+    if keys:
+        group_size = [F.sum("_rows").over(Window.partitionBy(*keys)).alias(total)] if total else []
+        starts = sizes.select(
+            *keys, *cuts, F.coalesce(F.sum("_rows").over(_before(keys, cuts)), F.lit(0)).alias("_start"), *group_size
+        )
+    else:
+        starts = starts_before(sizes, cuts, "_rows").drop("_rows")
+        if total:
+            starts = starts.withColumn(total, tagged.agg(F.count(F.lit(1))).scalar())
     local = F.row_number().over(Window.partitionBy(*keys, *cuts).orderBy(*order))
-    return (
-        tagged.withColumn("_local", local)
-        .join(starts, [*keys, *cuts])
-        .withColumn(name, (F.col("_start") + F.col("_local") - 1).cast("long"))
-        .drop("_local", "_start", *cuts)
-    )
+    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"starts.{c}")) for c in (*keys, *cuts)]
+    met = tagged.withColumn("_local", local).alias("rows").join(starts.alias("starts"), same)
+    kept = [F.col(f"rows.{c}") for c in df.columns]
+    extra = [F.col(f"starts.{total}")] if total else []
+    return met.select(*kept, *extra, (F.col("starts._start") + F.col("rows._local") - 1).cast("long").alias(name))
 
 
 def time_axis(readings: DataFrame, value: str | None = "target") -> DataFrame:
@@ -71,14 +118,8 @@ def station_dimension(readings: DataFrame, block_rows: int = NAME_BLOCK) -> Data
     differ; the driver sees one name per range.
     """
     names = settle(readings.where(F.col("station").isNotNull()).select("station").distinct())
-    most = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(most, -(-names.count() // block_rows))
-    heads = []
-    if parts > 1:
-        ranges = names.repartitionByRange(parts, "station").groupBy(F.spark_partition_id().alias("_part"))
-        heads = sorted(r["_head"] for r in ranges.agg(F.min("station").alias("_head")).collect())
-    block = F.size(F.filter(F.array(*map(F.lit, heads)), lambda h: h <= F.col("station"))) if heads else F.lit(0)
-    cut = {"_head": block}
+    heads = run_heads(names, ["station"], block_rows)
+    cut = {"_head": run_of(heads, ["station"], names) if heads else F.lit(0)}
     return positions(names, ["station"], cut, "station_id").select(
         "station", F.col("station_id").cast("int").alias("station_id")
     )
@@ -87,8 +128,7 @@ def station_dimension(readings: DataFrame, block_rows: int = NAME_BLOCK) -> Data
 def running_total(df: DataFrame, order: str, value: str, name: str, block_rows: int = 65_536) -> DataFrame:
     """Prefix sum of ``value`` along an integer ``order`` column."""
     tagged = df.withColumn("_cut", F.floor(F.col(order) / block_rows))
-    sums = tagged.groupBy("_cut").agg(F.sum(value).alias("_sum"))
-    starts = sums.select("_cut", F.coalesce(F.sum("_sum").over(_before([], ["_cut"])), F.lit(0)).alias("_start"))
+    starts = starts_before(tagged.groupBy("_cut").agg(F.sum(value).alias("_sum")), ["_cut"], "_sum").drop("_sum")
     local = F.sum(value).over(
         Window.partitionBy("_cut").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -111,9 +151,14 @@ def break_flags(axis: DataFrame, step_seconds: int) -> DataFrame:
     )
 
 
-def contiguous_starts(axis: DataFrame, length: int, step_seconds: int) -> DataFrame:
-    """Positions from which ``length`` axis points follow each other without a break."""
-    flags = settle(break_flags(settle(axis), step_seconds))
-    counted = settle(running_total(flags, "t", "is_break", "breaks"))
-    ends = counted.select((F.col("t") - (length - 1)).alias("t"), F.col("breaks").alias("_end"))
-    return counted.join(ends, "t").where(F.col("_end") == F.col("breaks")).select("t")
+def contiguous_starts(axis: DataFrame, length: int, step_seconds: int, chunk: int = 65_536) -> DataFrame:
+    """Positions from which ``length`` axis points follow each other without a break.
+
+    Points with the same number of breaks before them are one stretch; a stretch tells its starts by its
+    two ends, and long ones are opened up in chunks.
+    """
+    counted = running_total(settle(break_flags(axis, step_seconds)), "t", "is_break", "breaks")
+    stretches = counted.groupBy("breaks").agg(F.min("t").alias("lo"), (F.max("t") - (length - 1)).alias("hi")).where("lo <= hi")
+    chunks = stretches.select("hi", F.explode(F.sequence("lo", "hi", F.lit(chunk).cast("long"))).alias("from"))
+    dealt = spread(chunks, "from")
+    return dealt.select(F.explode(F.sequence("from", F.least(F.col("from") + (chunk - 1), F.col("hi")))).alias("t"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions.numbers import whole_share
+from gridcast.operators.axis import positions
 
 SPLITS = ("train", "val", "test")
 TRAIN_RATIO, VAL_RATIO, TEST_RATIO = 0.7, 0.1, 0.2
@@ -126,18 +127,8 @@ def sample_order_split(
 
     Stored order is by station, then start, so this splits by station rather
     than by time.  The rank comes from one count per block of starts and the place
-    within it, so starts may have gaps; samples are not sorted globally.
+    within it, so starts may have gaps; neither samples nor blocks are sorted in one task.
     """
-    samples = samples.withColumn("_part", F.floor(F.col(begin) / RANK_BLOCK))
-    sizes = samples.groupBy(station, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy(station, "_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(station, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    total = samples.agg(F.count(F.lit(1))).scalar()
-    within = F.row_number().over(Window.partitionBy(station, "_part").orderBy(begin))
-    ranked = (
-        samples.join(starts, [station, "_part"])
-        .withColumn("sample_id", F.col("_start") + within - 1)
-        .withColumn("_total", total)
-        .drop("_start", "_part")
-    )
+    block = {"_station": F.col(station), "_part": F.floor(F.col(begin) / RANK_BLOCK)}
+    ranked = positions(samples, [begin], block, "sample_id", total="_total")
     return label_split(ranked, ratio_ranges(F.col("_total"), train, val), "sample_id").drop("_total")

@@ -1,10 +1,11 @@
 """Sliding windows.
 
 Windows are described first (three integers each) and cut last.  A series is
-held as overlapping array blocks: (station, block) with ``overlap`` extra points
-copied from the next block, so that every window that starts in a block can be
-cut from that one row.  Work spreads over blocks, not stations, and a block has
-a fixed maximum size.
+held as array blocks: (station, block) with ``overlap`` extra points from the
+blocks behind, so that every window that starts in a block can be cut from that
+one row.  Arrays are built where the rows of a block lie; only the first points of
+a block, which the block before needs, are sent.  Work spreads over blocks, not
+stations, and a block has a fixed maximum size.
 """
 
 from __future__ import annotations
@@ -14,48 +15,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.functions.permute import Permutation
 from gridcast.functions.vectors import tail
 from gridcast.operators.axis import positions
-from gridcast.operators.split import Ranges
+from gridcast.operators.grid import BLOCK_ROWS
+from gridcast.operators.split import RANK_BLOCK, Ranges
 from gridcast.staging import small_side, spread
 
+# Points of a block where the table has no blocks of its own.
 BLOCK_POINTS = 2048
 
 
+def block_size(df: DataFrame, keys: Sequence[str], block_points: int | None) -> int:
+    """Points of a block: those of a grid's own blocks unless a size is asked for."""
+    if block_points is not None:
+        return block_points
+    return BLOCK_ROWS if "block" in df.columns and "block" not in keys else BLOCK_POINTS
+
+
 def series_blocks(
     df: DataFrame,
     overlap: int,
     keys: Sequence[str] = ("station",),
     t: str = "t",
     value: str = "target",
-    block_points: int = BLOCK_POINTS,
+    block_points: int | None = None,
 ) -> DataFrame:
     """``(keys, part, base, points)``: points from position ``base`` on, in order.
 
     Positions must be dense within a key; a gap or a repeat fails the job.  At most ``block_points + overlap``
-    points per row.
+    points per row.  A table that still has the ``block`` of its grid is taken by those blocks, which lie
+    together already; else its points are brought together once.
     """
+    size = block_size(df, keys, block_points)
     pos = F.col(t).cast("long")
-    low = F.greatest(F.floor((pos - overlap) / block_points), F.lit(0))
-    copies = df.select(
-        *keys,
-        pos.alias("_t"),
-        F.col(value).alias("_y"),
-        F.explode(F.sequence(low.cast("long"), F.floor(pos / block_points).cast("long"))).alias("part"),
-    )
-    return (
-        spread(copies, *keys, "part")
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_t", "_y"))).alias("_p"))
-        .select(
-            *keys,
-            "part",
-            (F.col("part") * block_points).alias("base"),
-            F.when(_dense("_p", F.col("part") * block_points), F.transform("_p", lambda p: p["_y"]))
-            .otherwise(F.raise_error(F.lit("positions have gaps or repeats: put the series on a grid first")))
-            .alias("points"),
-        )
-    )
+    if block_points is None and size == BLOCK_ROWS:
+        rows = df.select(*keys, F.col("block").alias("part"), pos.alias("_t"), F.col(value).alias("_y"))
+    else:
+        rows = df.select(*keys, F.floor(pos / size).cast("long").alias("part"), pos.alias("_t"), F.col(value).alias("_y"))
+        rows = spread(rows, *keys, "part")
+    base = F.col("part") * size
+    own = F.when(_dense("_p", base), F.transform("_p", lambda p: p["_y"])).otherwise(_gaps())
+    bodies = rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("_t", "_y"))).alias("_p"))
+    bodies = bodies.select(*keys, "part", own.alias("points"))
+    if overlap <= 0:
+        return bodies.select(*keys, "part", base.alias("base"), "points")
+    # A long overlap reaches over several blocks.
+    reach = -(-overlap // size)
+    heads = bodies.select(*keys, F.col("part").alias("_from"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_k"), "points")
+    sent = F.slice("points", F.lit(1), F.least(F.lit(size), F.lit(overlap) - (F.col("_k") - 1) * size).cast("int"))
+    heads = spread(heads.where("_from >= _k").select(*keys, (F.col("_from") - F.col("_k")).alias("part"), "_k", sent.alias("_head")), *keys, "part")
+    if reach > 1:
+        heads = heads.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("_k", "_head"))).alias("_h"))
+        whole = F.forall("_h", lambda h: (h["_k"] == F.size("_h")) | (F.size(h["_head"]) == size))
+        in_row = (F.element_at("_h", -1)["_k"] == F.size("_h")) & whole
+        heads = heads.select(*keys, "part", F.when(in_row, F.flatten(F.transform("_h", lambda h: h["_head"]))).otherwise(_gaps()).alias("_head"))
+    joined = F.when(F.col("_head").isNull(), F.col("points")).when(F.size("points") == size, F.concat("points", "_head")).otherwise(_gaps())
+    null_safe = [F.col(f"b.{c}").eqNullSafe(F.col(f"h.{c}")) for c in keys]
+    met = bodies.alias("b").join(heads.alias("h"), [F.col("b.part") == F.col("h.part"), *null_safe], "left")
+    return met.select(*[F.col(f"b.{c}") for c in keys], F.col("b.part"), (F.col("b.part") * size).alias("base"), joined.alias("points"))
+
+
+def _gaps() -> Column:
+    return F.raise_error(F.lit("positions have gaps or repeats: put the series on a grid first"))
 
 
 def _dense(points: str, base: Column) -> Column:
@@ -70,7 +92,7 @@ def _starts(lo: Column, hi: Column) -> Column:
 
 
 def starts_in_blocks(
-    blocks: DataFrame, length: int, ranges: Ranges, block_points: int = BLOCK_POINTS, last_shift: int = 0
+    blocks: DataFrame, length: int, ranges: Ranges, block_points: int, last_shift: int = 0
 ) -> DataFrame:
     """Adds ``split`` and ``s_begin`` for every full window of ``length`` points.
 
@@ -124,7 +146,7 @@ def windows(
     keys: Sequence[str] = ("station",),
     t: str = "t",
     value: str = "target",
-    block_points: int = BLOCK_POINTS,
+    block_points: int | None = None,
     carry: Sequence[str] = (),
     last_shift: int = 0,
 ) -> DataFrame:
@@ -132,12 +154,15 @@ def windows(
 
     ``x`` has ``seq_len`` points from ``s_begin``; ``y`` repeats the last
     ``label_len`` of them and goes on for ``pred_len`` points.  ``carry`` names
-    columns that are constant per key and needed by ``ranges``.
+    columns that are constant per key and needed by ``ranges``.  A series that ends inside a
+    window fails the job.
     """
     length = seq_len + pred_len
+    size = block_size(df, [*keys, *carry], block_points)
     blocks = series_blocks(df, length - 1, [*keys, *carry], t, value, block_points)
-    placed = starts_in_blocks(blocks, length, ranges, block_points, last_shift)
-    p, b, s = F.col("points"), F.col("base"), F.col("s_begin")
+    placed = starts_in_blocks(blocks, length, ranges, size, last_shift)
+    b, s = F.col("base"), F.col("s_begin")
+    p = F.when(s - b + length <= F.size("points"), F.col("points")).otherwise(_gaps())
     return placed.select(
         *keys,
         "split",
@@ -182,16 +207,18 @@ def unequal_lengths(pairs: DataFrame) -> DataFrame:
     )
 
 
-def shuffled_batches(samples: DataFrame, seed: int, batch_size: int, ids: Sequence[str], drop_last: bool = True) -> DataFrame:
+def shuffled_batches(
+    samples: DataFrame, seed: int, batch_size: int, ids: Sequence[str], drop_last: bool = True, rows: int | None = None
+) -> DataFrame:
     """Seeded random order as ``(position, batch)``.
 
-    The order is that of a hash; ranks come from hash ranges, so there is no
-    global sort.  ``drop_last`` leaves out an incomplete last batch.
+    Samples are numbered along ``ids``, the last of which is an integer, and a keyed permutation of the
+    numbers tells their positions: no sort by hash, and the same order whatever the partitioning.  ``rows`` is
+    the number of samples where it is known.  ``drop_last`` leaves out an incomplete last batch.
     """
-    hashed = samples.withColumn("_h", F.xxhash64(F.lit(seed), *ids))
-    ranked = positions(hashed, ["_h", *ids], {"_range": F.shiftright("_h", 52)}, "position").drop("_h")
-    batched = ranked.withColumn("batch", F.floor(F.col("position") / batch_size).cast("long"))
-    if not drop_last:
-        return batched
-    full = samples.agg(F.floor(F.count(F.lit(1)) / batch_size).cast("long")).scalar()
-    return batched.withColumn("_full", full).where(F.col("batch") < F.col("_full")).drop("_full")
+    total = samples.count() if rows is None else rows
+    cuts = {f"_b{i}": F.col(c) for i, c in enumerate(ids[:-1])} | {"_part": F.floor(F.col(ids[-1]) / RANK_BLOCK)}
+    numbered = positions(samples, [ids[-1]], cuts, "_i")
+    shuffled = numbered.withColumn("position", Permutation(total, seed).column(F.col("_i"))).drop("_i")
+    batched = shuffled.withColumn("batch", F.floor(F.col("position") / batch_size).cast("long"))
+    return batched.where(F.col("batch") < total // batch_size) if drop_last else batched

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridcast.functions import permute
 from gridcast.functions import vectors as V
 from gridcast.functions.numbers import clamp_min, unstandardise
 from gridcast.functions.times import day_of
@@ -272,13 +273,54 @@ def _(spark, d):
     return split.sample_order_split(index, station="station")
 
 
-@query("o06_shuffled_batches")
+@query(
+    "w14_contiguous_sample_split",
+    "WITH sparse AS (SELECT to_timestamp(CAST(floor(epoch(ts) / 900) * 900 AS BIGINT))::TIMESTAMP AS datetime, event_type AS station FROM events), "
+    "ax AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS t FROM (SELECT DISTINCT datetime FROM sparse)), "
+    "br AS (SELECT t, CASE WHEN t > 0 AND datetime - lag(datetime) OVER (ORDER BY t) <> INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS b FROM ax), "
+    "pre AS (SELECT t, sum(b) OVER (ORDER BY t) AS p FROM br), ok AS (SELECT a.t FROM pre a JOIN pre z ON z.t = a.t + 7 WHERE a.p = z.p), "
+    "ranked AS (SELECT s.station, ok.t AS s_begin, row_number() OVER (ORDER BY s.station, ok.t) - 1 AS sample_id, count(*) OVER () AS n "
+    "FROM (SELECT DISTINCT station FROM sparse) s CROSS JOIN ok) "
+    f"SELECT station, s_begin, sample_id, CASE WHEN sample_id < {N_TRAIN} THEN 'train' WHEN sample_id < {N_TRAIN} + {N_VAL} THEN 'val' "
+    "ELSE 'test' END AS split FROM ranked",
+)
+def _(spark, d):
+    r = E.type_readings(spark, d, 900)
+    ax = axis.time_axis(r)
+    n = grid.axis_length(ax)
+    series = r.select("station").distinct().withColumn("n", F.lit(n))
+    index = windows.windows_index(series, 8, split.Ranges({"all": (0, n)})).drop("split")
+    return split.sample_order_split(windows.keep_contiguous(index, axis.contiguous_starts(ax, 8, 900)), station="station")
+
+
+def permuted_sql(perm: permute.Permutation, source: str) -> str:
+    """``source`` (with ``i`` and ``n``) with ``i`` permuted once, as nested selects; ``a`` and ``b`` are the digits' sizes."""
+    out = f"SELECT *, i // b AS l, i % b AS r FROM {source}"
+    for key_a, key_b in perm.keys():
+        out = f"SELECT * REPLACE ((l + ((r + {key_a}) % {permute.PRIME}) * ((r + {key_a}) % {permute.PRIME}) % {permute.PRIME}) % a AS l) FROM ({out})"
+        out = f"SELECT * REPLACE ((r + ((l + {key_b}) % {permute.PRIME}) * ((l + {key_b}) % {permute.PRIME}) % {permute.PRIME}) % b AS r) FROM ({out})"
+    return f"SELECT * EXCLUDE (l, r) REPLACE (l * b + r AS i) FROM ({out})"
+
+
+SHUFFLE_SEED, BATCH = 2021, 32
+_PERM = permute.Permutation(1, SHUFFLE_SEED)
+
+
+@query(
+    "o06_shuffled_batches",
+    f"WITH RECURSIVE {FILLED}, {bounds_sql()}, {starts_sql()}, "
+    "numbered AS (SELECT station, split, s_begin, CAST(row_number() OVER (ORDER BY station, s_begin) - 1 AS BIGINT) AS i, CAST(count(*) OVER () AS BIGINT) AS n "
+    "FROM starts WHERE split = 'train'), sized AS (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM numbered), "
+    "digits AS (SELECT *, (n + a - 1) // a AS b FROM sized), "
+    f"walk AS ({permuted_sql(_PERM, 'digits')} UNION ALL {permuted_sql(_PERM, '(SELECT * FROM walk WHERE i >= n)')}) "
+    f"SELECT station, split, s_begin, i AS position, i // {BATCH} AS batch FROM walk WHERE i < n AND i // {BATCH} < n // {BATCH}",
+)
 def _(spark, d):
     r = E.type_readings(spark, d)
     n = grid.extent_of(r).steps(HOUR)
     series = r.select("station").distinct().withColumn("n", F.lit(n))
     index = windows.windows_index(series, LENGTH, split.ratio_ranges(n).only("train"))
-    return windows.shuffled_batches(index, 2021, 32, ["station", "s_begin"])
+    return windows.shuffled_batches(index, SHUFFLE_SEED, BATCH, ["station", "s_begin"])
 
 
 # ---- tokens and per-window functions -------------------------------------------
