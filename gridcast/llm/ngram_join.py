@@ -29,7 +29,9 @@ from gridcast.llm.words import WordHashes, shingles, words
 
 GROUPS = 64
 # A leaf of a tree holds at most so many documents and bytes of shingles.
-LEAF_ROWS, LEAF_BYTES = 128, 2 * 1024 * 1024
+LEAF_ROWS, LEAF_BYTES = 128, 512 * 1024
+# Rows with whole sets that a worker takes at a time, as sets of long texts are large.
+WHOLE_SETS = 16
 # Buckets of at most so many documents give their pairs; larger ones are trees.
 FEW = 16
 
@@ -111,7 +113,7 @@ def leaves(rows: DataFrame, rule: Rule) -> DataFrame:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], [f.split()[0] for f in made.split(", ")])
 
-        for part in slices(batches):
+        for part in slices(batches, WHOLE_SETS):
             for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 if held and held[-1][:2] == row[:2]:
                     continue
@@ -186,7 +188,7 @@ def walk(leaf: DataFrame, rule: Rule, compare: Compare, made: str) -> DataFrame:
         return np.array(ids, np.int64), np.array(marks, np.int64), _points(counts), bodies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2):
+        for part in slices(batches, 1):
             columns = [c.to_pylist() for c in part.columns]
             own = len(columns) == 4
             out: list[list[int]] = [[] for _ in made.split(", ")]
@@ -358,7 +360,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for part in slices(batches):
+        for part in slices(batches, WHOLE_SETS):
             sets = [_set_of(t, shingle, memo) for t in part.column(4).to_pylist()]
             counts = pa.array([_counts(x) if len(x) else b"" for x in sets], pa.binary())
             arrays = [*part.columns[:4], pa.array([len(x) for x in sets], pa.int64()), counts, pa.array([x.tobytes() for x in sets], pa.binary())]

@@ -76,11 +76,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-        pa.default_memory_pool().release_unused()
-    give_back()
+        give_back()
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "2m") -> None:
     """Arrow batches of the session hold at most so many rows and bytes: a batch lies in the executor and in the worker at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
