@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions import vectors as V
+from gridcast.functions.draws import draw
 from gridcast.operators.axis import positions
 from gridcast.operators.split import per_series_ranges
 from gridcast.operators.windows import windows
@@ -98,7 +99,7 @@ def random_cut_windows(
     """
     low = F.greatest(F.lit(1).cast("long"), F.col("n") - limit)
     span = F.greatest(F.col("n") - low, F.lit(1).cast("long"))
-    placed = points.withColumn("cut", low + F.pmod(F.xxhash64(F.lit(seed), KEY), span))
+    placed = points.withColumn("cut", low + F.pmod(draw(seed, F.col(KEY)), span))
     back = max(seq_len, label_len)
     near = placed.where((F.col("t") >= F.col("cut") - back) & (F.col("t") < F.col("cut") + pred_len))
     c, p = F.col("cut"), F.col("p")

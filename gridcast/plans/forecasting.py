@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.functions import vectors as V
@@ -57,21 +57,78 @@ def marked_persistence(token_len: int, weight: float) -> Forecaster:
     return run
 
 
-def linear_token(weights: Sequence[Sequence[float]]) -> Forecaster:
+class LinearToken:
     """Next token = affine map of the last token; ``weights`` is (token_len + 1) rows by token_len.
 
-    One matrix product per Arrow batch; the weights have a fixed size.
+    One matrix product per Arrow batch; the weights have a fixed size.  As the map of a map is affine
+    again, a rollout of any number of steps is one product too (``horizon``).
     """
-    w = np.asarray(weights, dtype=float)
-    token_len = w.shape[1]
 
-    @F.pandas_udf("array<double>")
-    def step(newest: pd.Series) -> pd.Series:
-        if not len(newest):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(newest.to_numpy()) @ w[:-1] + w[-1]))
+    def __init__(self, weights: Sequence[Sequence[float]]):
+        self.weights = np.asarray(weights, dtype=float)
+        self.token_len = self.weights.shape[1]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("token", self._times(self.weights)(V.tail(F.col("x"), self.token_len)))
+
+    def horizon(self, steps: int) -> Column:
+        """All points of ``steps`` tokens that are fed back one after the other."""
+        return self._times(affine_powers(self.weights, steps))(V.tail(F.col("x"), self.token_len))
+
+    @staticmethod
+    def _times(weights: np.ndarray) -> Callable[[Column], Column]:
+        @F.pandas_udf("array<double>")
+        def product(newest: pd.Series) -> pd.Series:
+            if not len(newest):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(np.stack(newest.to_numpy()) @ weights[:-1] + weights[-1]))
+
+        return product
+
+
+class ScaledLinearToken:
+    """A linear token taken on each lookback's own scale, which the points fed back change in turn: a loop over steps per Arrow batch."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.token_len = weights, weights.shape[1]
 
-    return lambda df: df.withColumn("token", step(V.tail(F.col("x"), token_len)))
+    def horizon(self, steps: int) -> Column:
+        weights, k = self.weights, self.token_len
+
+        @F.pandas_udf("array<double>")
+        def roll(lookback: pd.Series) -> pd.Series:
+            if not len(lookback):
+                return pd.Series([], dtype=object)
+            x = np.stack(lookback.to_numpy())
+            out = []
+            for _ in range(steps):
+                mean = x.mean(1, keepdims=True)
+                sd = np.sqrt(x.var(1, keepdims=True) + V.WINDOW_VAR_EPS)
+                token = (((x[:, -k:] - mean) / sd) @ weights[:-1] + weights[-1]) * sd + mean
+                out.append(token)
+                x = np.concatenate([x[:, k:], token], axis=1)
+            return pd.Series(list(np.concatenate(out, axis=1)))
+
+        return roll(F.col("x"))
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("token", self.horizon(1))
+
+
+def affine_powers(weights: np.ndarray, steps: int) -> np.ndarray:
+    """The maps of 1, 2, … ``steps`` steps side by side, by doubling: what follows m steps is the first m steps of their end."""
+    k = weights.shape[1]
+    done = weights
+    while done.shape[1] < k * steps:
+        last = done[:, -k:]
+        more = last @ done[:-1]
+        more[-1] += done[-1]
+        done = np.concatenate([done, more], axis=1)
+    return done[:, : k * steps]
+
+
+def linear_token(weights: Sequence[Sequence[float]]) -> Forecaster:
+    return LinearToken(weights)
 
 
 FORECASTERS: dict[str, Callable[..., Forecaster]] = {
@@ -115,36 +172,74 @@ def supervision_pairs(windows: DataFrame, seq_len: int, label_len: int, token_le
     )
 
 
-def fit_linear_token(pairs: DataFrame, token_len: int, ridge: float = RIDGE) -> np.ndarray:
-    """Ridge map from a token to the next one, fitted over any number of pairs.
+# Values are taken to whole steps of this size in a fit, so that sums are exact and do not depend on their order.
+FIT_STEP = 2.0**-30
+# Whole numbers in three parts of so many bits; products of parts over so many rows stay exact in doubles.
+PART_BITS, PART_ROWS = 20, 1 << 12
+# Bits of the lower part of a sum.
+LOW_BITS = 60
+
+
+def exact_gram(rows: np.ndarray) -> list[list[int]]:
+    """Sums of products of all pairs of columns of whole numbers below 2^60, exact."""
+    total = [[0] * rows.shape[1] for _ in range(rows.shape[1])]
+    sign, size = np.sign(rows), np.abs(rows)
+    parts = [(sign * ((size >> (PART_BITS * p)) & ((1 << PART_BITS) - 1))).astype(float) for p in range(3)]
+    for begin in range(0, len(rows), PART_ROWS):
+        cut = [p[begin : begin + PART_ROWS] for p in parts]
+        for a in range(3):
+            for b in range(3):
+                shift = PART_BITS * (a + b)
+                for i, row in enumerate((cut[a].T @ cut[b]).tolist()):
+                    for j, v in enumerate(row):
+                        total[i][j] += int(v) << shift
+    return total
 
-    Tasks add up their share of the normal equations; (token_len + 1) * (2 *
-    token_len + 1) sums reach the driver, whatever the number of pairs.
+
+def normal_sums(pairs: DataFrame, token_len: int, step: float = FIT_STEP) -> list[list[int]]:
+    """Sums of products of (token_in, 1, token_out), in whole steps; every pair counts.
+
+    Tasks give (2 * token_len + 1)² sums each, as decimals in two parts, which add up to the same whole numbers in any order.
     """
-    k = token_len + 1
+    width = 2 * token_len + 1
 
     def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k + token_len))
+        total = [[0] * width for _ in range(width)]
         for batch in batches:
             if len(batch):
-                x = np.column_stack([np.stack(batch["token_in"].to_numpy()), np.ones(len(batch))])
-                y = np.stack(batch["token_out"].to_numpy())
-                total += x.T @ np.column_stack([x, y])
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    sums = (
-        pairs.select("token_in", "token_out")
-        .mapInPandas(share, "i long, j long, v double")
-        .groupBy("i", "j")
-        .agg(F.sum("v").alias("v"))
-        .toPandas()
-    )
-    table = np.zeros((k, k + token_len))
-    table[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["v"].to_numpy()
+                x, y = (np.rint(np.stack(batch[c].to_numpy()) / step) for c in ("token_in", "token_out"))
+                rows = np.column_stack([x, np.ones(len(batch)), y]).astype(np.int64)
+                if np.abs(rows).max() >= 1 << (3 * PART_BITS):
+                    raise ValueError("values are too large for exact sums: take a larger step")
+                total = [[u + v for u, v in zip(a, b, strict=True)] for a, b in zip(total, exact_gram(rows), strict=True)]
+        cells = [(i, j, str(v >> LOW_BITS), str(v & ((1 << LOW_BITS) - 1))) for i, row in enumerate(total) for j, v in enumerate(row)]
+        yield pd.DataFrame(cells, columns=["i", "j", "high", "low"])
+
+    sums = pairs.select("token_in", "token_out").mapInPandas(share, "i long, j long, high string, low string")
+    added = [F.sum(F.col(c).cast("decimal(38,0)")).cast("string").alias(c) for c in ("high", "low")]
+    table = [[0] * width for _ in range(width)]
+    for r in sums.groupBy("i", "j").agg(*added).collect():
+        table[r["i"]][r["j"]] = (int(r["high"]) << LOW_BITS) + int(r["low"])
+    return table
+
+
+def fit_linear_token(pairs: DataFrame, token_len: int, ridge: float = RIDGE, step: float = FIT_STEP) -> np.ndarray:
+    """Ridge map from a token to the next one, fitted over any number of pairs.
+
+    The sums of the normal equations are whole numbers, so the fit is the same whatever the partitioning.
+    """
+    left, right = normal_equations(normal_sums(pairs, token_len, step), token_len, ridge, step)
+    return np.linalg.solve(left, right)
+
+
+def normal_equations(sums: list[list[int]], token_len: int, ridge: float = RIDGE, step: float = FIT_STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides of the equations of a ridge fit; the constant is not held back."""
+    k = token_len + 1
+    units = [step] * token_len + [1.0] + [step] * token_len
+    table = np.array([[v * (units[i] * units[j]) for j, v in enumerate(row)] for i, row in enumerate(sums)], dtype=float)
     penalty = ridge * np.eye(k)
     penalty[-1, -1] = 0.0
-    return np.linalg.solve(table[:, :k] + penalty, table[:, k:])
+    return table[:k, :k] + penalty, table[:k, k:]
 
 
 # ---- rollout -------------------------------------------------------------------
@@ -155,7 +250,9 @@ def rollout_steps(pred_len: int, token_len: int) -> int:
 
 
 def rollout(windows: DataFrame, model: Forecaster, pred_len: int, token_len: int, with_marks: bool = False) -> DataFrame:
-    """Adds ``forecast`` with exactly ``pred_len`` points."""
+    """Adds ``forecast`` with exactly ``pred_len`` points; an affine forecaster takes one product for all steps."""
+    if isinstance(model, (LinearToken, ScaledLinearToken)) and model.token_len == token_len:
+        return windows.withColumn("forecast", V.head(model.horizon(rollout_steps(pred_len, token_len)), pred_len))
     state = windows.withColumn("_x0", F.col("x")).withColumn("_out", F.array().cast("array<double>"))
     if with_marks:
         state = state.withColumn("_m0", F.col("x_mark"))
@@ -174,6 +271,8 @@ def rollout(windows: DataFrame, model: Forecaster, pred_len: int, token_len: int
 
 def normalised(model: Forecaster) -> Forecaster:
     """Runs ``model`` on the lookback with its own mean and deviation removed."""
+    if isinstance(model, LinearToken):
+        return ScaledLinearToken(model.weights)
 
     def run(df: DataFrame) -> DataFrame:
         mean = V.array_mean(F.col("x"))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridcast.functions import vectors as V
 from gridcast.functions.numbers import divide_or_zero
-from gridcast.operators import anomaly, ragged, split, windows
+from gridcast.functions.times import floor_time
+from gridcast.operators import anomaly, grid, ragged, split, windows
+from gridcast.operators import fill as fills
 from gridcast.plans import forecasting as P
 from gridcast.plans import metrics as M
-from gridcast.queries.base import arr, query, r6
+from gridcast.queries.base import SHIP, arr, filled_sql, query, r6
 from gridcast.queries.slicing import (
     FILLED,
     LABEL,
     LAST,
+    N_TRAIN,
+    N_VAL,
     PRED,
     PROMPT,
     PTS,
@@ -383,40 +388,136 @@ def _(spark, d):
     return P.last_token_loss(train_windows(spark, d), P.forecaster("last_token", TOKEN), TOKEN)
 
 
-@query("t07_linear_forecaster")
-def _(spark, d):
-    weights = P.fit_linear_token(train_pairs(spark, d), TOKEN)
-    rows = P.forecast_rows(
-        P.rollout(test_windows(spark, d), P.forecaster("linear_token", weights), PRED, TOKEN), PRED, KEYS
+# The fit with tokens of one point, whose two equations are solved by hand from sums of whole steps.
+UNIT = f"CAST({P.FIT_STEP!r} AS DOUBLE)"
+SOLVED = "fit AS (SELECT (sxy * n - sx * sy) / (sxx * n - sx * sx) AS a, (sxx * sy - sx * sxy) / (sxx * n - sx * sx) AS c FROM sums)"
+
+
+def fit_sql(source: str, times: str = "1") -> str:
+    """Slope ``a`` and constant ``c`` from pairs of whole numbers ``x, y`` that count ``times`` each."""
+    part = lambda e, unit: f"CAST(sum({e} * {times}) AS DOUBLE) * {unit}"
+    return (
+        f"sums AS (SELECT CAST(sum({times}) AS DOUBLE) AS n, {part('x', UNIT)} AS sx, {part('y', UNIT)} AS sy, "
+        f"{part('x * x', f'({UNIT} * {UNIT})')} + {P.RIDGE} AS sxx, {part('x * y', f'({UNIT} * {UNIT})')} AS sxy FROM {source}), {SOLVED}"
+    )
+
+
+WHOLE = lambda v: f"CAST(round({v} / {UNIT}) AS HUGEINT)"
+# A pair of neighbours counts once for each training window that holds both.
+FIT_ONE = (
+    f"fit_w AS (SELECT f.station, f.t, {WHOLE('f.target')} AS x, {WHOLE('g.target')} AS y, "
+    f"least(f.t + 1, {SEQ}, (SELECT {N_TRAIN} FROM size) - 1 - f.t, (SELECT {N_TRAIN} FROM size) - {SEQ}) AS times "
+    f"FROM filled f JOIN filled g ON g.station = f.station AND g.t = f.t + 1), fit_p AS (SELECT * FROM fit_w WHERE times > 0), {fit_sql('fit_p', 'times')}"
+)
+
+
+def _fed_back(start: str, steps: int, source: str, keys: str = "station, s_begin") -> str:
+    """Points of a rollout of the fitted map, step by step: each one from the one before."""
+    return (
+        f"roll AS (SELECT {keys}, 0 AS step, a * {start} + c AS pred FROM {source}, fit UNION ALL "
+        f"SELECT {keys}, step + 1, a * pred + c FROM roll, fit WHERE step < {steps - 1})"
     )
+
+
+def one_point_pairs(spark, d):
+    return P.supervision_pairs(hour_windows(spark, d, only=["train"], seq=SEQ, label=SEQ - 1, pred=1), SEQ, SEQ - 1, 1)
+
+
+@query(
+    "t07_linear_forecaster",
+    f"WITH RECURSIVE {TEST_WINDOWS}, {FIT_ONE}, {_fed_back(f'x[{SEQ}]', PRED, 'tw')}, "
+    f"fr AS (SELECT r.pred, w.y[{LABEL} + 1 + r.step] AS truth FROM roll r JOIN tw w USING (station, s_begin)) SELECT {BUNDLE} FROM fr",
+)
+def _(spark, d):
+    weights = P.fit_linear_token(one_point_pairs(spark, d), 1)
+    rows = P.forecast_rows(P.rollout(test_windows(spark, d), P.forecaster("linear_token", weights), PRED, 1), PRED, KEYS)
     return M.bundle(rows)
 
 
-def daily_user_windows(spark, d):
-    """Daily series of another table: shipped quantity per supplier."""
-    from gridcast.functions.times import floor_time
-    from gridcast.operators import fill as fills
-    from gridcast.operators import grid
+@query(
+    "t07_normal_equations",
+    f"WITH {FILLED}, pairs AS (SELECT greatest({N_TRAIN} - {SEQ + TOKEN} + 1, 0) * {SEQ // TOKEN} * (SELECT count(DISTINCT station) FROM filled) AS pairs FROM size) "
+    f"SELECT CAST({TOKEN} AS INTEGER) AS token_len, CAST(pairs AS BIGINT) AS pairs, true AS solved FROM pairs",
+)
+def _(spark, d):
+    """The fit with whole tokens: its equations hold to a billionth."""
+    sums = P.normal_sums(train_pairs(spark, d), TOKEN)
+    left, right = P.normal_equations(sums, TOKEN)
+    weights = np.linalg.solve(left, right)
+    off = float(np.abs(left @ weights - right).max() / np.abs(right).max())
+    return spark.createDataFrame([(TOKEN, sums[TOKEN][TOKEN], off < 1e-9)], "token_len int, pairs long, solved boolean")
+
+
+WEEK = 7 * 86_400
+# Weekly series of another table, shipped quantity per supplier, and their test windows.
+WEEKLY = (
+    f"{SHIP}, weekly AS (SELECT CAST(to_timestamp(CAST(floor(epoch(datetime) / {WEEK}) * {WEEK} AS BIGINT)) AS TIMESTAMP) AS datetime, station, target FROM ship), "
+    "wk_ext AS (SELECT min(datetime) AS lo, max(datetime) AS hi FROM weekly), "
+    "wk_mean AS (SELECT station, datetime, avg(target) AS target FROM weekly GROUP BY station, datetime), "
+    "wk_grid AS (SELECT s.station, CAST(date_diff('day', e.lo, a.datetime) // 7 AS BIGINT) AS t, a.datetime, m.target FROM (SELECT DISTINCT station FROM weekly) s "
+    "CROSS JOIN (SELECT unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS datetime FROM wk_ext) a CROSS JOIN wk_ext e "
+    "LEFT JOIN wk_mean m ON m.station = s.station AND m.datetime = a.datetime), "
+    f"{filled_sql('wk_grid', 'wk_fill')}, wk AS (SELECT station, t, coalesce(target, 0.0) AS target FROM wk_fill), "
+    "wk_size AS (SELECT max(t) + 1 AS n FROM wk), "
+    f"wk_b AS (SELECT 'test' AS split, {N_TRAIN} + {N_VAL} AS b1, n AS b2 FROM wk_size), "
+    f"{starts_sql(SEQ + TOKEN, 'wk', 'wk_b')}, {windows_sql(SEQ, LABEL, TOKEN, 'wk', 'wk_win')}"
+)
+SHARES = (
+    f"count(*) AS rows, {r6('avg(200 * abs(pred - truth) / (abs(pred) + abs(truth) + 1e-8))')} AS smape, "
+    f"{r6('avg(abs(100 * (pred - truth) / (truth + 1e-8)))')} AS mape"
+)
+
 
-    week = 7 * 86_400
-    r = E.shipment_readings(spark, d).withColumn("datetime", floor_time("datetime", week))
+def weekly_supplier_windows(spark, d):
+    r = E.shipment_readings(spark, d).withColumn("datetime", floor_time("datetime", WEEK))
     limits = grid.extent_of(r)
-    filled = fills.fill_linear(grid.regular_grid(r, week, limits=limits, carry=True), default=0.0)
-    ranges = split.ratio_ranges(limits.steps(week)).only("test")
-    return windows.windows(filled, SEQ, LABEL, TOKEN, ranges)
+    filled = fills.fill_linear(grid.regular_grid(r, WEEK, limits=limits, carry=True), default=0.0)
+    return windows.windows(filled, SEQ, LABEL, TOKEN, split.ratio_ranges(limits.steps(WEEK)).only("test"))
 
 
-@query("t04_zero_shot_task")
+@query(
+    "t04_zero_shot_task",
+    f"WITH RECURSIVE {FILLED}, {FIT_ONE}, {WEEKLY}, {_fed_back(f'x[{SEQ}]', TOKEN, 'wk_win')}, "
+    f"fr AS (SELECT r.pred, w.y[{LABEL} + 1 + r.step] AS truth FROM roll r JOIN wk_win w USING (station, s_begin)) SELECT {SHARES} FROM fr",
+)
 def _(spark, d):
-    return P.task("zero_shot_forecast")(train_pairs(spark, d), daily_user_windows(spark, d), TOKEN, TOKEN, KEYS)
+    return P.task("zero_shot_forecast")(one_point_pairs(spark, d), weekly_supplier_windows(spark, d), 1, TOKEN, KEYS)
 
 
-@query("j11_target_domain_swap")
+# Fitted on windows of their own scale; each step is taken on the window's scale too, which the points fed back change in turn.
+WINDOW_SCALE = (
+    f"SELECT *, sqrt(list_sum(list_transform(x, lambda v: (v - m) * (v - m))) / len(x) + {V.WINDOW_VAR_EPS}) AS s FROM "
+    "(SELECT *, list_sum(x) / len(x) AS m FROM {0}) q"
+)
+FIT_SCALED = (
+    f"tr_b AS (SELECT * FROM bounds WHERE split = 'train'), {starts_sql(SEQ + 1, bounds='tr_b', name='tr_starts')}, "
+    f"tr_w AS (SELECT s.station, s.s_begin, list(f.target ORDER BY f.t) AS w FROM tr_starts s JOIN filled f ON f.station = s.station "
+    f"AND f.t >= s.s_begin AND f.t < s.s_begin + {SEQ + 1} GROUP BY ALL), tr_x AS (SELECT *, w[1:{SEQ}] AS x FROM tr_w), "
+    f"tr_s AS ({WINDOW_SCALE.format('tr_x')}), tr_p AS (SELECT w, m, s, unnest(range(1, {SEQ} + 1)) AS i FROM tr_s), "
+    f"fit_p AS (SELECT {WHOLE('((w[i] - m) / s)')} AS x, {WHOLE('((w[i + 1] - m) / s)')} AS y FROM tr_p), {fit_sql('fit_p')}"
+)
+SCALED_STEPS = (
+    "roll AS (SELECT station, s_begin, 0 AS step, x, CAST(NULL AS DOUBLE) AS pred FROM wk_win UNION ALL "
+    "SELECT station, s_begin, step + 1, list_concat(x[2:], [next]), next FROM (SELECT station, s_begin, step, x, (a * (x[len(x)] - m) / s + c) * s + m AS next FROM "
+    f"({WINDOW_SCALE.format(f'(SELECT * FROM roll WHERE step < {TOKEN}) r')}) q, fit) q)"
+)
+
+
+@query(
+    "j11_target_domain_swap",
+    f"WITH RECURSIVE {FILLED}, {bounds_sql()}, {FIT_SCALED}, {WEEKLY}, {SCALED_STEPS}, "
+    f"fr AS (SELECT r.pred, w.y[{LABEL} + r.step] AS truth FROM roll r JOIN wk_win w USING (station, s_begin) WHERE r.step > 0) "
+    f"SELECT count(*) AS rows, {r6('avg(200 * abs(pred - truth) / (abs(pred) + abs(truth) + 1e-8))')} AS smape, {r6('avg(abs(pred - truth))')} AS mae FROM fr",
+)
 def _(spark, d):
-    weights = P.fit_linear_token(train_pairs(spark, d), TOKEN)
+    own = hour_windows(spark, d, only=["train"], seq=SEQ, label=SEQ - 1, pred=1)
+    scale = V.instance_norm("x")
+    scaled = own.withColumn("m", scale["mean"]).withColumn("s", scale["sd"])
+    scaled = scaled.withColumns({c: V.normalise(F.col(c), F.col("m"), F.col("s")) for c in ("x", "y")}).drop("m", "s")
+    weights = P.fit_linear_token(P.supervision_pairs(scaled, SEQ, SEQ - 1, 1), 1)
     model = P.normalised(P.forecaster("linear_token", weights))
-    rows = P.forecast_rows(P.rollout(daily_user_windows(spark, d), model, TOKEN, TOKEN), TOKEN, KEYS)
-    return M.aggregate(rows, rows=F.count(F.lit(1)), smape=M.smape(), mape=M.mape_percent())
+    rows = P.forecast_rows(P.rollout(weekly_supplier_windows(spark, d), model, TOKEN, 1), TOKEN, KEYS)
+    return M.aggregate(rows, rows=F.count(F.lit(1)), smape=M.smape(), mae=M.mae())
 
 
 # ---- anomaly flags -------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions import permute
 from gridcast.functions import vectors as V
+from gridcast.functions.draws import draw_sql
 from gridcast.functions.numbers import clamp_min, unstandardise
 from gridcast.functions.times import day_of
 from gridcast.operators import axis, grid, ragged, scale, split, windows
@@ -471,9 +472,23 @@ def _(spark, d):
     return ragged.prompt_window(order_points(spark, d), S_TOKEN)
 
 
-@query("w23_random_cut_windows")
+CUT_LIMIT = 6
+
+
+@query(
+    "w23_random_cut_windows",
+    f"WITH {PTS}, lows AS (SELECT series, n, greatest(1, n - {CUT_LIMIT}) AS low FROM lens), "
+    f"cuts AS (SELECT series, n, low + {draw_sql(SHUFFLE_SEED, 'series')} % greatest(n - low, 1) AS cut FROM lows), "
+    f"got AS (SELECT c.series, c.n, c.cut, coalesce(list(p.y ORDER BY p.t) FILTER (p.t >= c.cut - {S_SEQ} AND p.t < c.cut), []) AS i, "
+    f"coalesce(list(p.y ORDER BY p.t) FILTER (p.t >= greatest(c.cut - {S_LABEL}, 0) AND p.t < c.cut + {S_PRED}), []) AS o "
+    "FROM cuts c JOIN pts p USING (series) GROUP BY c.series, c.n, c.cut), "
+    f"gaps AS (SELECT *, list_transform(range({S_SEQ} - len(i)), lambda v: 0.0) AS zi, "
+    f"list_transform(range({S_LABEL + S_PRED} - len(o)), lambda v: 0.0) AS zo FROM got) "
+    f"SELECT series, n, cut, {arr('list_concat(zi, i)')} AS insample, {arr('list_concat(zi, list_transform(i, lambda v: 1.0))')} AS insample_mask, "
+    f"{arr('list_concat(o, zo)')} AS outsample, {arr('list_concat(list_transform(o, lambda v: 1.0), zo)')} AS outsample_mask FROM gaps",
+)
 def _(spark, d):
-    return ragged.random_cut_windows(order_points(spark, d), S_SEQ, S_LABEL, S_PRED, limit=6, seed=2021)
+    return ragged.random_cut_windows(order_points(spark, d), S_SEQ, S_LABEL, S_PRED, limit=CUT_LIMIT, seed=SHUFFLE_SEED)
 
 
 @query(

@@ -148,3 +148,41 @@ def test_point_adjust(spark, block, skip_first):
     df = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(zip(gt, pred))], "i long, gt int, pred int")
     out = anomaly.point_adjust(df, "i", block_rows=block, skip_first=skip_first).orderBy("i").collect()
     assert [r["adjusted"] for r in out] == adjust(gt, pred, skip_first)
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [([float(v) for v in 1e5 * rng.normal(size=2)], [float(v) for v in rng.normal(size=2)]) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "token_in array<double>, token_out array<double>")
+    sums = [P.normal_sums(df.repartition(k), 2) for k in (1, 3, 8)]
+    assert sums[0] == sums[1] == sums[2]
+    whole = [[round(v / P.FIT_STEP) for v in a] + [1] + [round(v / P.FIT_STEP) for v in b] for a, b in rows]
+    assert sums[0] == [[sum(r[i] * r[j] for r in whole) for j in range(5)] for i in range(5)]
+    assert P.normal_sums(df.limit(0), 2) == [[0] * 5 for _ in range(5)]
+
+
+@pytest.mark.parametrize("steps", [1, 2, 3, 7, 8])
+def test_powers_of_an_affine_map(steps):
+    rng = np.random.default_rng(steps)
+    w = rng.normal(size=(4, 3)) / 2
+    x, want = rng.normal(size=3), []
+    token = x
+    for _ in range(steps):
+        token = token @ w[:-1] + w[-1]
+        want.append(token)
+    powers = P.affine_powers(w, steps)
+    assert x @ powers[:-1] + powers[-1] == pytest.approx(np.concatenate(want))
+
+
+def test_scaled_linear_rollout_feeds_back(spark):
+    w = np.array([[0.5, 0.1], [0.2, 0.7], [0.3, -0.1]])
+    df = spark.createDataFrame([([1.0, 4.0, 2.0, 8.0, 5.0],), ([0.0, 0.0, 0.0, 0.0, 1.0],)], "x array<double>")
+    got = [r["forecast"] for r in P.rollout(df, P.normalised(P.linear_token(w)), 5, 2).collect()]
+    for x, forecast in zip(([1.0, 4.0, 2.0, 8.0, 5.0], [0.0, 0.0, 0.0, 0.0, 1.0]), got, strict=True):
+        state, want = np.array(x), []
+        for _ in range(3):
+            mean, sd = state.mean(), np.sqrt(state.var() + 1e-5)
+            token = (((state[-2:] - mean) / sd) @ w[:-1] + w[-1]) * sd + mean
+            want += list(token)
+            state = np.concatenate([state[2:], token])
+        assert forecast == pytest.approx(want[:5])

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check_oracle import compare, connect
+from gridcast import queries
 
 # A spread over all groups; check_oracle.py runs every query.
 CHECKED = """
@@ -14,13 +15,15 @@ curation_clean_table curation_filtered_readings j02_weather_station_id j04_dupli
 j09_time_and_weather_marks w06_carried_fill w09_contiguous_windows w11_lookback_split w13_per_series_windows
 w16_windows w25_prompt_window w26_point_adjust s05_format_dispatch s07_tsf_scan s09_matrix_scan s19_metric_log
 m07_step_correlation m13_masked_mase t03_many_horizons t05_in_context_task t11_supervision_pairs t12_token_losses
+t07_linear_forecaster t04_zero_shot_task j11_target_domain_swap o06_shuffled_batches w23_random_cut_windows w14_contiguous_sample_split
 """.split()
 
 
 def test_registry():
     names, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(names) and set(CHECKED) <= set(sql)
-    assert len(names) - len(sql) <= 5
+    # Every query of the library itself has SQL; those of the optional subpackage are counted in its own tests.
+    assert set(queries.QUERIES) == set(queries.SQL)
 
 
 def test_entry(spark):
@@ -34,9 +37,3 @@ def test_against_sql(spark, data, name):
     assert compare(ours, theirs) == "ok"
 
 
-@pytest.mark.parametrize(
-    "name", ["t07_linear_forecaster", "t04_zero_shot_task", "j11_target_domain_swap", "a23_mark_ablation"]
-)
-def test_fitted_queries_give_finite_numbers(spark, data, name):
-    (row,) = entry_module.queries()[name](spark, data).collect()
-    assert all(v is not None and abs(v) < 1e9 for v in row)
