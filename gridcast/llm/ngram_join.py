@@ -29,7 +29,7 @@ from gridcast.llm.words import WordHashes, shingles, words
 
 GROUPS = 64
 # A leaf of a tree holds at most so many documents and bytes of shingles.
-LEAF_ROWS, LEAF_BYTES = 128, 512 * 1024
+LEAF_ROWS, LEAF_BYTES = 128, 1024 * 1024
 # Rows with whole sets that a worker takes at a time, as sets of long texts are large.
 WHOLE_SETS = 16
 # Buckets of at most so many documents give their pairs; larger ones are trees.

@@ -46,9 +46,6 @@ def small_side(settled: DataFrame, values: Column | None = None) -> DataFrame:
     return F.broadcast(settled) if held <= BROADCAST_VALUES else settled
 
 
-# glibc: arrays over so many bytes lie in pages of their own, which go back when they are freed.
-OWN_PAGES = 1 << 18
-M_MMAP_THRESHOLD = -3
 _libc: list[ctypes.CDLL | None] = []
 
 
@@ -57,10 +54,10 @@ def give_back() -> None:
     if not _libc:
         try:
             found = ctypes.CDLL("libc.so.6")
-            found.mallopt(M_MMAP_THRESHOLD, OWN_PAGES)
+            found.malloc_trim(0)
             _libc.append(found)
         except (OSError, AttributeError):
-            # Other C libraries have no such calls; memory then goes back as they see fit.
+            # Other C libraries have no such call; memory then goes back as they see fit.
             _libc.append(None)
     pa.default_memory_pool().release_unused()
     if _libc[0] is not None:
@@ -76,7 +73,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-        give_back()
+        pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "2m") -> None:
