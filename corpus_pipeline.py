@@ -13,7 +13,7 @@ from gridcast.llm import bpe, mixing, ngram_join, quality_fm, spans
 from gridcast.llm.store import settle, small_batches
 
 # Entries of a worker's memo in the last stage, which shares its executor with what the others left in the heap.
-MEMO = 60_000
+MEMO = 100_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
