@@ -12,11 +12,13 @@ from gridcast.operators import anomaly, grid, ragged, split, windows
 from gridcast.operators import fill as fills
 from gridcast.plans import forecasting as P
 from gridcast.plans import metrics as M
+from gridcast.plans import naive2
 from gridcast.queries.base import SHIP, arr, filled_sql, query, r6
 from gridcast.queries.slicing import (
     FILLED,
     LABEL,
     LAST,
+    N_TEST,
     N_TRAIN,
     N_VAL,
     PRED,
@@ -217,6 +219,80 @@ def _(spark, d):
     return M.pattern_summary(masked_rows(spark, d))
 
 
+# The last two points of each series with more than a season before them, against two forecasts of the rest.
+SEASON, AHEAD = 4, 2
+OWA_ROWS = (
+    f"{PTS}, ins AS (SELECT series, n - {AHEAD} AS n, list(y ORDER BY t)[1 : n - {AHEAD}] AS w, list(y ORDER BY t)[n - {AHEAD - 1} :] AS f FROM sized "
+    f"WHERE n > {AHEAD + SEASON} GROUP BY series, n), "
+    "mu AS (SELECT *, list_sum(w) / n AS mu FROM ins), "
+    + "lagged AS (SELECT *, "
+    + ", ".join(f"list_sum(list_transform(range(1, n - {k} + 1), lambda i: (w[i] - mu) * (w[i + {k}] - mu))) AS c{k}" for k in range(SEASON + 1))
+    + f", list_sum(list_transform(range(1, n - {SEASON} + 1), lambda i: abs(w[i + {SEASON}] - w[i]))) / (n - {SEASON}) AS scale FROM mu), "
+    + f"tested AS (SELECT *, coalesce(list_min(w) > 0 AND n >= {3 * SEASON} AND abs(c{SEASON} / c0) > 1.645 * sqrt((1 + 2 * ("
+    + " + ".join(f"power(c{k} / c0, 2)" for k in range(1, SEASON))
+    + ")) / n), false) AS seasonal FROM lagged), "
+    "ratios AS (SELECT series, (i + 1) % 4 AS place, w[i + 2] / ((0.5 * w[i] + w[i + 1] + w[i + 2] + w[i + 3] + 0.5 * w[i + 4]) / 4) AS ratio "
+    "FROM (SELECT series, w, unnest(range(1, n - 3)) AS i FROM tested WHERE seasonal)), "
+    "places AS (SELECT series, place, avg(ratio) AS ratio FROM ratios GROUP BY series, place), "
+    "idx AS (SELECT series, place, ratio / avg(ratio) OVER (PARTITION BY series) AS v FROM places), "
+    f"cells AS (SELECT t.*, unnest(range({AHEAD})) AS step FROM tested t), "
+    "owa_rows AS (SELECT c.series, CASE WHEN c.n < 7 THEN 'short' WHEN c.n < 12 THEN 'middle' ELSE 'long' END AS pattern, c.f[c.step + 1] AS truth, "
+    "c.w[c.n] AS plain, CASE WHEN seasonal THEN c.w[c.n] / a.v * b.v ELSE c.w[c.n] END AS naive, 1.0 AS mask, c.scale "
+    f"FROM cells c LEFT JOIN idx a ON a.series = c.series AND a.place = (c.n - 1) % {SEASON} LEFT JOIN idx b ON b.series = c.series AND b.place = (c.n + c.step) % {SEASON})"
+)
+
+
+def _owa_part(pred: str, name: str) -> str:
+    fields = {m: e.replace("pred", pred) for m, e in MASKED.items()}
+    return (
+        f"{name} AS (SELECT pattern, count(DISTINCT series) AS series_count, {fields['smape']} AS smape, 100 * {fields['mape']} AS mape, "
+        f"{fields['mase']} AS mase FROM owa_rows GROUP BY pattern)"
+    )
+
+
+OWA_ALL = (
+    f"{OWA_ROWS}, {_owa_part('plain', 'mine')}, {_owa_part('naive', 'bench')}, "
+    "both_p AS (SELECT m.*, (m.smape / b.smape + m.mase / b.mase) / 2 AS owa FROM mine m JOIN bench b USING (pattern))"
+)
+
+
+def owa_tables(spark, d):
+    """Rows of the forecast by the last value, and of the benchmark, beside the last points of each series."""
+    points = order_points(spark, d).where(F.col("n") > AHEAD + SEASON)
+    past = naive2.insample(points, AHEAD)
+    truth = points.where(F.col("t") >= F.col("n") - AHEAD).select(
+        ragged.KEY, (F.col("t") - F.col("n") + AHEAD).cast("int").alias("step"), F.col("y").alias("true"), (F.col("n") - AHEAD).alias("n")
+    )
+    pattern = F.when(F.col("n") < 7, "short").when(F.col("n") < 12, "middle").otherwise("long")
+    rows = truth.join(naive2.seasonal_scales(past, SEASON), ragged.KEY).withColumns({"pattern": pattern, "mask": F.lit(1.0)})
+    last = past.where(F.col("t") == F.col("n") - 1).select(ragged.KEY, F.col("y").alias("pred"))
+    return rows.join(last, ragged.KEY), rows.join(naive2.naive2(past, SEASON, AHEAD), [ragged.KEY, "step"])
+
+
+@query(
+    "m15_weighted_average",
+    f"WITH {OWA_ALL} SELECT pattern, series_count, {r6('smape')} AS smape, {r6('mape')} AS mape, {r6('mase')} AS mase, {r6('owa')} AS owa FROM both_p "
+    "UNION ALL SELECT 'Average', CAST(sum(series_count) AS BIGINT), "
+    + ", ".join(r6(f"sum({m} * series_count) / sum(series_count)") for m in ("smape", "mape", "mase", "owa"))
+    + " FROM both_p",
+)
+def _(spark, d):
+    plain, bench = owa_tables(spark, d)
+    naive = M.aggregate(bench, ["pattern"], smape=M.masked_smape(), mase=M.masked_mase())
+    return M.pattern_summary(plain, naive)
+
+
+@query(
+    "t08_seasonal_benchmark",
+    f"WITH {OWA_ROWS} SELECT c.series, CAST(c.step AS INTEGER) AS step, "
+    f"round(CASE WHEN seasonal THEN c.w[c.n] / a.v * b.v ELSE c.w[c.n] END, 6) AS pred "
+    f"FROM cells c LEFT JOIN idx a ON a.series = c.series AND a.place = (c.n - 1) % {SEASON} LEFT JOIN idx b ON b.series = c.series AND b.place = (c.n + c.step) % {SEASON}",
+)
+def _(spark, d):
+    points = order_points(spark, d).where(F.col("n") > AHEAD + SEASON)
+    return naive2.naive2(naive2.insample(points, AHEAD), SEASON, AHEAD)
+
+
 @query(
     "m14_accuracy",
     f"SELECT {r6('avg(CAST(((value > 100) = (user_id < 50)) AS INTEGER))')} AS accuracy FROM events",
@@ -352,6 +428,78 @@ def _(spark, d):
     return P.rollout(test_windows(spark, d), model, TOKEN, TOKEN).select(*KEYS, "forecast")
 
 
+# ---- rollouts that feed back -----------------------------------------------------
+
+# Quarter-hours; four tokens of a day one after the other, from windows of a week.
+L_SEQ, L_LABEL, L_TOKEN, L_STEPS = 672, 576, 96, 4
+L_PRED = L_TOKEN * L_STEPS
+DAMP, LEVEL = 0.9, 5.0
+QUARTERS = (
+    "q_h AS (SELECT to_timestamp(CAST(floor(epoch(ts) / 900) * 900 AS BIGINT))::TIMESTAMP AS datetime, event_type AS station, value AS target FROM events), "
+    "q_ext AS (SELECT min(datetime) AS lo, max(datetime) AS hi FROM q_h), "
+    "q_mean AS (SELECT station, datetime, avg(target) AS target FROM q_h GROUP BY station, datetime), "
+    "q_grid AS (SELECT s.station, CAST(date_diff('minute', e.lo, a.datetime) // 15 AS BIGINT) AS t, a.datetime, m.target FROM (SELECT DISTINCT station FROM q_h) s "
+    "CROSS JOIN (SELECT unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS datetime FROM q_ext) a CROSS JOIN q_ext e "
+    "LEFT JOIN q_mean m ON m.station = s.station AND m.datetime = a.datetime), "
+    f"{filled_sql('q_grid', 'q_fill')}, q_size AS (SELECT max(t) + 1 AS n FROM q_fill), "
+    f"q_b AS (SELECT 'test' AS split, n - {N_TEST} - {L_SEQ} AS b1, n AS b2 FROM q_size), {starts_sql(L_SEQ + L_PRED, 'q_fill', 'q_b')}, "
+    f"{windows_sql(L_SEQ, L_LABEL, L_PRED, 'q_fill', 'tw')}"
+)
+
+
+def week_windows(spark, d):
+    """Test windows of a week, which reach back by one lookback."""
+    r = E.type_readings(spark, d, 900)
+    limits = grid.extent_of(r)
+    table = fills.fill_linear(grid.regular_grid(r, 900, limits=limits, carry=True))
+    return windows.windows(table, L_SEQ, L_LABEL, L_PRED, split.lookback_ranges(limits.steps(900), L_SEQ).only("test"))
+
+
+def damped_model():
+    """Each point is a share of the one a day before plus a constant."""
+    return P.forecaster("linear_token", [*(DAMP * np.eye(L_TOKEN)).tolist(), [LEVEL] * L_TOKEN])
+
+
+DAMPED = (
+    f"roll AS (SELECT station, s_begin, y, 0 AS k, x[{L_SEQ - L_TOKEN + 1}:] AS token, CAST([] AS DOUBLE[]) AS forecast FROM tw UNION ALL "
+    "SELECT station, s_begin, y, k + 1, next, list_concat(forecast, next) FROM (SELECT *, list_transform(token, lambda v: v * "
+    f"{DAMP} + {LEVEL}) AS next FROM roll WHERE k < {L_STEPS}) q)"
+)
+
+
+@query(
+    "t01_fed_back_rollout",
+    f"WITH RECURSIVE {QUARTERS}, {DAMPED} SELECT station, s_begin, {arr('list_transform(forecast, lambda v: round(v, 9))')} AS forecast FROM roll WHERE k = {L_STEPS}",
+)
+def _(spark, d):
+    out = P.rollout(week_windows(spark, d), damped_model(), L_PRED, L_TOKEN)
+    # The noise of two ways to multiply must not decide how a half is rounded in the digest.
+    return out.select(*KEYS, F.transform("forecast", lambda v: F.round(v, 9)).alias("forecast"))
+
+
+@query(
+    "t03_fed_back_horizons",
+    f"WITH RECURSIVE {QUARTERS}, {DAMPED}, cells AS (SELECT forecast, y, unnest(range({L_PRED})) AS step FROM roll WHERE k = {L_STEPS}), "
+    f"fr AS (SELECT step, forecast[step + 1] AS pred, y[{L_LABEL} + step + 1] AS truth FROM cells) "
+    f"SELECT CAST(h.h AS INTEGER) AS horizon, count(*) AS rows, {r6('avg(abs(pred - truth))')} AS mae, {r6('avg((pred - truth) * (pred - truth))')} AS mse "
+    f"FROM fr JOIN (SELECT unnest([{', '.join(str(L_TOKEN * k) for k in range(1, L_STEPS + 1))}]) AS h) h ON fr.step < h.h GROUP BY h.h",
+)
+def _(spark, d):
+    horizons = [L_TOKEN * k for k in range(1, L_STEPS + 1)]
+    return P.evaluate_horizons(week_windows(spark, d), damped_model(), horizons, L_TOKEN, KEYS)
+
+
+@query(
+    "t09_fed_back_user_forecaster",
+    f"WITH RECURSIVE {QUARTERS}, roll AS (SELECT station, s_begin, 0 AS k, x, CAST([] AS DOUBLE[]) AS forecast FROM tw UNION ALL "
+    f"SELECT station, s_begin, k + 1, list_concat(x[{L_TOKEN + 1}:], next), list_concat(forecast, next) FROM (SELECT *, list_transform(range({L_TOKEN}), lambda i: m) AS next FROM "
+    f"(SELECT *, list_sum(x) / len(x) AS m FROM roll WHERE k < {L_STEPS}) q) q) SELECT station, s_begin, {arr('forecast')} AS forecast FROM roll WHERE k = {L_STEPS}",
+)
+def _(spark, d):
+    model = P.forecaster("lookback_mean", L_TOKEN)
+    return P.rollout(week_windows(spark, d), model, L_PRED, L_TOKEN).select(*KEYS, "forecast")
+
+
 # ---- fitted forecaster ---------------------------------------------------------
 
 SHIFT = SEQ - TOKEN
