@@ -532,3 +532,40 @@ LIMIT = CLEAN_RULES.limit
 )
 def _(spark, d):
     return plan.build_clean(E.user_readings(spark, d), CLEAN_RULES)
+
+
+# Thresholds that separate the synthetic users and days.
+WHOLE_RULES = plan.Rules(station_threshold=0.25, date_threshold=0.45, min_history=40, step_seconds=HOUR, limit=24)
+
+
+@query(
+    "curation_end_to_end",
+    f"WITH {USER_H}, {facts_sql('user_h')}, {dates_sql()}, {stations_sql()}, "
+    f"bad_s AS (SELECT station FROM by_station WHERE avg_daily_missing_rate > {WHOLE_RULES.station_threshold} OR avg_daily_missing_rate >= 0.999999), "
+    f"bad_d AS (SELECT date FROM by_date WHERE pct_stations_missing > {WHOLE_RULES.date_threshold}), "
+    "kept AS (SELECT * FROM user_h WHERE station NOT IN (FROM bad_s) AND CAST(datetime AS DATE) NOT IN (FROM bad_d)), "
+    "filt AS (SELECT * FROM kept WHERE station IN (SELECT station FROM kept GROUP BY station HAVING count(target) > 0)), "
+    f"{ids_sql('filt')}, enough AS (SELECT station FROM filt GROUP BY station HAVING count(target) >= {WHOLE_RULES.min_history}), "
+    "w_ext AS (SELECT min(datetime) AS lo, max(datetime) AS hi FROM filt), "
+    "w_mean AS (SELECT station, datetime, avg(target) AS target FROM filt GROUP BY station, datetime), "
+    "grid AS (SELECT s.station, CAST(date_diff('hour', e.lo, a.datetime) AS BIGINT) AS t, a.datetime, m.target FROM enough s "
+    "CROSS JOIN (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS datetime FROM w_ext) a CROSS JOIN w_ext e "
+    "LEFT JOIN w_mean m ON m.station = s.station AND m.datetime = a.datetime), "
+    f"{near_sql('grid')}, lim AS (SELECT *, CASE WHEN t - pt <= {LIMIT} OR nt - t <= {LIMIT} THEN {LINEAR} END AS l FROM near), "
+    "carried AS (SELECT *, coalesce(last_value(l IGNORE NULLS) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    "first_value(l IGNORE NULLS) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y, "
+    "CAST(datetime AS DATE) AS date FROM lim), present AS (SELECT date FROM carried GROUP BY date HAVING count(target) > 0) "
+    "SELECT c.station, ids.station_id, count(DISTINCT c.date) AS days, count(*) AS points, "
+    f"CAST(count(*) FILTER (c.target IS NULL) AS BIGINT) AS missing, {r6('avg(y)')} AS mean, {r6('min(y)')} AS low, {r6('max(y)')} AS high "
+    "FROM carried c JOIN ids USING (station) WHERE c.date IN (SELECT date FROM present) GROUP BY c.station, ids.station_id",
+)
+def _(spark, d):
+    table = plan.curate(E.user_readings(spark, d), WHOLE_RULES).clean
+    return table.groupBy("station", "station_id").agg(
+        F.countDistinct("date").alias("days"),
+        F.count(F.lit(1)).alias("points"),
+        F.sum(F.col("miss_target").cast("long")).alias("missing"),
+        F.avg("target").alias("mean"),
+        F.min("target").alias("low"),
+        F.max("target").alias("high"),
+    )

@@ -6,18 +6,24 @@ from pyspark.sql import functions as F
 
 from gridcast.functions import vectors as V
 from gridcast.operators import axis, grid, marks
+from gridcast.plans import dataset
 from gridcast.plans import forecasting as P
-from gridcast.queries.base import arr, query, r6
+from gridcast.queries.base import arr, filled_sql, query, r6
 from gridcast.queries.slicing import (
+    EVERY_WINDOW,
     HOUR,
     LABEL,
+    N_TRAIN,
     PRED,
     SEQ,
-    EVERY_WINDOW,
     TOKEN,
+    bounds_sql,
     every_window,
+    starts_sql,
+    windows_sql,
 )
 from gridcast.sources import events as E
+from gridcast.staging import settle
 
 MARK_DIM = 64
 
@@ -149,6 +155,54 @@ def _(spark, d):
     return w.select("station", "s_begin", marks.feed_future_mark(F.col("x_mark"), F.col("y_mark"), 1).alias("x_mark"))
 
 
+# ---- the whole dataset of many stations in one query -----------------------------
+
+Q_SEQ, Q_LABEL, Q_PRED, Q_TOKEN, QUARTER = 16, 8, 8, 8, 900
+MANY = (
+    "sparse AS (SELECT to_timestamp(CAST(floor(epoch(ts) / 900) * 900 AS BIGINT))::TIMESTAMP AS datetime, event_type AS station, value AS target FROM events), "
+    "ax AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS t FROM (SELECT DISTINCT datetime FROM sparse)), "
+    "m_mean AS (SELECT station, datetime, avg(target) AS target FROM sparse GROUP BY station, datetime), "
+    "m_grid AS (SELECT s.station, CAST(ax.t AS BIGINT) AS t, ax.datetime, m.target FROM (SELECT DISTINCT station FROM sparse) s CROSS JOIN ax "
+    "LEFT JOIN m_mean m ON m.station = s.station AND m.datetime = ax.datetime), "
+    f"{filled_sql('m_grid', 'raw')}, size AS (SELECT count(*) AS n FROM ax), "
+    f"par AS (SELECT station, avg(target) AS mu, greatest(stddev_pop(target), 1e-6) AS sd FROM raw, size WHERE t < {N_TRAIN} GROUP BY station), "
+    "filled AS (SELECT r.station, r.t, (r.target - p.mu) / p.sd AS target FROM raw r JOIN par p USING (station)), "
+    "br AS (SELECT t, CASE WHEN t > 0 AND datetime - lag(datetime) OVER (ORDER BY t) <> INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS b FROM ax), "
+    "pre AS (SELECT t, sum(b) OVER (ORDER BY t) AS p FROM br), "
+    f"ok AS (SELECT a.t FROM pre a JOIN pre z ON z.t = a.t + {Q_SEQ + Q_PRED - 1} WHERE a.p = z.p), "
+    f"{bounds_sql()}, {starts_sql(Q_SEQ + Q_PRED, name='all_starts')}, starts AS (SELECT s.* FROM all_starts s JOIN ok ON ok.t = s.s_begin), "
+    f"{windows_sql(Q_SEQ, Q_LABEL, Q_PRED)}, {VEC}"
+)
+
+
+def _both_sql(lo: str, n: int) -> str:
+    """Marks of the axis with the station's own appended, token by token, in one list."""
+    return (
+        "(SELECT flatten(list(list_concat(m.emb, k.emb) ORDER BY m.t)) FROM marks m JOIN wmarks k ON k.t = m.t AND k.station = w.station "
+        f"WHERE m.t >= {lo} AND m.t < {lo} + {n} AND (m.t - ({lo})) % {Q_TOKEN} = 0)"
+    )
+
+
+@query(
+    "multistation_windows",
+    f"WITH {MANY} SELECT station, split, s_begin, {arr('list_transform(x, lambda q: round(q, 9))')} AS x, {arr('list_transform(y, lambda q: round(q, 9))')} AS y, "
+    f"{arr(_both_sql('w.s_begin', Q_SEQ))} AS x_mark, {arr(_both_sql(f'w.s_begin + {Q_SEQ}', Q_PRED))} AS y_mark FROM win w",
+)
+def _(spark, d):
+    r = E.type_readings(spark, d, QUARTER)
+    ax = settle(axis.time_axis(r))
+    vectors = E.embedding_marks(spark, d)
+    n = vectors.agg(F.count(F.lit(1))).scalar()
+    of = vectors.select(F.col("t").alias("_v"), "emb")
+    timed = ax.select("t", n.alias("_n")).withColumn("_v", F.col("t") % F.col("_n")).join(of, "_v").select("t", "emb")
+    stations = axis.station_dimension(r).select("station", "station_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.axis_length(ax) - 1).cast("long"))).alias("t"))
+    slots = stations.withColumn("_n", n)
+    own = slots.withColumn("_v", (F.col("t") + 7 * (F.col("station_id") + 1)) % F.col("_n")).join(of, "_v").select("station", "t", "emb")
+    out = dataset.multistation_windows(r, timed, own, Q_SEQ, Q_LABEL, Q_PRED, Q_TOKEN, QUARTER, ax)
+    # The noise of sums in another order must not decide how a half is rounded in the digest.
+    return out.withColumns({c: F.transform(c, lambda v: F.round(v, 9)) for c in ("x", "y")})
+
+
 NORM = "sqrt(list_sum(list_transform({v}, lambda q: CAST(q AS DOUBLE) * CAST(q AS DOUBLE))))"
 
 

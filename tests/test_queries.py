@@ -16,6 +16,7 @@ j09_time_and_weather_marks w06_carried_fill w09_contiguous_windows w11_lookback_
 w16_windows w25_prompt_window w26_point_adjust s05_format_dispatch s07_tsf_scan s09_matrix_scan s19_metric_log
 m07_step_correlation m13_masked_mase t03_many_horizons t05_in_context_task t11_supervision_pairs t12_token_losses
 t07_linear_forecaster t04_zero_shot_task j11_target_domain_swap o06_shuffled_batches w23_random_cut_windows w14_contiguous_sample_split
+multistation_windows curation_end_to_end m15_weighted_average t03_fed_back_horizons
 """.split()
 
 
