@@ -195,15 +195,20 @@ def with_label_tail(pairs: DataFrame, label_len: int) -> DataFrame:
 
 
 def unequal_lengths(pairs: DataFrame) -> DataFrame:
-    """Counts of samples whose arrays are absent or not of the common length."""
-    nx, ny = F.size("x"), F.size("y")
-    sizes = pairs.agg(F.max(nx).alias("nx"), F.max(ny).alias("ny"))
-    tagged = pairs.withColumn("_nx", sizes.select("nx").scalar()).withColumn("_ny", sizes.select("ny").scalar())
-    return tagged.agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.count_if(F.coalesce(nx != F.col("_nx"), F.lit(True))).alias("bad_x"),
-        F.count_if(F.coalesce(ny != F.col("_ny"), F.lit(True))).alias("bad_y"),
-        F.count_if(F.col("station_id").isNull()).alias("bad_station"),
+    """Counts of samples whose arrays are absent or not of the common length, the longest there is; one scan."""
+    sizes = pairs.groupBy(F.size("x").alias("nx"), F.size("y").alias("ny"), F.col("station_id").isNull().alias("lost")).agg(F.count(F.lit(1)).alias("n"))
+    # One row for each combination of lengths.
+    kinds = sizes.agg(F.collect_list(F.struct("nx", "ny", "lost", "n")).alias("k"))
+
+    def of(column: str):
+        top = F.array_max(F.transform("k", lambda r: F.coalesce(r[column], F.lit(-1))))
+        return total(lambda r: F.coalesce(r[column], F.lit(-1)) != F.when(top >= 0, top).otherwise(F.lit(-2)))
+
+    def total(keep):
+        return F.aggregate(F.filter("k", keep), F.lit(0).cast("long"), lambda s, r: s + r["n"])
+
+    return kinds.select(
+        total(lambda r: F.lit(True)).alias("samples"), of("nx").alias("bad_x"), of("ny").alias("bad_y"), total(lambda r: r["lost"]).alias("bad_station")
     )
 
 

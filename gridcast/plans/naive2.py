@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.operators.ragged import KEY
-from gridcast.operators.windows import series_blocks
+from gridcast.operators.windows import BLOCK_POINTS, series_blocks
 
 # Normal quantile of the 90 % test, and the least number of seasons that is tested.
 LEVEL, SEASONS = 1.645, 3
@@ -30,12 +30,10 @@ def seasonal_scales(points: DataFrame, season: int) -> DataFrame:
 
 def _spans(points: DataFrame, season: int) -> DataFrame:
     """One row for each point with itself and the ``season`` points behind it, as far as there are any."""
-    blocks = series_blocks(points, season, [KEY, "n"], value="y")
-    own = F.least(F.size("points").cast("long"), F.col("n") - F.col("base"))
-    size = F.size("points") - season
-    inside = F.least(own, F.greatest(size.cast("long"), F.when(F.col("base") + F.size("points") == F.col("n"), own).otherwise(size)))
-    at = F.explode(F.sequence(F.lit(0).cast("long"), inside - 1)).alias("i")
-    opened = blocks.where(inside > 0).select(KEY, "n", "base", "points", at)
+    blocks = series_blocks(points, season, [KEY, "n"], value="y", block_points=BLOCK_POINTS)
+    own = F.least(F.lit(BLOCK_POINTS).cast("long"), F.col("n") - F.col("base"))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), own - 1)).alias("i")
+    opened = blocks.select(KEY, "n", "base", "points", at)
     span = F.slice("points", (F.col("i") + 1).cast("int"), F.lit(season + 1))
     return opened.select(KEY, "n", (F.col("base") + F.col("i")).alias("t"), span.alias("w"))
 

@@ -280,6 +280,18 @@ def _(spark, d):
     return L.read_long(spark, [path], pattern="*.csv")
 
 
+@query("s14_append_once", f"WITH {TYPE_H}, {USER_H} SELECT {LONG} FROM (SELECT * FROM type_h UNION ALL SELECT * FROM user_h)")
+def _(spark, d):
+    path = scratch(spark) + "/batches"
+    sinks.append_batch(E.type_readings(spark, d), path, "types")
+    # An attempt that failed before it was committed, and repeats of both.
+    sinks.write_table(E.user_readings(spark, d).limit(10), f"{path}/batch=users")
+    for _attempt in range(2):
+        sinks.append_batch(E.user_readings(spark, d), path, "users")
+        sinks.append_batch(E.type_readings(spark, d), path, "types")
+    return sinks.read_batches(spark, path, "datetime timestamp_ntz, station string, target double")
+
+
 @query("s15_partitioned_sink", f"WITH {TYPE_H} SELECT CAST(year(datetime) AS INTEGER) AS fy, station, count(*) AS rows, {r6('sum(target)')} AS total FROM type_h GROUP BY ALL")
 def _(spark, d):
     path = scratch(spark) + "/by_station"

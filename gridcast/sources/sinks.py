@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,41 @@ def append_readings(readings: DataFrame, path: str, fmt: str = "csv") -> None:
     write_table(readings, path, fmt, mode="append")
 
 
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Batches of an append table that are complete: one small row each, in a hidden folder of the table."""
+    try:
+        return sorted(r["batch"] for r in spark.read.schema("batch string").json(f"{path}/_committed").distinct().collect())
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return []
+
+
+def append_batch(readings: DataFrame, path: str, batch: str, fmt: str = "parquet") -> bool:
+    """Adds a batch once: whether it was written now.
+
+    A batch has a folder of its own.  What a failed attempt left there is replaced, and a batch that is
+    committed is not written again, so an append may be repeated after any failure.
+    """
+    spark = readings.sparkSession
+    if not re.fullmatch(r"[A-Za-z0-9.-]+", batch):
+        raise ValueError(f"not a name for a batch: {batch!r}")
+    if batch in committed(spark, path):
+        return False
+    write_table(readings, f"{path}/batch={batch}", fmt, mode="overwrite")
+    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").json(f"{path}/_committed")
+    return True
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """Rows of the committed batches of an append table; those of unfinished ones are not seen."""
+    reader = spark.read.schema(schema).format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    folders = [f"{path}/batch={b}" for b in committed(spark, path)]
+    return reader.load(folders) if folders else spark.createDataFrame([], schema)
+
+
 def write_sorted(readings: DataFrame, path: str, fmt: str = "parquet") -> None:
     write_table(canonical_sort(readings), path, fmt)
 
