@@ -31,11 +31,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(vec_id, label, v): vectors with an id and a label, not empty, not zero, all components finite."""
+    """(vec_id, label, v): vectors with an id and a label, not empty, not zero, all components finite.
+
+    Each is scaled by a power of two, which changes no cosine, to a largest magnitude from 1 to 2, so that no
+    norm or product over- or underflows.
+    """
     v = F.col(vector_col).cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     kept = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
-    return kept.where("vec_id is not null and label is not null and v is not null and size(v) > 0").where(ok)
+    good = kept.where("vec_id is not null and label is not null and v is not null and size(v) > 0").where(ok)
+    most = F.array_max(F.transform("v", F.abs))
+    # In two factors, as a single one may lie beyond the range of doubles.
+    shift = -F.floor(F.log2(most)).cast("double")
+    one, two = F.pow(F.lit(2.0), F.floor(F.col("_s") / 2)), F.pow(F.lit(2.0), F.col("_s") - F.floor(F.col("_s") / 2))
+    return good.withColumn("_s", shift).select("vec_id", "label", F.transform("v", lambda x: x * one * two).alias("v"))
 
 
 def axes(unit: DataFrame) -> dict[int, np.ndarray]:

@@ -68,6 +68,16 @@ def test_vectors_against_all_pairs(spark):
     assert len(links) > 50
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e-200, 0.0, 1e-200]), (2, [5e-324, 0.0, 5e-324]), (3, [1e200, 0.0, 1e200]), (4, [1e200, 0.0, 1.01e200])]
+    rows += [(5, [1.7e308, 1.7e308, 0.0]), (6, [3.0, 3.0, 0.0]), (7, [0.0, 1.0, -1.0]), (None, [1.0, 0.0, 1.0]), (8, [2.0, 0.0, 2.0]), (8, [2.0, 0.0, 2.0])]
+    frame = spark.createDataFrame([(*r, 0, "x", "y") for r in rows], "vec_id long, embedding array<double>, label int, rep string, v string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(frame, 0.93).collect()}
+    alike = {i: (4, 1) for i in (1, 2, 3, 4, 8)}
+    assert got == {**alike, 5: (1, 5), 6: (1, 5), 7: (0, 7), None: (0, None)}
+    assert near_vectors.near_duplicates(frame.limit(0), 0.93).collect() == []
+
+
 def test_bound_never_drops_a_pair():
     rng = np.random.default_rng(2)
     a = rng.normal(size=(80, 24)) * np.linspace(2, 0.1, 24)
