@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.llm import bpe, imatch, langid, licenses, mixing, near_vectors, ngram_join, pieces, quality_fm, sharding, spans, variants, whitening
+from gridcast.llm.store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,7 +159,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_lookup_sharding")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    placed = sharding.place(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    sharding.write(docs, path)
+    placed = sharding.read(spark, path, docs.schema)
     return placed.select("doc_id", "slot", "shard", F.octet_length("text").cast("long").alias("n_bytes"))
 
 

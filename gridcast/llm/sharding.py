@@ -8,10 +8,12 @@ table tells.  When shards come or go, most slots keep their shard.
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 SIZE = 65_537
+FILE_BYTES = 128 * 1024 * 1024
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
@@ -50,8 +52,28 @@ def place(docs: DataFrame, shards: list[str] | tuple[str, ...] = SHARDS, key_col
     return slotted.join(F.broadcast(table), "slot", "left").select(*docs.drop("slot", "shard").columns, "slot", "shard")
 
 
-def write(docs: DataFrame, path: str, shards: list[str] | tuple[str, ...] = SHARDS, key_col: str = "doc_id", files: int = 4, size: int = SIZE) -> None:
-    """Writes one folder for each shard; a shard is dealt out to ``files`` tasks by a second hash, so that none is large."""
+def write(
+    docs: DataFrame, path: str, shards: list[str] | tuple[str, ...] = SHARDS, key_col: str = "doc_id", file_bytes: int = FILE_BYTES, size: int = SIZE
+) -> None:
+    """Writes one folder for each shard, in files of about ``file_bytes`` of text and binary data each.
+
+    The bytes of each shard are measured first (one number for each shard).  Rows are dealt out to a shard's
+    files by their place in the input, not by key, so a key that many rows share, null among them, fills
+    many files.  An empty table makes an empty folder; other cases are those of ``place``.
+    """
     placed = place(docs, shards, key_col, size)
-    salt = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.lit("file")), F.lit(files))
-    placed.repartition(len(set(shards)) * files, "shard", salt).write.partitionBy("shard").parquet(path)
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in docs.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    width = F.lit(8 * len(docs.columns)).cast("long")
+    for w in wide:
+        width = width + w
+    files = placed.groupBy("shard").agg(F.greatest(F.ceil(F.sum(width) / file_bytes), F.lit(1)).cast("long").alias("_files")).collect()
+    held = docs.sparkSession.createDataFrame([tuple(r) for r in files], "shard string, _files long")
+    dealt = placed.join(F.broadcast(held), "shard").withColumn("_file", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_files")))
+    tasks = max(1, sum(r["_files"] for r in files))
+    dealt.repartition(tasks, "shard", "_file").drop("_files", "_file").write.partitionBy("shard").parquet(path)
+
+
+def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all shards; ``schema`` is that of the documents written."""
+    fields = [f for f in schema.fields if f.name not in ("slot", "shard")]
+    return spark.read.schema(StructType(fields).add("slot", "integer").add("shard", "string")).parquet(path)

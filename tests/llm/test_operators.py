@@ -8,6 +8,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
+from pyspark.sql import functions as F
 
 from gridcast.llm import bpe, graph, imatch, langid, licenses, mixing, near_vectors, ngram_join, quality_fm, sharding, spans
 
@@ -363,11 +365,34 @@ def test_table_is_even_and_steady():
     assert moved < 0.05 * len(before)
 
 
+def test_slots_are_filled_in_turns():
+    names, size = ["b", "a", "c"], 101
+    wishes = {}
+    for n in names:
+        at, skip = xxhash.xxh3_64_intdigest(n, seed=1) % size, xxhash.xxh3_64_intdigest(n, seed=2) % (size - 1) + 1
+        wishes[n] = [(at + i * skip) % size for i in range(size)]
+        assert sorted(wishes[n]) == list(range(size))
+    table, turn = {}, 0
+    while len(table) < size:
+        name = sorted(names)[turn % 3]
+        table[next(s for s in wishes[name] if s not in table)] = name
+        turn += 1
+    assert sharding.fill([*names, "a"], size) == [table[s] for s in range(size)]
+
+
 def test_a_shards_files_hold_its_rows(spark, tmp_path):
-    docs = docs_of(spark, [(i, f"t{i}") for i in range(200)])
-    sharding.write(docs, str(tmp_path / "out"), ["a", "b", "c"], files=2)
-    got = {(r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(r.doc_id, r.shard) for r in sharding.place(docs, ["a", "b", "c"]).collect()}
+    # One key, and the null key, hold a third of all rows each.
+    rows = [(i if i % 3 == 0 else 5 if i % 3 == 1 else None, f"t{i}" * 20) for i in range(600)]
+    docs = docs_of(spark, rows).repartition(3)
+    sharding.write(docs, str(tmp_path / "out"), ["a", "b", "c"], file_bytes=4_000)
+    back = sharding.read(spark, str(tmp_path / "out"), docs.schema)
+    got = sorted((r.doc_id or -1, r.text, r.slot, r.shard) for r in back.collect())
+    assert got == sorted((r.doc_id or -1, r.text, r.slot, r.shard) for r in sharding.place(docs, ["a", "b", "c"]).collect())
+    table, by_hash = sharding.fill(["a", "b", "c"]), docs.select("doc_id", (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(sharding.SIZE))).alias("s"))
+    assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, table[r.s]) for r in by_hash.collect()}
+    sizes = Counter(r.f for r in back.select(F.input_file_name().alias("f")).collect())
+    assert len(sizes) > 8 and max(sizes.values()) < 150
+    sharding.write(docs.limit(0), str(tmp_path / "none"), ["a"])
 
 
 # ---- odd inputs
