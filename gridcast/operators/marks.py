@@ -121,6 +121,13 @@ def attach_marks(
     )
 
 
+def marks_of_blocks(placed: DataFrame, blocks: DataFrame, names: tuple[str, str] = ("x_mark", "y_mark")) -> DataFrame:
+    """Mark arrays of windows that name their ``station``, ``part`` and positions, from stored blocks of the same cut."""
+    joined = placed.join(blocks.hint("merge"), ["station", "part"], "left")
+    picked = {n: F.transform(p, lambda i: F.get("marks", (i - F.col("base")).cast("int"))) for n, p in zip(names, ("x_pos", "y_pos"), strict=True)}
+    return joined.withColumns(picked).drop("part", "base", "marks", "x_pos", "y_pos")
+
+
 def join_marks(time_marks: Column, weather_marks: Column) -> Column:
     """Weather vectors appended to time vectors, position by position."""
     return F.zip_with(time_marks, weather_marks, lambda a, b: F.concat(a, b))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridcast.functions import vectors as V
-from gridcast.operators import axis, grid, marks
+from gridcast.operators import axis, grid, marks, split, windows
 from gridcast.plans import dataset
 from gridcast.plans import forecasting as P
-from gridcast.queries.base import arr, filled_sql, query, r6
+from gridcast.queries.base import arr, filled_sql, query, r6, scratch
 from gridcast.queries.slicing import (
     EVERY_WINDOW,
     HOUR,
@@ -23,6 +23,7 @@ from gridcast.queries.slicing import (
     windows_sql,
 )
 from gridcast.sources import events as E
+from gridcast.sources import sinks
 from gridcast.staging import settle
 
 MARK_DIM = 64
@@ -101,6 +102,38 @@ def _(spark, d):
     return marks.check_marks(axis_marks(spark, d), hour_axis(spark, d))
 
 
+@query(
+    "s12_station_mark_check",
+    "WITH ax AS (SELECT date_diff('hour', min(ts), max(ts)) + 1 AS n FROM events) SELECT n AS least_marked, n AS most_marked, "
+    "n AS axis_points, CAST(0 AS BIGINT) AS outside, true AS ok FROM ax",
+)
+def _(spark, d):
+    stations = E.type_readings(spark, d).select("station").distinct()
+    return marks.check_marks(station_marks(spark, d), hour_axis(spark, d), ["station"], stations)
+
+
+@query(
+    "s17_stored_blocks",
+    f"WITH {EVERY_WINDOW}, {VEC} SELECT w.station, w.split, w.s_begin, {arr(pick_sql('wmarks', 'w.s_begin', SEQ, True))} AS x_mark, "
+    f"{arr(pick_sql('wmarks', f'w.s_begin + {SEQ}', PRED, True))} AS y_mark FROM tw w",
+)
+def _(spark, d):
+    """Windows and marks stored in buckets of station and block, which join where they lie."""
+    return stored_block_windows(spark, d)
+
+
+def stored_block_windows(spark, d):
+    base = scratch(spark)
+    r = E.type_readings(spark, d)
+    n = grid.extent_of(r).steps(HOUR)
+    index = windows.windows_index(r.select("station").distinct().withColumn("n", F.lit(n)), SEQ + PRED, split.ratio_ranges(n))
+    placed = marks.mark_positions(index, SEQ, LABEL, PRED, TOKEN).withColumn("part", F.floor(F.col("s_begin") / marks.MARK_BLOCK).cast("long"))
+    held = marks.mark_blocks(station_marks(spark, d), SEQ + PRED - 1, ["station"])
+    sinks.write_blocks(placed, base + "/placed")
+    sinks.write_blocks(held, base + "/marks")
+    return marks.marks_of_blocks(*[sinks.read_blocks(spark, base + path, df.schema) for path, df in (("/placed", placed), ("/marks", held))])
+
+
 @query(
     "w20_mark_positions",
     f"WITH {EVERY_WINDOW} SELECT station, s_begin, array_to_string(list_transform(range({SEQ // TOKEN}), lambda i: "

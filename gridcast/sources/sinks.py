@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridcast.functions.text import run_key
 from gridcast.operators.quality import canonical_sort
 
 ROWS_PER_FILE = 5_000_000
+# Files of a table of blocks.
+BUCKETS = 32
 
 
 def write_table(
@@ -85,6 +89,30 @@ def write_windows(windows: DataFrame, path: str, mode: str = "overwrite") -> Non
     write_table(windows.withColumns(arrays), path, mode=mode, by=["station_id"])
 
 
+def _table_name(path: str) -> str:
+    return "blocks_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def write_blocks(df: DataFrame, path: str, keys: Sequence[str] = ("station", "part"), buckets: int = BUCKETS) -> DataFrame:
+    """Stores rows in buckets by ``keys``, one file each, so that tables stored alike join without an exchange."""
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+    dealt = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("path", path)
+    dealt.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(_table_name(path))
+    return spark.table(_table_name(path))
+
+
+def read_blocks(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str] = ("station", "part"), buckets: int = BUCKETS) -> DataFrame:
+    """A table that ``write_blocks`` stored, also in another session: the layout is named again, the files are where they were."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    by = ", ".join(keys)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {_table_name(path)} ({columns}) USING parquet "
+        f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(_table_name(path))
+
+
 def write_marks(marks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``([station,] t, emb)``; the order is in ``t``."""
     write_table(marks, path, mode=mode)

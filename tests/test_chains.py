@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import marks, windows
 from gridcast.plans import naive2
+from gridcast.queries import marking
 from gridcast.sources import sinks
 
 
@@ -107,3 +108,10 @@ def test_lengths_are_judged_in_one_scan(spark):
     assert tuple(found.first()) == (4, 1, 1, 1)
     assert tuple(windows.unequal_lengths(frame.limit(0)).first()) == (0, 0, 0, 0)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_stored_blocks_join_where_they_lie(spark, data):
+    joined = marking.stored_block_windows(spark, data)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert joined.where("x_mark[0] is null").count() == 0 and joined.count() > 0
