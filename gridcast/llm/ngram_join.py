@@ -29,7 +29,7 @@ from gridcast.llm.words import WordHashes, shingles, words
 
 GROUPS = 64
 # A leaf of a tree holds at most so many documents and bytes of shingles.
-LEAF_ROWS, LEAF_BYTES = 128, 1024 * 1024
+LEAF_ROWS, LEAF_BYTES = 128, 2 * 1024 * 1024
 # Rows with whole sets that a worker takes at a time, as sets of long texts are large.
 WHOLE_SETS = 16
 # Buckets of at most so many documents give their pairs; larger ones are trees.
@@ -96,10 +96,12 @@ def signatures(docs: DataFrame, rule: Rule, shingle: int, id_col: str, text_col:
 def leaves(rows: DataFrame, rule: Rule) -> DataFrame:
     """Packs (tree, members, doc_id, n, mark, counts, body) into leaves: runs of one tree, sorted by size.
 
-    A tree is dealt out by size class, and a large one by hash too, so that no task gets a whole one.
+    A tree is dealt out by size class, and a large one by hash too, so that no task gets a whole one.  A
+    leaf holds its members' sets as the distinct shingles of all, in order, and a bit for each member and
+    shingle: near copies share most of them.
     """
-    made = "tree long, leaf long, low long, high long, box array<int>, ids array<long>, marks array<long>, counts array<binary>, bodies array<binary>"
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+    made = "tree long, leaf long, low long, high long, box array<int>, ids array<long>, marks array<long>, counts array<binary>, shingles binary, bits binary"
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -108,7 +110,7 @@ def leaves(rows: DataFrame, rule: Rule) -> DataFrame:
 
         def leaf() -> tuple:
             box = _points([r[4] for r in held]).max(0)
-            return (held[0][0], held[0][1], held[0][2], held[-1][2], box, *([r[k] for r in held] for k in (1, 3, 4, 5)))
+            return (held[0][0], held[0][1], held[0][2], held[-1][2], box, *([r[k] for r in held] for k in (1, 3, 4)), *_packed([r[5] for r in held]))
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], [f.split()[0] for f in made.split(", ")])
@@ -177,30 +179,38 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]] | list) -> list[tuple[int,
     return kept
 
 
-Compare = Callable[[tuple, tuple, bool], tuple[list, list]]
+def _packed(bodies: list[bytes]) -> tuple[bytes, bytes]:
+    """The distinct shingles of several sorted sets, and for each set its row of bits over them."""
+    sets = [np.frombuffer(b, "<u8") for b in bodies]
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.zeros((len(sets), len(every)), bool)
+    member[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place] = True
+    return every.tobytes(), np.packbits(member, axis=1).tobytes()
+
+
+# Ids, marks, points, shingles and bits of a leaf.
+Leaf = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Compare = Callable[[Leaf, Leaf, bool], tuple[list, ...]]
 
 
 def walk(leaf: DataFrame, rule: Rule, compare: Compare, made: str) -> DataFrame:
     """Runs ``compare`` on every leaf with itself and on the pairs of leaves that the boxes leave."""
 
-    def side(columns: list[list], row: int) -> tuple:
-        ids, marks, counts, bodies = (c[row] for c in columns)
-        return np.array(ids, np.int64), np.array(marks, np.int64), _points(counts), bodies
+    def side(columns: list[pa.Array], row: int) -> Leaf:
+        ids, marks, counts = (columns[k][row].as_py() for k in range(3))
+        # Views of the batch, which stays until both leaves are compared.
+        shingles_, bits = (np.frombuffer(columns[k][row].as_buffer() or b"", kind) for k, kind in ((3, "<u8"), (4, np.uint8)))
+        return np.array(ids, np.int64), np.array(marks, np.int64), _points(counts), shingles_, bits.reshape(len(ids), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            columns = [c.to_pylist() for c in part.columns]
-            own = len(columns) == 4
-            out: list[list[int]] = [[] for _ in made.split(", ")]
-            for row in range(part.num_rows):
-                left = side(columns[:4], row)
-                found = compare(left, left if own else side(columns[4:], row), own)
-                for column, values in zip(out, found, strict=True):
-                    column.extend(values)
+            own = part.num_columns == 5
+            left = side(part.columns[:5], 0)
+            out = compare(left, left if own else side(part.columns[5:], 0), own)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [f.split()[0] for f in made.split(", ")])
 
-    names = ["ids", "marks", "counts", "bodies"]
+    names = ["ids", "marks", "counts", "shingles", "bits"]
     alone = leaf.where("size(ids) > 1").select(*names).mapInArrow(run, made)
     pairs = leaf_pairs(leaf, rule).select(*[f"{c}_{s}" for s in "ab" for c in names])
     return alone.unionAll(pairs.mapInArrow(run, made))
@@ -210,8 +220,8 @@ def may_link(rule: Rule) -> Compare:
     """Pairs of documents with different marks that the bound leaves, as far as they connect something."""
 
     def compare(left: tuple, right: tuple, own: bool) -> tuple[list, list]:
-        ids_a, marks_a, points_a, _ = left
-        ids_b, marks_b, points_b, _ = right
+        ids_a, marks_a, points_a, *_ = left
+        ids_b, marks_b, points_b, *_ = right
         open_ = marks_a[:, None] != marks_b[None, :]
         if own:
             open_ = np.triu(open_, 1)
@@ -225,26 +235,27 @@ def may_link(rule: Rule) -> Compare:
     return compare
 
 
-def _overlaps(bodies: list[bytes], split: int, own: bool) -> np.ndarray:
-    """Exact sizes of the intersections of the sets before ``split`` with those after it (or with themselves)."""
-    sets = [np.frombuffer(b, "<u8") for b in bodies]
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1
-    column = np.cumsum(shared) - 1
-    use = shared[place]
-    owner, column = owner[use], column[place[use]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    width = int(column[-1]) + 1 if len(column) else 0
-    rows = len(sets) if own else split
-    total = np.zeros((rows, len(sets) - (0 if own else split)), np.float32)
-    for begin in range(0, width, 8192):
-        lo, hi = np.searchsorted(column, (begin, begin + 8192))
-        block = np.zeros((len(sets), min(8192, width - begin)), np.float32)
-        block[owner[lo:hi], column[lo:hi] - begin] = 1
-        total += block[:rows] @ (block if own else block[split:]).T
-    return total.astype(np.int64)
+# Shingles whose bits are opened up at a time.
+COLUMNS = 8_192
+
+
+def _overlaps(left: Leaf, right: Leaf, own: bool) -> np.ndarray:
+    """Exact sizes of the intersections of the sets of two leaves, or of one with itself."""
+    bits_a, bits_b = left[4], right[4]
+    total = np.zeros((len(bits_a), len(bits_b)), np.int64)
+    if own:
+        for at in range(0, bits_a.shape[1], COLUMNS // 8):
+            block = np.unpackbits(bits_a[:, at : at + COLUMNS // 8], axis=1).astype(np.float32)
+            total += (block @ block.T).astype(np.int64)
+        return total
+    # Both are in order, so one pass finds what they share.
+    _, at_a, at_b = np.intersect1d(left[3], right[3], assume_unique=True, return_indices=True)
+    for at in range(0, len(at_a), COLUMNS):
+        blocks = []
+        for bits, places in ((bits_a, at_a[at : at + COLUMNS]), (bits_b, at_b[at : at + COLUMNS])):
+            blocks.append(((bits[:, places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).astype(np.float32))
+        total += (blocks[0] @ blocks[1].T).astype(np.int64)
+    return total
 
 
 def linked(rule: Rule) -> Compare:
@@ -255,33 +266,27 @@ def linked(rule: Rule) -> Compare:
     """
 
     def compare(left: tuple, right: tuple, own: bool) -> tuple[list, ...]:
-        ids_a, weight_a, points_a, bodies_a = left
-        ids_b, weight_b, points_b, bodies_b = right
+        ids_a, weight_a, points_a, *_ = left
+        ids_b, weight_b, points_b, *_ = right
         open_ = _survivors(points_a, points_b, rule)
         if own:
             np.fill_diagonal(open_, False)
         if not open_.any():
             return [], [], []
-        in_a, in_b = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
-        if own:
-            over = _overlaps([bodies_a[x] for x in in_a], 0, True)
-        else:
-            over = _overlaps([bodies_a[x] for x in in_a] + [bodies_b[x] for x in in_b], len(in_a), False)
-        sizes_a = np.array([len(bodies_a[x]) // 8 for x in in_a])
-        sizes_b = np.array([len(bodies_b[x]) // 8 for x in in_b])
-        union = sizes_a[:, None] + sizes_b[None, :] - over
-        yes = (rule.den * over >= rule.num * union) & open_[np.ix_(in_a, in_b)]
+        over = _overlaps(left, right, own)
+        union = points_a.sum(1)[:, None] + points_b.sum(1)[None, :] - over
+        yes = (rule.den * over >= rule.num * union) & open_
         out: list[list[int]] = [[], [], []]
-        for ids, at, add in ((ids_a, in_a, yes @ weight_b[in_b]), *(() if own else ((ids_b, in_b, weight_a[in_a] @ yes),))):
+        for ids, add in ((ids_a, yes @ weight_b), *(() if own else ((ids_b, weight_a @ yes),))):
             for k in np.flatnonzero(add):
-                out[0].append(int(ids[at[k]]))
-                out[1].append(int(ids[at[k]]))
+                out[0].append(int(ids[k]))
+                out[1].append(int(ids[k]))
                 out[2].append(int(add[k]))
         i, j = np.nonzero(np.triu(yes, 1) if own else yes)
-        shift = 0 if own else len(in_a)
-        for x, y in _forest(shift + len(in_b), zip(i.tolist(), (j + shift).tolist(), strict=True)):
-            out[0].append(int(ids_a[in_a[x]]))
-            out[1].append(int(ids_b[in_b[y - shift]]))
+        shift = 0 if own else len(ids_a)
+        for x, y in _forest(shift + len(ids_b), zip(i.tolist(), (j + shift).tolist(), strict=True)):
+            out[0].append(int(ids_a[x]))
+            out[1].append(int(ids_b[y - shift]))
             out[2].append(0)
         return tuple(out)
 
