@@ -29,7 +29,7 @@ from gridcast.llm.words import WordHashes, shingles, words
 
 GROUPS = 64
 # A leaf of a tree holds at most so many documents and bytes of shingles.
-LEAF_ROWS, LEAF_BYTES = 128, 2 * 1024 * 1024
+LEAF_ROWS, LEAF_BYTES = 128, 1024 * 1024
 # Rows with whole sets that a worker takes at a time, as sets of long texts are large.
 WHOLE_SETS = 16
 # Buckets of at most so many documents give their pairs; larger ones are trees.
@@ -98,7 +98,7 @@ def leaves(rows: DataFrame, rule: Rule) -> DataFrame:
 
     A tree is dealt out by size class, and a large one by hash too, so that no task gets a whole one.  A
     leaf holds its members' sets as the distinct shingles of all, in order, and a bit for each member and
-    shingle: near copies share most of them.
+    shingle where that is shorter, as near copies share most of them; else the sets follow each other.
     """
     made = "tree long, leaf long, low long, high long, box array<int>, ids array<long>, marks array<long>, counts array<binary>, shingles binary, bits binary"
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
@@ -110,7 +110,11 @@ def leaves(rows: DataFrame, rule: Rule) -> DataFrame:
 
         def leaf() -> tuple:
             box = _points([r[4] for r in held]).max(0)
-            return (held[0][0], held[0][1], held[0][2], held[-1][2], box, *([r[k] for r in held] for k in (1, 3, 4)), *_packed([r[5] for r in held]))
+            bodies = [r[5] for r in held]
+            shingles_, bits = _packed([np.frombuffer(b, "<u8") for b in bodies])
+            short = shingles_.nbytes + bits.nbytes < sum(map(len, bodies))
+            sets = (shingles_.tobytes(), bits.tobytes()) if short else (b"".join(bodies), b"")
+            return (held[0][0], held[0][1], held[0][2], held[-1][2], box, *([r[k] for r in held] for k in (1, 3, 4)), *sets)
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], [f.split()[0] for f in made.split(", ")])
@@ -179,13 +183,12 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]] | list) -> list[tuple[int,
     return kept
 
 
-def _packed(bodies: list[bytes]) -> tuple[bytes, bytes]:
+def _packed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of several sorted sets, and for each set its row of bits over them."""
-    sets = [np.frombuffer(b, "<u8") for b in bodies]
     every, place = np.unique(np.concatenate(sets), return_inverse=True)
     member = np.zeros((len(sets), len(every)), bool)
     member[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place] = True
-    return every.tobytes(), np.packbits(member, axis=1).tobytes()
+    return every, np.packbits(member, axis=1)
 
 
 # Ids, marks, points, shingles and bits of a leaf.
@@ -198,9 +201,12 @@ def walk(leaf: DataFrame, rule: Rule, compare: Compare, made: str) -> DataFrame:
 
     def side(columns: list[pa.Array], row: int) -> Leaf:
         ids, marks, counts = (columns[k][row].as_py() for k in range(3))
+        points = _points(counts)
         # Views of the batch, which stays until both leaves are compared.
         shingles_, bits = (np.frombuffer(columns[k][row].as_buffer() or b"", kind) for k, kind in ((3, "<u8"), (4, np.uint8)))
-        return np.array(ids, np.int64), np.array(marks, np.int64), _points(counts), shingles_, bits.reshape(len(ids), -1)
+        if len(shingles_) and not len(bits):
+            shingles_, bits = _packed(np.split(shingles_, np.cumsum(points.sum(1))[:-1]))
+        return np.array(ids, np.int64), np.array(marks, np.int64), points, shingles_, bits.reshape(len(ids), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
