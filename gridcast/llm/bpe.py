@@ -402,7 +402,12 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, text) of encoded rows, by the streaming decoder; null ids give a null text."""
+    """(id, text) of encoded rows, by the streaming decoder.
+
+    Null ids give a null text and no ids an empty one; a null id of the row stays null.  Rows are mapped one by
+    one, so repeats, ties and other columns make no difference, texts may be of any length, and an empty table
+    gives an empty one.  Ids beyond the vocabulary fail.
+    """
     name = shipped(encoded, path or public_tokenizers.path(VOCABULARY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,8 +415,9 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
         for part in slices(batches):
             texts = [None if x is None else "".join(decode_stream(codec, x)) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["id", "text"])
+        release(codec)
 
-    kept = encoded.select(F.col(id_col).alias("id"), F.col("ids"))
+    kept = encoded.select(F.col(id_col).cast("long").alias("id"), F.col("ids"))
     return kept.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 

@@ -204,7 +204,11 @@ def _calibrate(points: np.ndarray, right: np.ndarray) -> tuple[float, float, flo
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts over all rows that are not held out and have a language; scores are calibrated on a bounded sample of them."""
+    """Counts over all rows that are not held out and have a language; scores are calibrated on a bounded sample of them.
+
+    Rows without text or language are left out, repeated rows count each, texts may be of any length, other columns
+    are not read.  An empty table gives a model without languages, by which every text is ``und``.
+    """
     train = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     table = settle(gram_counts(train, text_col, lang_col)).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))

@@ -138,7 +138,11 @@ def digest(seed: int, epoch: Column, key: Column) -> Column:
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """Each chosen row as often as it has epochs, without the columns that ``mix`` adds."""
+    """Each chosen row as often as it has epochs, without the columns that ``mix`` adds.
+
+    Rows without copies, by a null or a number below 1, go.  Columns may hold nulls and texts of any length; equal rows
+    are repeated each; an empty table gives an empty one; other columns are kept.
+    """
     names = [c for c in mixed.columns if c not in ("_domain", "_tokens", "_copies")]
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))
-    return mixed.select(*[F.col(f"`{c}`") for c in names], copies.alias("_copy")).drop("_copy")
+    return mixed.where("_copies >= 1").select(*[F.col(f"`{c}`") for c in names], copies.alias("_copy")).drop("_copy")

@@ -122,7 +122,8 @@ def learn(
     """Fits on at most ``rows`` labelled documents that are not held out.
 
     Rows without id or label are left out; of several labels of one id the largest counts, and of several
-    texts the first by order.
+    texts the first by order.  Null texts are learnt as empty ones, texts may be of any length, other columns are
+    not read; without labelled documents, empty tables included, every score is that of an unfitted machine.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
@@ -170,7 +171,11 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with the columns they have, in one pass."""
+    """The rows of ``docs`` that score at least ``threshold``, with the columns they have, in one pass.
+
+    A null text is scored as an empty one, a null length as the text's own; texts may be of any length.  Rows are
+    judged one by one, so ids, repeats, ties and other columns make no difference; an empty table gives an empty one.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col and length_col in docs.columns else None

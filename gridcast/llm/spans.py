@@ -233,7 +233,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the repeated sentences cut, in the columns they have; the length column, if any, counts the new text."""
+    """``docs`` with the repeated sentences cut, in the columns they have; the length column, if any, counts the new text.
+
+    Nulls, empty and very long texts, ties, repeated rows, empty tables and other columns are as in ``dedup``; a
+    length stays as it is, null too, where nothing is cut.
+    """
     cut = dedup(docs, id_col, text_col)
     if length_col in docs.columns:
         fresh = F.when(F.col("n_removed") > 0, F.length(text_col)).otherwise(F.col(length_col))

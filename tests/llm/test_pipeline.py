@@ -2,7 +2,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from gridcast.llm import bpe, mixing, ngram_join, quality_fm, spans
+from gridcast.llm import bpe, quality_fm, spans
 from tests.llm.test_operators import DATA, jaccard_brute, spans_brute
 
 
@@ -32,10 +32,10 @@ def test_each_stage_against_brute_force(spark):
             assert set(kept[name].doc_id) < set(before.doc_id) and kept[name].doc_id.is_unique
             words = sum(len(t.encode().split()) for t in before.text)
             chosen = sum(len(t.encode().split()) for t in kept[name].text)
-            assert 0.5 * words < chosen < 0.75 * words or chosen > 0.5 * words
+            # The share is 0.6; each leaf may go over it by a part of one document, or fall short of its words.
+            assert 0.5 * words < chosen < 0.75 * words
         else:
             ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
             library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             size = {k: len(library.encode_ordinary(t)) for k, t in zip(before.doc_id, before.text, strict=True)}
             assert dict(zip(kept[name].doc_id, kept[name].n_tokens, strict=True)) == size
-    assert mixing and ngram_join
